@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysed pipeline is a batch analysis over four static tables; it has
+no stream source, watermark, window or state.  Nothing is built here (see
+README "Not built").
+"""
