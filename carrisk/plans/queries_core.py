@@ -109,11 +109,11 @@ def q_tri_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("to_date_safe", O.ctes() + """
 select unique_id,
-  cast(coalesce(try_strptime(strftime(insp_date, '%Y%m%d'), '%Y%m%d'),
-                try_strptime(strftime(insp_date, '%Y%m%d'), '%Y-%m-%d')) as date) as d_compact,
-  cast(coalesce(try_strptime(cast(insp_date as varchar), '%Y%m%d'),
-                try_strptime(cast(insp_date as varchar), '%Y-%m-%d')) as date) as d_iso,
-  cast(null as date) as d_bad
+  cast(cast(coalesce(try_strptime(strftime(insp_date, '%Y%m%d'), '%Y%m%d'),
+                try_strptime(strftime(insp_date, '%Y%m%d'), '%Y-%m-%d')) as date) as varchar) as d_compact,
+  cast(cast(coalesce(try_strptime(cast(insp_date as varchar), '%Y%m%d'),
+                try_strptime(cast(insp_date as varchar), '%Y-%m-%d')) as date) as varchar) as d_iso,
+  cast(null as varchar) as d_bad
 from inspection_raw""")
 def q_to_date_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = binding.inspection_raw(spark, sf_dir)
