@@ -261,7 +261,7 @@ def fit_forest(train: DataFrame, features, mtry: int, node_size: int, trees: int
 
 
 def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac: float = 0.1,
-            seed: int = 42, max_depth: int = 12, parallelism: int = 4) -> DataFrame:
+            seed: int = 42, max_depth: int = 12, parallelism: int = 8) -> DataFrame:
     """M9: grid {mtry} x {20, 100, 300} scored by 5-fold CV on a stratified 10% of train.
 
     Fits run concurrently from driver threads (each fit is its own set of
@@ -320,7 +320,7 @@ class Evaluation:
 
 def evaluate_feature_set(prep: Prepared, name: str, features, trees_final: int = 500, trees_cv: int = 300,
                          seed: int = 42, max_depth: int = 12, train_cap: int = 25000,
-                         parallelism: int = 4) -> Evaluation:
+                         parallelism: int = 8) -> Evaluation:
     """Tune, fit, score and evaluate one feature set on the shared split."""
     cv = grid_cv(prep.train, features, trees_cv, seed=seed, max_depth=max_depth, parallelism=parallelism)
     mtry, ns, auc_cv = best_params(cv)
