@@ -99,10 +99,13 @@ def scaled(base: DataFrame, features=FEATURE_COLS) -> DataFrame:
     return scaler.fit(assembled).transform(assembled).drop("raw_features")
 
 
-def total_ss(x: DataFrame, features=FEATURE_COLS) -> float:
+def total_ss(x: DataFrame) -> float:
     """Total sum of squares of the z-scored features (= WSS at k = 1), one aggregate pass."""
+    first = x.select("features").first()
+    if first is None:
+        return 0.0
     arr = x.select(vector_to_array("features").alias("v"))
-    aggs = [F.var_samp(F.col("v")[i]) * (F.count(F.lit(1)) - 1) for i in range(len(features))]
+    aggs = [F.var_samp(F.col("v")[i]) * (F.count(F.lit(1)) - 1) for i in range(len(first[0]))]
     row = arr.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).first()
     return float(sum(v or 0.0 for v in row))
 
