@@ -25,7 +25,7 @@ from itertools import product
 from pyspark.ml.classification import RandomForestClassifier, RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carrisk.functions import scalar as S
@@ -244,7 +244,8 @@ def forest(mtry: int, node_size: int, trees: int, seed: int = 42, max_depth: int
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees,
         featureSubsetStrategy=str(mtry), minInstancesPerNode=node_size, maxDepth=max_depth,
-        maxBins=max_bins, seed=seed, bootstrap=True, subsamplingRate=1.0)
+        maxBins=max_bins, seed=seed, bootstrap=True, subsamplingRate=1.0, maxMemoryInMB=1024,
+        cacheNodeIds=True)
 
 
 def score(model: RandomForestClassificationModel, df: DataFrame, features, out: str = "prob") -> DataFrame:
@@ -261,7 +262,7 @@ def fit_forest(train: DataFrame, features, mtry: int, node_size: int, trees: int
 
 
 def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac: float = 0.1,
-            seed: int = 42, max_depth: int = 12, parallelism: int = 8) -> DataFrame:
+            seed: int = 42, max_depth: int = 12, parallelism: int = 16) -> DataFrame:
     """M9: grid {mtry} x {20, 100, 300} scored by 5-fold CV on a stratified 10% of train.
 
     Fits run concurrently from driver threads (each fit is its own set of
@@ -320,7 +321,7 @@ class Evaluation:
 
 def evaluate_feature_set(prep: Prepared, name: str, features, trees_final: int = 500, trees_cv: int = 300,
                          seed: int = 42, max_depth: int = 12, train_cap: int = 25000,
-                         parallelism: int = 8) -> Evaluation:
+                         parallelism: int = 16) -> Evaluation:
     """Tune, fit, score and evaluate one feature set on the shared split."""
     cv = grid_cv(prep.train, features, trees_cv, seed=seed, max_depth=max_depth, parallelism=parallelism)
     mtry, ns, auc_cv = best_params(cv)
@@ -356,31 +357,60 @@ def comparison_long(evals: list[Evaluation]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- importance
-def permute_column(df: DataFrame, key: str, column: str, seed: int = 42) -> DataFrame:
-    """Shuffle ``column`` across rows: row with key-rank i takes the value of the
-    row with hash-rank i.  Two exact distributed row numbers and one equi-join."""
-    base = rank.row_number(df, [F.col(key).asc()], out="_r1").df
-    donor = rank.row_number(df.select(key, column), [sampling.hash_order(key, f"{seed}|{column}").asc(),
-                                                     F.col(key).asc()], out="_r2").df
-    donor = donor.select(F.col("_r2"), F.col(column).alias("_perm"))
-    return base.join(donor, base["_r1"] == donor["_r2"]).drop(column, "_r1", "_r2") \
-        .withColumnRenamed("_perm", column)
+def permute_column(df: DataFrame, key: str, column: str, seed: int = 42, n_rows: int | None = None,
+                   bucket_rows: int = 1000) -> DataFrame:
+    """Shuffle ``column`` across rows without a global sort.
+
+    Rows fall into ``n / bucket_rows`` buckets by a hash of (key, column,
+    seed); inside each bucket the i-th row in key order takes the value of
+    the i-th row in a second hash order.  Bucket membership is random, so the
+    result is a random permutation that breaks the feature-label link, and
+    every window is partitioned by a bucket of about ``bucket_rows`` rows.
+    """
+    n = df.count() if n_rows is None else n_rows
+    buckets = max(1, n // bucket_rows)
+    b = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(f"{seed}|{column}|b")), F.lit(buckets))
+    src = df.withColumn("_b", b)
+    w1 = Window.partitionBy("_b").orderBy(F.col(key))
+    w2 = Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(f"{seed}|{column}|p")),
+                                          F.col(key))
+    base = src.withColumn("_r", F.row_number().over(w1)).drop(column)
+    donor = src.select(F.col("_b").alias("_db"), F.row_number().over(w2).alias("_dr"), F.col(column).alias(column))
+    return base.join(donor, (base["_b"] == donor["_db"]) & (base["_r"] == donor["_dr"])) \
+        .drop("_b", "_r", "_db", "_dr")
 
 
 def permutation_importance(model: RandomForestClassificationModel, df: DataFrame, features, key: str = "dot_number",
                            seed: int = 42) -> DataFrame:
-    """AUC drop on held-out rows when each feature is permuted (one rescore per feature),
-    with Spark's impurity importance as a second column; sorted, labelled."""
-    base_auc = metrics.auc(score(model, df, features), "oos_flag", "prob", POSITIVE)
-    rows = []
+    """AUC drop on held-out rows when each feature is permuted, with Spark's
+    impurity importance as a second column; sorted, labelled.
+
+    The unpermuted and every permuted copy are scored and stacked, and all
+    AUCs come from one ranked pass grouped by copy.
+    """
+    held = df.select(key, "oos_flag", *features).persist()
+    try:
+        n = held.count()
+        copies = [score(model, held, features).select(F.lit("__base__").alias("feature"), "oos_flag", "prob")]
+        for f in features:
+            copies.append(score(model, permute_column(held, key, f, seed, n), features)
+                          .select(F.lit(f).alias("feature"), "oos_flag", "prob"))
+        stacked = copies[0]
+        for c in copies[1:]:
+            stacked = stacked.unionByName(c)
+        aucs = {r["feature"]: r["auc"] for r in
+                metrics.auc_frame(stacked, "oos_flag", "prob", POSITIVE, by=["feature"]).collect()}
+    finally:
+        held.unpersist()
+    base_auc = aucs.get("__base__")
     imp = model.featureImportances.toArray().tolist()
+    rows = []
     for i, f in enumerate(features):
-        permuted = permute_column(df, key, f, seed)
-        a = metrics.auc(score(model, permuted, features), "oos_flag", "prob", POSITIVE)
+        a = aucs.get(f)
         drop = (base_auc - a) if base_auc is not None and a is not None else None
         rows.append((f, FEATURE_LABELS.get(f, f), drop, float(imp[i])))
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, "feature string, label string, importance double, impurity_importance double")
+    out = df.sparkSession.createDataFrame(
+        rows, "feature string, label string, importance double, impurity_importance double")
     return out.orderBy(F.desc_nulls_last("importance"))
 
 
@@ -399,18 +429,24 @@ def poisson1(key: str, tree: int, seed: int = 42):
 
 
 def oob_curve(train: DataFrame, features, mtry: int, node_size: int, trees: int = 500,
-              steps=TREE_STEPS, seed: int = 42, max_depth: int = 12, parallelism: int = 8) -> DataFrame:
+              steps=TREE_STEPS, seed: int = 42, max_depth: int = 12, parallelism: int = 16,
+              path: str | None = None) -> DataFrame:
     """OOB misclassification error for the first n trees of a bagged forest.
 
     Tree t trains on weight = class weight x Poisson(1) count (one
     single-tree forest, no extra bootstrap); rows with count 0 are its OOB
-    rows.  Votes become (key, tree, vote) rows, and the curve is one
-    aggregate per step: majority of OOB votes >= 0.5 -> OOS, rows without an
-    OOB tree skipped.
+    rows.  Each tree's OOB votes are written as (key, label, vote) under
+    ``path/tree=t`` in the shared checkpoint folder (a finished tree survives
+    executor loss and the plan never holds a 500-way union); the curve is
+    then one aggregate: for each step, the majority of OOB votes >= 0.5 ->
+    OOS, rows without an OOB tree skipped.
     """
+    from carrisk.session import scratch_path
+    import uuid
+    spark = train.sparkSession
     steps = [s for s in steps if s <= trees]
-    data = assembler(features).transform(train).select("dot_number", "label", "weight", "features")
-    data = data.persist()
+    path = path or scratch_path(spark, f"oob-votes-{uuid.uuid4().hex[:12]}")
+    data = assembler(features).transform(train).select("dot_number", "label", "weight", "features").persist()
 
     def one(t: int):
         w = data.withColumn("_cnt", poisson1("dot_number", t, seed))
@@ -419,25 +455,19 @@ def oob_curve(train: DataFrame, features, mtry: int, node_size: int, trees: int
                                        minInstancesPerNode=node_size, maxDepth=max_depth, maxBins=64,
                                        seed=seed + t).fit(w.where(F.col("_cnt") > 0)
                                                           .withColumn("_w", F.col("weight") * F.col("_cnt")))
-        oob = w.where(F.col("_cnt") == 0)
-        return model.transform(oob).select("dot_number", "label", F.lit(t).alias("tree"),
-                                           F.col("prediction").alias("vote"))
+        (model.transform(w.where(F.col("_cnt") == 0))
+         .select("dot_number", "label", F.col("prediction").alias("vote"))
+         .write.mode("overwrite").parquet(f"{path}/tree={t}"))
 
     try:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            votes = list(pool.map(one, range(1, trees + 1)))
-        all_votes = votes[0]
-        for v in votes[1:]:
-            all_votes = all_votes.unionByName(v)
-        all_votes = all_votes.persist()
-        rows = []
-        for n in steps:
-            per = (all_votes.where(F.col("tree") <= n).groupBy("dot_number", "label")
-                   .agg(F.avg("vote").alias("share")))
-            err = per.agg(F.avg(((F.col("share") >= 0.5).cast("double") != F.col("label")).cast("double"))
-                          .alias("e")).first()["e"]
-            rows.append((n, err))
-        all_votes.unpersist()
+            list(pool.map(one, range(1, trees + 1)))
     finally:
         data.unpersist()
-    return train.sparkSession.createDataFrame(rows, "num_trees int, oob_error double")
+    votes = spark.read.parquet(path)
+    per = votes.groupBy("dot_number", "label").agg(
+        *[F.avg(F.when(F.col("tree") <= n, F.col("vote"))).alias(f"s{n}") for n in steps])
+    errs = per.agg(*[F.avg(F.when(F.col(f"s{n}").isNotNull(),
+                                  ((F.col(f"s{n}") >= 0.5).cast("double") != F.col("label")).cast("double")))
+                     .alias(f"e{n}") for n in steps]).first()
+    return spark.createDataFrame([(n, errs[f"e{n}"]) for n in steps], "num_trees int, oob_error double")

@@ -111,7 +111,7 @@ def total_ss(x: DataFrame) -> float:
 
 
 def fit_kmeans(x: DataFrame, k: int, starts: int, max_iter: int, seed: int = 42,
-               parallelism: int = 8) -> KMeansModel:
+               parallelism: int = 16) -> KMeansModel:
     """Best of ``starts`` k-means|| fits by within-SS."""
     def one(s):
         return KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||",
@@ -122,7 +122,7 @@ def fit_kmeans(x: DataFrame, k: int, starts: int, max_iter: int, seed: int = 42,
 
 
 def k_search(x: DataFrame, k_max: int = 10, starts: int = 25, max_iter: int = 300, seed: int = 42,
-             parallelism: int = 8, silhouette: bool = True) -> tuple[DataFrame, dict[int, KMeansModel]]:
+             parallelism: int = 16, silhouette: bool = True) -> tuple[DataFrame, dict[int, KMeansModel]]:
     """K3 + K4: within-SS for k = 1..k_max (best of starts) and the mean
     silhouette (squared Euclidean) for k >= 2, all fits submitted concurrently."""
     tasks = [(k, s) for k in range(2, k_max + 1) for s in range(starts)]
@@ -178,7 +178,7 @@ class Segmentation:
 
 
 def segment(base: DataFrame, k: int = 4, starts: int = 50, max_iter: int = 500, seed: int = 42,
-            parallelism: int = 8) -> Segmentation:
+            parallelism: int = 16) -> Segmentation:
     """K5 + K6: final K-means, deterministic labels, between-SS / total-SS."""
     x = scaled(base).persist()
     model = fit_kmeans(x, k, starts, max_iter, seed, parallelism)
