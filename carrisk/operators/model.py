@@ -226,6 +226,14 @@ def prepare(master: DataFrame, seed: int = 42, cap_fit_on: str = "train", train_
 
 
 # ---------------------------------------------------------------- forests
+def sized(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
+    """Repartition a frame that many small fits will read to ~``rows_per_partition`` rows
+    per partition: tiny tuning sets become one task per level job instead of
+    many near-empty ones, and the count still grows with the data."""
+    n = df.count()
+    return df.repartition(max(1, math.ceil(n / rows_per_partition)))
+
+
 def mtry_grid(p: int) -> list[int]:
     vals = [math.floor(math.sqrt(p)), math.floor(math.sqrt(p)) + 2, max(2, math.floor(p / 3))]
     out = []
@@ -262,7 +270,7 @@ def fit_forest(train: DataFrame, features, mtry: int, node_size: int, trees: int
 
 
 def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac: float = 0.1,
-            seed: int = 42, max_depth: int = 12, parallelism: int = 16) -> DataFrame:
+            seed: int = 42, max_depth: int = 12, parallelism: int = 8) -> DataFrame:
     """M9: grid {mtry} x {20, 100, 300} scored by 5-fold CV on a stratified 10% of train.
 
     Fits run concurrently from driver threads (each fit is its own set of
@@ -271,20 +279,26 @@ def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac:
     """
     tune = sampling.strat_fraction(train, "oos_flag", "dot_number", frac, f"{seed}|tune")
     tune = sampling.strat_folds(tune, "oos_flag", "dot_number", folds, f"{seed}|fold")
-    tune = assembler(features).transform(tune).select("dot_number", "oos_flag", "label", "weight", "fold",
-                                                      "features").persist()
+    tune = sized(assembler(features).transform(tune).select("dot_number", "oos_flag", "label", "weight", "fold",
+                                                            "features")).persist()
     grid = list(product(mtry_grid(len(features)), NODE_SIZES))
 
     def one(args):
         mtry, ns, k = args
         fit = forest(mtry, ns, trees, seed, max_depth).fit(tune.where(F.col("fold") != k))
-        val = fit.transform(tune.where(F.col("fold") == k)).withColumn(
-            "prob", vector_to_array(F.col("probability"))[1])
-        return mtry, ns, k, metrics.auc(val, "oos_flag", "prob", POSITIVE)
+        return (fit.transform(tune.where(F.col("fold") == k))
+                .select(F.lit(mtry).alias("mtry"), F.lit(ns).alias("min_node_size"), F.lit(k).alias("fold"),
+                        "oos_flag", vector_to_array(F.col("probability"))[1].alias("prob")))
 
     try:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = list(pool.map(one, [(m, n, k) for (m, n) in grid for k in range(folds)]))
+            preds = list(pool.map(one, [(m, n, k) for (m, n) in grid for k in range(folds)]))
+        stacked = preds[0]
+        for p in preds[1:]:
+            stacked = stacked.unionByName(p)
+        # every fold AUC from one ranked pass over the stacked validation scores
+        fold_auc = metrics.auc_frame(stacked, "oos_flag", "prob", POSITIVE, by=["mtry", "min_node_size", "fold"])
+        results = [(r["mtry"], r["min_node_size"], r["fold"], r["auc"]) for r in fold_auc.collect()]
     finally:
         tune.unpersist()
     rows = []
@@ -321,7 +335,7 @@ class Evaluation:
 
 def evaluate_feature_set(prep: Prepared, name: str, features, trees_final: int = 500, trees_cv: int = 300,
                          seed: int = 42, max_depth: int = 12, train_cap: int = 25000,
-                         parallelism: int = 16) -> Evaluation:
+                         parallelism: int = 8) -> Evaluation:
     """Tune, fit, score and evaluate one feature set on the shared split."""
     cv = grid_cv(prep.train, features, trees_cv, seed=seed, max_depth=max_depth, parallelism=parallelism)
     mtry, ns, auc_cv = best_params(cv)
@@ -429,7 +443,7 @@ def poisson1(key: str, tree: int, seed: int = 42):
 
 
 def oob_curve(train: DataFrame, features, mtry: int, node_size: int, trees: int = 500,
-              steps=TREE_STEPS, seed: int = 42, max_depth: int = 12, parallelism: int = 16,
+              steps=TREE_STEPS, seed: int = 42, max_depth: int = 12, parallelism: int = 8,
               path: str | None = None) -> DataFrame:
     """OOB misclassification error for the first n trees of a bagged forest.
 
@@ -446,7 +460,7 @@ def oob_curve(train: DataFrame, features, mtry: int, node_size: int, trees: int
     spark = train.sparkSession
     steps = [s for s in steps if s <= trees]
     path = path or scratch_path(spark, f"oob-votes-{uuid.uuid4().hex[:12]}")
-    data = assembler(features).transform(train).select("dot_number", "label", "weight", "features").persist()
+    data = sized(assembler(features).transform(train).select("dot_number", "label", "weight", "features")).persist()
 
     def one(t: int):
         w = data.withColumn("_cnt", poisson1("dot_number", t, seed))
