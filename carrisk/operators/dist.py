@@ -26,19 +26,20 @@ def _maybe_log(col: Column, log10: bool) -> Column:
 
 def prepare(df: DataFrame, value: str | Column, keys: Sequence[str] = (), log10: bool = False,
             keep_between: tuple[float | None, float | None] | None = None) -> DataFrame:
-    """(keys..., x): drop NULL / non-finite, optional open-interval censor, then optional log10.
+    """(keys..., x): drop NULL / non-finite, optional axis limits, then optional log10.
 
-    Axis limits drop rows before the statistic and a log axis transforms
-    before it, so both are applied here (F15).
+    Axis limits drop rows outside the closed range ``[lo, hi]`` before the
+    statistic and a log axis transforms before it, so both are applied here
+    (F15).  Open-interval row filters belong to the caller.
     """
     x = _x(value)
     out = df.select(*keys, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     if keep_between is not None:
         lo, hi = keep_between
         if lo is not None:
-            out = out.where(F.col("x") > F.lit(float(lo)))
+            out = out.where(F.col("x") >= F.lit(float(lo)))
         if hi is not None:
-            out = out.where(F.col("x") < F.lit(float(hi)))
+            out = out.where(F.col("x") <= F.lit(float(hi)))
     if log10:
         out = out.where(F.col("x") > 0).withColumn("x", F.log10("x"))
     return out
@@ -86,7 +87,9 @@ def kde(df: DataFrame, value: str | Column, keys: Sequence[str] = (), grid: int
     aggregate); each group's bounded histogram is then convolved with the
     kernel on the grid inside the JVM with array higher-order functions, so
     the cost after the first pass does not depend on the row count.
-    Bandwidth is nrd0 per group.  Columns: keys..., x, density, n, bw.
+    Bandwidth is nrd0 per group.  The grid spans the data range over all
+    groups, or the axis limits when ``keep_between`` gives both ends.
+    Columns: keys..., x, density, n, bw.
     """
     x = prepare(df, value, keys, log10, keep_between)
     stats = (x.groupBy(*keys).agg(
@@ -98,6 +101,8 @@ def kde(df: DataFrame, value: str | Column, keys: Sequence[str] = (), grid: int
                         F.col("x").alias("bw")).limit(0)
     lo = min(float(r["lo"]) for r in stats)
     hi = max(float(r["hi"]) for r in stats)
+    if keep_between is not None and None not in keep_between and not log10:
+        lo, hi = float(keep_between[0]), float(keep_between[1])
     span = hi - lo if hi > lo else 1.0
     fw = span / fine_bins
     step = span / (grid - 1) if grid > 1 else 0.0
@@ -134,13 +139,18 @@ def kde(df: DataFrame, value: str | Column, keys: Sequence[str] = (), grid: int
 
 
 def bin2d(df: DataFrame, xcol: str | Column, ycol: str | Column, bins: int = 50,
-          log10: bool = False, keys: Sequence[str] = ()) -> DataFrame:
-    """D3: square 2-D bins over each axis range; counts per occupied cell."""
+          log10: bool = False, keys: Sequence[str] = (), log_x: bool | None = None,
+          log_y: bool | None = None) -> DataFrame:
+    """D3: square 2-D bins over each axis range; counts per occupied cell.
+    ``log10`` puts both axes on a log scale; ``log_x``/``log_y`` choose per axis."""
+    lx = log10 if log_x is None else log_x
+    ly = log10 if log_y is None else log_y
     x, y = _x(xcol), _x(ycol)
     src = df.select(*keys, x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    if log10:
-        src = src.where((F.col("x") > 0) & (F.col("y") > 0)).select(
-            *keys, F.log10("x").alias("x"), F.log10("y").alias("y"))
+    if lx:
+        src = src.where(F.col("x") > 0).withColumn("x", F.log10("x"))
+    if ly:
+        src = src.where(F.col("y") > 0).withColumn("y", F.log10("y"))
     r = src.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if r[0] is None:
         return src.select(*keys, F.lit(0).alias("bx"), F.lit(0).alias("by"), F.lit(0).cast("long").alias("n")).limit(0)
@@ -209,13 +219,26 @@ def capped_hash_sample(df: DataFrame, key: str, cap: int, seed: int = 42) -> Dat
     return df.withColumn("_h", h).orderBy("_h", key).limit(cap).drop("_h")
 
 
-def trimmed_sample(df: DataFrame, key: str, columns: Sequence[str], q: float = 0.99, cap: int = 20000,
-                   seed: int = 42) -> DataFrame:
-    """Keep rows inside the ``q`` quantile of each column (closed bounds),
-    then a capped hash sample."""
-    lim = df.agg(*[F.percentile(_x(c), F.lit(q)).alias(c) for c in columns]).first()
-    cond = None
-    for c in columns:
-        part = _x(c) <= F.lit(float(lim[c])) if lim[c] is not None else F.lit(True)
-        cond = part if cond is None else cond & part
-    return capped_hash_sample(df.where(cond), key, cap, seed)
+def quantile_limits(ref: DataFrame, probs: dict[str, float]) -> dict[str, float | None]:
+    """Upper axis limits at quantiles of a reference frame (one aggregate, scalars back)."""
+    row = ref.agg(*[F.percentile(_x(c), F.lit(float(q))).alias(c) for c, q in probs.items()]).first()
+    return {c: row[c] for c in probs}
+
+
+def trimmed_rows(df: DataFrame, limits: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Rows inside closed axis limits on every listed column (what a plot with
+    those limits keeps)."""
+    cond = F.lit(True)
+    for c, (lo, hi) in limits.items():
+        if lo is not None:
+            cond = cond & (_x(c) >= F.lit(float(lo)))
+        if hi is not None:
+            cond = cond & (_x(c) <= F.lit(float(hi)))
+    return df.where(cond)
+
+
+def trimmed_sample(df: DataFrame, key: str, limits: dict[str, tuple[float | None, float | None]],
+                   cap: int | None = None, seed: int = 42) -> DataFrame:
+    """Limit-trimmed rows, optionally capped with a deterministic hash sample."""
+    out = trimmed_rows(df, limits)
+    return capped_hash_sample(out, key, cap, seed) if cap else out

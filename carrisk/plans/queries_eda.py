@@ -195,32 +195,40 @@ def q_grouped_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ B2: densities
-def _kde_sql(x_expr: str, where: str, key: str, grid: int = 512, fine: int = 2048) -> str:
+def _kde_sql(x_expr: str, where: str, keys, grid: int = 512, fine: int = 2048,
+             grid_range: tuple[float, float] | None = None) -> str:
+    keys = [keys] if isinstance(keys, str) else list(keys)
     inv = 1.0 / math.sqrt(2 * math.pi)
+    kl = ", ".join(keys)
+    on = " and ".join(f"kb.{k} is not distinct from kw.{k}" for k in keys)
+    kr = ("select min(lo) as lo, max(hi) as hi from ks" if grid_range is None
+          else f"select {_dbl(grid_range[0])} as lo, {_dbl(grid_range[1])} as hi")
     return with_master(f"""
-select kb.{key}, {r6('kp.lo + g.i * kp.step')} as x,
+select {', '.join(f'kb.{k}' for k in keys)}, {r6('kp.lo + g.i * kp.step')} as x,
   {r6(f'sum(kb.c * exp(-0.5 * pow(((kp.lo + g.i * kp.step) - (kp.lo + (kb.b + 0.5) * kp.fw)) / kw.bw, 2))) * {inv!r} / (kw.n * kw.bw)')} as density,
   kw.n, {r6('kw.bw')} as bw
-from kb join kw on kb.{key} is not distinct from kw.{key}
+from kb join kw on {on}
   cross join kp cross join (select range as i from range({grid})) g
-group by kb.{key}, g.i, kp.lo, kp.step, kw.n, kw.bw""", [
-        ("kx", f"select {key}, {x_expr} as x from rv where {where}"),
-        ("ks", f"""select {key}, count(*) as n, coalesce(stddev_samp(x), 0.0) as sd,
-  quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3, min(x) as lo, max(x) as hi from kx group by {key}"""),
-        ("kr", "select min(lo) as lo, max(hi) as hi from ks"),
+group by {', '.join(f'kb.{k}' for k in keys)}, g.i, kp.lo, kp.step, kw.n, kw.bw""", [
+        ("kx", f"select {kl}, {x_expr} as x from rv where {where}"),
+        ("ks", f"""select {kl}, count(*) as n, coalesce(stddev_samp(x), 0.0) as sd,
+  quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3, min(x) as lo, max(x) as hi from kx group by {kl}"""),
+        ("kr", kr),
         ("kp", f"""select lo, (case when hi > lo then hi - lo else 1.0 end) / {fine} as fw,
   (case when hi > lo then hi - lo else 1.0 end) / {grid - 1} as step from kr"""),
-        ("kw", f"""select {key}, n, 0.9 * (case when least(sd, (q3 - q1) / 1.34) <> 0 then least(sd, (q3 - q1) / 1.34)
+        ("kw", f"""select {kl}, n, 0.9 * (case when least(sd, (q3 - q1) / 1.34) <> 0 then least(sd, (q3 - q1) / 1.34)
   when sd <> 0 then sd when abs(lo) <> 0 then abs(lo) else 1.0 end) * pow(n, -0.2) as bw from ks"""),
-        ("kb", f"""select {key}, cast(least(floor((x - kp.lo) / kp.fw), {fine - 1}) as integer) as b, count(*) as c
-  from kx cross join kp group by {key}, 2"""),
+        ("kb", f"""select {kl}, cast(least(floor((x - kp.lo) / kp.fw), {fine - 1}) as integer) as b, count(*) as c
+  from kx cross join kp group by {kl}, {len(keys) + 1}"""),
     ])
 
 
-@query("kde_by_group", _kde_sql("cast(oos_rate as double)", "has_inspection and not isnan(oos_rate)", "oos_flag"))
+@query("kde_by_group", _kde_sql("cast(oos_rate as double)",
+                                "has_inspection and oos_rate >= 0 and oos_rate <= 1", "oos_flag", grid_range=(0.0, 1.0)))
 def q_kde_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density of the OOS rate by class, 512-point grid, nrd0 bandwidth."""
-    return dist.kde(inspected(spark, sf_dir), "oos_rate", ["oos_flag"])
+    """Density of the OOS rate by class on the axis limits [0, 1] (rates above 1 leave
+    before the statistic), 512-point grid, nrd0 bandwidth."""
+    return dist.kde(inspected(spark, sf_dir), "oos_rate", ["oos_flag"], keep_between=(0.0, 1.0))
 
 
 @query("kde_crash_ratio", _kde_sql("cast(crash_to_inspection_ratio as double)",
@@ -228,8 +236,41 @@ def q_kde_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    "HM_Status"))
 def q_kde_crash_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of crashes per inspection in (0, 1) by hazmat status."""
-    df = inspected(spark, sf_dir)
-    return dist.kde(df, "crash_to_inspection_ratio", ["HM_Status"], keep_between=(0.0, 1.0))
+    df = inspected(spark, sf_dir).where((F.col("crash_to_inspection_ratio") > 0)
+                                        & (F.col("crash_to_inspection_ratio") < 1))
+    return dist.kde(df, "crash_to_inspection_ratio", ["HM_Status"])
+
+
+@query("kde_crash_by_class", _kde_sql("cast(crash_to_inspection_ratio as double)",
+                                      "has_inspection and crash_to_inspection_ratio < 1", "oos_flag"))
+def q_kde_crash_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density of crashes per inspection (< 1) by class."""
+    df = inspected(spark, sf_dir).where(F.col("crash_to_inspection_ratio") < 1)
+    return dist.kde(df, "crash_to_inspection_ratio", ["oos_flag"])
+
+
+@query("kde_intensity", _kde_sql("log10(violation_intensity_score)",
+                                 "has_inspection and violation_intensity_score > 0", "oos_flag"))
+def q_kde_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2c / B2d (engineered panel): density of the violation intensity score on a log10 axis by class."""
+    df = inspected(spark, sf_dir).where(F.col("violation_intensity_score") > 0)
+    return dist.kde(df, "violation_intensity_score", ["oos_flag"], log10=True)
+
+
+@query("kde_raw_viol", _kde_sql("cast(raw_viol_per_insp as double)",
+                                "has_inspection and raw_viol_per_insp > 0 and raw_viol_per_insp < 30", "oos_flag"))
+def q_kde_raw_viol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2d (raw panel): density of raw violations per inspection in (0, 30) by class."""
+    df = inspected(spark, sf_dir).where((F.col("raw_viol_per_insp") > 0) & (F.col("raw_viol_per_insp") < 30))
+    return dist.kde(df, "raw_viol_per_insp", ["oos_flag"])
+
+
+@query("kde_oos_ridges", _kde_sql("cast(oos_rate as double)", "has_inspection and oos_rate > 0 and oos_rate <= 1",
+                                  ["carrier_operation", "HM_Status"]))
+def q_kde_oos_ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OOS-rate (> 0, axis limit 1) density per operation x hazmat status."""
+    df = inspected(spark, sf_dir).where(F.col("oos_rate") > 0)
+    return dist.kde(df, "oos_rate", ["carrier_operation", "HM_Status"], keep_between=(None, 1.0))
 
 
 @query("range_filters", with_master(f"""
@@ -308,6 +349,62 @@ def q_violin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.box_stats(_violin_long(spark, sf_dir), "viol", ["oos_flag", "BASIC"], log10=True)
 
 
+B4B_FEATURES = ("nbr_power_unit", "driver_total", "total_inspections", "sum_basic_viol", "total_crashes",
+                "violation_intensity_score")
+_B4B_SRC = ("fl", f"""select oos_flag, feature, value from (
+  select oos_flag, {', '.join(f'cast({c} as double) as {c}' for c in B4B_FEATURES)} from rv where has_inspection
+) unpivot (value for feature in ({', '.join(B4B_FEATURES)})) where value > 0""")
+
+
+@query("box_features_by_class", _box_from(_B4B_SRC, "log10(value)", ["oos_flag", "feature"]))
+def q_box_features_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six carrier features (> 0) by class, box statistics on the log10 axis."""
+    df = inspected(spark, sf_dir).select("oos_flag", *B4B_FEATURES)
+    long = A.unpivot_long(df, ["oos_flag"], list(B4B_FEATURES), "feature", "value").where(F.col("value") > 0)
+    return dist.box_stats(long, "value", ["oos_flag", "feature"], log10=True)
+
+
+@query("box_severity_hm", _box_sql("log10(cast(sum_severity_weight as double))", "sum_severity_weight > 0",
+                                   ["HM_Status"]))
+def q_box_severity_hm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crash severity weight (> 0) by hazmat status, box statistics on the log10 axis."""
+    return dist.box_stats(rv(spark, sf_dir).where(F.col("sum_severity_weight") > 0), "sum_severity_weight",
+                          ["HM_Status"], log10=True)
+
+
+def _pca_preview_columns() -> dict:
+    return {
+        "nbr_power_unit_log": S.log1p_plain("nbr_power_unit"),
+        "driver_total_log": S.log1p_plain("driver_total"),
+        "oos_rate": F.col("oos_rate"),
+        "crash_ratio": F.col("crash_to_inspection_ratio"),
+        "severity_log": S.log1p_plain("sum_severity_weight"),
+        "fatalities_log": S.log1p_plain("total_fatalities"),
+        "intensity_log": S.log1p_plain("violation_intensity_score"),
+    }
+
+
+@query("pca_preview")
+def q_pca_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First two principal components of seven z-scored carrier measures, by hazmat status
+    (all inspected carriers instead of a 30k sample)."""
+    from carrisk.operators import segment
+    cols = _pca_preview_columns()
+    df = inspected(spark, sf_dir).select("dot_number", "HM_Status", *[e.alias(k) for k, e in cols.items()])
+    df = clean.drop_na_rows(df)
+    x = segment.scaled(df, tuple(cols))
+    proj, _ = segment.pca_projection(x)
+    return proj.select("dot_number", "HM_Status", "PC1", "PC2")
+
+
+@query("drop_na_rows", with_master("""
+select dot_number, carrier_operation from rv where carrier_operation is not null and last_inspection is not null"""))
+def q_drop_na_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with no NULL in the listed columns (operation code, last inspection date)."""
+    return clean.drop_na_rows(rv(spark, sf_dir).select("dot_number", "carrier_operation", "last_inspection"),
+                              ["carrier_operation", "last_inspection"]).select("dot_number", "carrier_operation")
+
+
 # ------------------------------------------------------------------ B4: correlation
 def _corr_sql(cols: list[str], source: str, fill_zero: bool) -> str:
     from itertools import combinations
@@ -363,17 +460,56 @@ def q_bin2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("trimmed_sample", with_master(f"""
 select dot_number, {r6('total_injuries')} as total_injuries, {r6('total_fatalities')} as total_fatalities
-from rv, (select quantile_cont(total_injuries, 0.99) as qi, quantile_cont(total_fatalities, 0.99) as qf
-          from rv where total_crashes > 0) q
-where total_crashes > 0 and total_injuries <= qi and total_fatalities <= qf
-order by md5(dot_number || '|42'), dot_number limit 20000"""))
+from rv, (select quantile_cont(total_injuries, 0.995) as qi, quantile_cont(total_fatalities, 0.999) as qf from rv) q
+where total_crashes > 0 and total_injuries >= 0 and total_injuries <= qi
+  and total_fatalities >= 0 and total_fatalities <= qf"""))
 def q_trimmed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fatalities vs injuries inside the 99th percentiles, capped hash sample."""
-    df = rv(spark, sf_dir).where(F.col("total_crashes") > 0)
-    out = dist.trimmed_sample(df, "dot_number", ["total_injuries", "total_fatalities"], 0.99, 20000)
+    """Fatalities vs injuries of carriers with crashes, inside axis limits at the
+    99.5th / 99.9th percentiles over all carriers."""
+    df = rv(spark, sf_dir)
+    lim = dist.quantile_limits(df, {"total_injuries": 0.995, "total_fatalities": 0.999})
+    out = dist.trimmed_sample(df.where(F.col("total_crashes") > 0), "dot_number",
+                              {c: (0.0, v) for c, v in lim.items()})
     return out.select("dot_number", "total_injuries", "total_fatalities")
 
 
+@query("risk_axes_rows", with_master(f"""
+select dot_number, HM_Status, {r6('oos_rate')} as oos_rate, {r6('crash_to_inspection_ratio')} as crash_to_inspection_ratio
+from rv where has_inspection and oos_rate > 0 and crash_to_inspection_ratio > 0 and crash_to_inspection_ratio < 1"""))
+def q_risk_axes_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the two-risk-axes plot (OOS rate vs crashes per inspection)."""
+    df = inspected(spark, sf_dir).where((F.col("oos_rate") > 0) & (F.col("crash_to_inspection_ratio") > 0)
+                                        & (F.col("crash_to_inspection_ratio") < 1))
+    return df.select("dot_number", "HM_Status", "oos_rate", "crash_to_inspection_ratio")
+
+
+@query("histogram_severity", _hist_sql("log10(cast(sum_severity_weight as double))", "sum_severity_weight > 0", 60))
+def q_histogram_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crash severity weight (> 0), 60 bins on a log10 axis."""
+    return dist.histogram(rv(spark, sf_dir).where(F.col("sum_severity_weight") > 0), "sum_severity_weight",
+                          bins=60, log10=True)
+
+
+@query("bin2d_intensity_crash", with_master("""
+select cast(least(floor((x - xl) / wx), 39) as integer) as bx, cast(least(floor((y - yl) / wy), 39) as integer) as "by",
+  count(*) as n
+from (select log10(violation_intensity_score) as x, crash_to_inspection_ratio as y from rv
+      where has_inspection and violation_intensity_score > 0 and crash_to_inspection_ratio > 0
+        and crash_to_inspection_ratio < 1) p,
+  (select min(x) as xl, case when max(x) > min(x) then (max(x) - min(x)) / 40 else 1.0 end as wx,
+          min(y) as yl, case when max(y) > min(y) then (max(y) - min(y)) / 40 else 1.0 end as wy
+   from (select log10(violation_intensity_score) as x, crash_to_inspection_ratio as y from rv
+         where has_inspection and violation_intensity_score > 0 and crash_to_inspection_ratio > 0
+           and crash_to_inspection_ratio < 1)) r
+group by 1, 2"""))
+def q_bin2d_intensity_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2e: intensity (log10 axis) x crashes per inspection, 40 x 40 bins."""
+    df = inspected(spark, sf_dir).where((F.col("violation_intensity_score") > 0)
+                                        & (F.col("crash_to_inspection_ratio") > 0)
+                                        & (F.col("crash_to_inspection_ratio") < 1))
+    return dist.bin2d(df, "violation_intensity_score", "crash_to_inspection_ratio", bins=40, log_x=True, log_y=False)
+
+
 @query("ratio_of_sums", with_master(f"""
 select carrier_operation, HM_Status, {r6('sum(cast(total_hazmat_release as double)) / sum(cast(total_crashes as double))')}
   as release_rate, count(*) as n_carriers
