@@ -13,6 +13,7 @@ round trip is the two exact medians (one row).
 from __future__ import annotations
 
 import hashlib
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,19 +60,25 @@ def build_master(t: CleanTables, policy: MissingPolicy | None = None) -> DataFra
     return features.add_target(features.add_features(out))
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
+
+
 def master_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The master table for ``sf_dir``, built once per application.
 
     The first call writes it as Parquet under the shared checkpoint folder
     (the pipeline's own checkpoint, S4) and every later call reads it back
     (S5), so report and model queries start from the materialised table
-    instead of re-running the raw-table merge.
+    instead of re-running the raw-table merge.  Only a table this application
+    finished writing is reused.
     """
-    key = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    path = scratch_path(spark, f"master-{key}")
-    try:
-        return read_checkpoint(spark, path)
-    except Exception:  # not written yet in this application
-        pass
-    write_checkpoint(build_master(load_clean(spark, sf_dir)), path)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            digest = hashlib.sha1(f"{key[0]}|{sf_dir}".encode()).hexdigest()[:12]
+            path = scratch_path(spark, f"master-{digest}")
+            write_checkpoint(build_master(load_clean(spark, sf_dir)), path)
+            _WRITTEN[key] = path
     return read_checkpoint(spark, path)

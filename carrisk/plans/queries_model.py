@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +77,12 @@ def evaluations(spark: SparkSession, sf_dir: str) -> list[model.Evaluation]:
     with _LOCK:
         k = _key(spark, sf_dir, "evals")
         if k not in _CACHE:
-            _CACHE[k] = [model.evaluate_feature_set(prep, "Strict (8)", model.FEATURES_A),
-                         model.evaluate_feature_set(prep, f"Fingerprint ({len(model.FEATURES_B)})",
-                                                    model.FEATURES_B)]
+            # the two feature sets are independent: run them side by side so one model's
+            # final fit and rank passes overlap with the other's grid
+            sets = [("Strict (8)", model.FEATURES_A), (f"Fingerprint ({len(model.FEATURES_B)})", model.FEATURES_B)]
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                _CACHE[k] = list(pool.map(
+                    lambda nf: model.evaluate_feature_set(prep, nf[0], nf[1], parallelism=6), sets))
         return _CACHE[k]
 
 
