@@ -668,7 +668,7 @@ def q_argmax_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rv(spark, sf_dir).select("carrier_operation", "dot_number", "sum_severity_weight")
     # best value per group (hash aggregate), then the smallest key among the rows holding it
     best = df.groupBy(F.col("carrier_operation").alias("_op")).agg(F.max("sum_severity_weight").alias("_m"))
-    hits = (df.join(F.broadcast(best), df.carrier_operation.eqNullSafe(best._op))
+    hits = (df.join(best, df.carrier_operation.eqNullSafe(best._op))
             .where(F.col("sum_severity_weight") == F.col("_m")))
     return hits.groupBy("carrier_operation").agg(F.min("dot_number").alias("dot_number"),
                                                  F.first("sum_severity_weight").alias("sum_severity_weight"))

@@ -48,10 +48,10 @@ def read_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     malformed lines land in ``_corrupt_record`` instead of failing the job."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if columns is not None:
-        reader = reader.schema(string_schema(columns)).option("columnNameOfCorruptRecord", CORRUPT)
-    else:
-        reader = reader.option("inferSchema", False)
-    return clean_names(reader.csv(path))
+        # positional schema with the caller's (already clean) names; header line skipped
+        return (reader.schema(string_schema([snake_case(c) for c in columns]))
+                .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    return clean_names(reader.option("inferSchema", False).csv(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
