@@ -20,10 +20,6 @@ def _x(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
-def _maybe_log(col: Column, log10: bool) -> Column:
-    return F.log10(col) if log10 else col
-
-
 def prepare(df: DataFrame, value: str | Column, keys: Sequence[str] = (), log10: bool = False,
             keep_between: tuple[float | None, float | None] | None = None) -> DataFrame:
     """(keys..., x): drop NULL / non-finite, optional axis limits, then optional log10.

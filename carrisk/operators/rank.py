@@ -108,7 +108,7 @@ def ntile(df: DataFrame, n_tiles: int, order: Sequence[str | Column], by: Sequen
         pairs = []
         for g, size in sizes.items():
             pairs += [F.lit("\u0001".join(map(str, g))), F.lit(size)]
-        gkey = F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by])
+        gkey = F.concat_ws("\u0001", *[F.coalesce(F.col(b).cast("string"), F.lit("None")) for b in by])
         size_col = F.element_at(F.create_map(*pairs), gkey) if pairs else F.lit(0)
     else:
         size_col = F.lit(ranked.total)

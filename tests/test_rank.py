@@ -86,3 +86,11 @@ def test_no_single_partition_exchange(spark):
     plan = rank.row_number(df, [F.col("v").asc(), F.col("id").asc()], ["g"]).df._jdf.queryExecution() \
         .executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_ntile_by_group_with_null_group(spark):
+    rows = [(i, None if i % 2 else "A", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = rank.ntile(df, 4, [F.col("v").asc(), F.col("id").asc()], by=["g"], out="t")
+    want = df.withColumn("t", F.ntile(4).over(Window.partitionBy("g").orderBy("v", "id")))
+    assert sorted(got.select("id", "t").collect()) == sorted(want.select("id", "t").collect())
