@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from carrisk.llm import bpe, quality, token_counts  # noqa: F401
+from carrisk.llm import bpe, quality, token_counts, urls  # noqa: F401
 from carrisk.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
