@@ -129,6 +129,7 @@ def banded_distance(a: list, b: list, most: int) -> int:
     a, b = a[same:], b[same:]
     if not b:
         return len(a)
+    limit, most = most, min(most, len(a))
     width = 2 * most + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
     where: dict = {}
@@ -149,7 +150,7 @@ def banded_distance(a: list, b: list, most: int) -> int:
             level >>= 1
         plus, minus = (down | ~((diagonal >> 1) | up)) & mask, (diagonal >> 1) & up
         start += 1
-    return min(distance, most + 1)
+    return min(distance, limit + 1)
 
 
 def edit_similarity(a: list, b: list, least: float) -> float:
