@@ -1,8 +1,8 @@
 """Operator 7: byte-level BPE encoding and decoding.
 
 Method: vectorised pre-tokenisation (``pretok``: class arrays and a
-transition-function scan, no regex); each resulting byte slice goes through
-pair merging once and is then answered from a per-worker cache.  Token byte
+transition-function scan, no regex); the distinct byte slices go through pair
+merging once, many side by side, and are then answered from a per-worker cache.  Token byte
 offsets are kept and place the bytes again when decoding.
 
 Nothing is shuffled: both directions are ``mapInArrow`` over the input
@@ -34,6 +34,7 @@ from carrisk.llm.common import query, table, text_slices
 CACHE_PIECES = 600_000
 CACHED_BYTES = 64
 SCAN_BYTES = 48
+NO_PAIR = 1 << 30
 
 
 @lru_cache(maxsize=4)
@@ -44,31 +45,26 @@ def load_ranks(vocab_path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+@lru_cache(maxsize=4)
+def token_widths(vocab_path: str):
+    """Bytes of every token, by id."""
+    import numpy as np
+
+    ranks = load_ranks(vocab_path)
+    width = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        width[rank] = len(token)
+    return width
+
+
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: merge the adjacent pair of lowest rank, leftmost first, until none is in ``ranks``."""
+    """Ids of one piece: merge the adjacent pair of lowest rank, leftmost first, until none is in ``ranks``.
+
+    A heap of (rank, position) over a linked list: O(n log n) for a long piece.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    if len(piece) > SCAN_BYTES:
-        return _merge_long(piece, ranks)
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    pair_rank = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
-    while pair_rank:
-        best = min(pair_rank)
-        if best == 1 << 30:
-            break
-        i = pair_rank.index(best)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del pair_rank[i]
-        if i:
-            pair_rank[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-        if i < len(pair_rank):
-            pair_rank[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for long pieces in O(n log n): a heap of (rank, position) over a linked list."""
     n = len(piece)
     end, left = list(range(1, n + 1)), list(range(-1, n - 1))  # part i is piece[i:end[i]]; end 0: merged away
 
@@ -97,31 +93,101 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_CACHE: dict[str, dict[bytes, list[int]]] = {}
+class PieceMerger:
+    """Pair merging of many pieces side by side: each turn merges the best pair of every piece at once."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        import numpy as np
 
-def encode_texts(texts: Sequence[str], ranks: dict[bytes, int], cache: dict[bytes, list[int]]) -> list[list[int]]:
-    from itertools import chain
-
-    from carrisk.llm.pretok import pieces
-
-    utf8, bounds, firsts = pieces(list(texts))
-    edges = bounds.tolist()
-    found, out = cache.get, []
-    for a, b in zip(firsts.tolist(), firsts.tolist()[1:]):
-        words = [utf8[x:y] for x, y in zip(edges[2 * a:2 * b:2], edges[2 * a + 1:2 * b:2])]
-        ids = list(map(found, words))
-        if None in ids:
-            for k, known in enumerate(ids):
-                if known is None:
-                    word = words[k]
-                    ids[k] = found(word) or merge_piece(word, ranks)
-                    if len(word) <= CACHED_BYTES:
-                        if len(cache) >= CACHE_PIECES:
-                            cache.clear()
-                        cache[word] = ids[k]
-        out.append(list(chain.from_iterable(ids)))
-    return out
+        self.np, self.ranks = np, ranks
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs.sort()
+        keys, values = zip(*pairs) if pairs else ((), ())
+        self.keys = np.append(np.array(keys, np.int64), 1 << 62)
+        self.values = np.append(np.array(values, np.int32), 0)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.cache: dict[bytes, object] = {}
+
+    def pair_rank(self, left, right):
+        """Rank of the token that two ids make, NO_PAIR where they make none (or one is missing)."""
+        key = left << 32 | right
+        at = self.np.searchsorted(self.keys, key)
+        return self.np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NO_PAIR)
+
+    def merge_all(self, words: list[bytes]):
+        """A list of id arrays."""
+        np = self.np
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        out: list = [None] * len(words)
+        for low, high in ((0, 8), (8, 16), (16, SCAN_BYTES)):
+            rows = np.flatnonzero((size > low) & (size <= high))
+            if not len(rows):
+                continue
+            ids = np.full((len(rows), high + 1), -1, np.int64)
+            inside = np.arange(high + 1) < size[rows, None]
+            ids[inside] = self.byte[np.frombuffer(b"".join([words[i] for i in rows]), np.uint8)]
+            rank = self.pair_rank(ids[:, :-1], ids[:, 1:])
+            live = np.arange(len(rows))
+            columns = np.arange(high)
+            while len(live):
+                r = rank[live]
+                j = r.argmin(1)
+                best = r[np.arange(len(live)), j]
+                more = best < NO_PAIR
+                live, j, best = live[more], j[more], best[more]
+                if not len(live):
+                    break
+                moved = ids[live]
+                moved[np.arange(len(live)), j] = best
+                moved = np.take_along_axis(moved, np.minimum(np.arange(high + 1) + (np.arange(high + 1) > j[:, None]), high), 1)
+                moved[:, -1] = -1
+                r = np.take_along_axis(rank[live], np.minimum(columns + (columns > j[:, None]), high - 1), 1)
+                r[:, -1] = NO_PAIR
+                k = np.arange(len(live))
+                r[k, j] = self.pair_rank(moved[k, j], moved[k, j + 1])
+                b = np.flatnonzero(j > 0)
+                r[b, j[b] - 1] = self.pair_rank(moved[b, j[b] - 1], moved[b, j[b]])
+                ids[live], rank[live] = moved, r
+            flat = ids[ids >= 0].astype(np.int32)
+            ends = np.cumsum((ids >= 0).sum(1))
+            for i, part in zip(rows.tolist(), np.split(flat, ends[:-1])):
+                out[i] = part
+        for i in np.flatnonzero((size == 0) | (size > SCAN_BYTES)).tolist():
+            out[i] = np.array(merge_piece(words[i], self.ranks), np.int32)
+        return out
+
+    def encode(self, texts: Sequence[str]):
+        """(ids of all texts one after another, ends): text ``i`` has ``ids[ends[i]:ends[i + 1]]``."""
+        from carrisk.llm.pretok import pieces
+
+        np, cache = self.np, self.cache
+        distinct, codes, firsts = pieces(list(texts))
+        merged = list(map(cache.get, distinct))
+        new = [k for k, ids in enumerate(merged) if ids is None]
+        if len(cache) + len(new) > CACHE_PIECES:
+            cache.clear()
+        for k, ids in zip(new, self.merge_all([distinct[k] for k in new])):
+            merged[k] = ids
+            if len(distinct[k]) <= CACHED_BYTES:
+                cache[distinct[k]] = ids.tobytes()
+        store = b"".join([x if isinstance(x, bytes) else x.tobytes() for x in merged])
+        store = np.frombuffer(store, np.int32)
+        width = np.array([len(x) // 4 if isinstance(x, bytes) else len(x) for x in merged], np.int64)
+        begin = np.cumsum(width) - width
+        count = width[codes]
+        ends = np.append(0, np.cumsum(count))
+        ids = store[np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], count)]
+        return ids, ends[firsts]
+
+
+_MERGERS: dict[str, PieceMerger] = {}
+
+
+def merger(vocab_path: str) -> PieceMerger:
+    """This worker's merger of a vocabulary, with its cache."""
+    if vocab_path not in _MERGERS:
+        _MERGERS[vocab_path] = PieceMerger(load_ranks(vocab_path))
+    return _MERGERS[vocab_path]
 
 
 def _carried(df: DataFrame, keep: Iterable[str], new: Iterable[str]) -> list[T.StructField]:
@@ -142,17 +208,12 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: Seque
     def run(batches):
         import numpy as np
 
-        ranks = load_ranks(vocab_path)
-        cache = _CACHE.setdefault(vocab_path, {})
-        width = np.zeros(max(ranks.values()) + 1, np.int32)
-        for token, rank in ranks.items():
-            width[rank] = len(token)
+        merge = merger(vocab_path)
+        width = token_widths(vocab_path)
         for part in text_slices(batches, "__text"):
             texts = part.column(n_keep).to_pylist()
-            lists = encode_texts([t or "" for t in texts], ranks, cache)
-            ids = np.fromiter((i for x in lists for i in x), np.int32, sum(map(len, lists)))
-            ends = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=ends[1:])
+            ids, ends = merge.encode([t or "" for t in texts])
+            ends = ends.astype(np.int32)
             after = np.cumsum(width[ids], dtype=np.int64)
             base = np.append(0, after)[ends[:-1]]
             offsets = (after - width[ids] - np.repeat(base, np.diff(ends))).astype(np.int32)
@@ -172,15 +233,9 @@ def decode(encoded: DataFrame, vocab_path: str, keep: Sequence[str] = ("doc_id",
     def run(batches):
         import numpy as np
 
-        ranks = load_ranks(vocab_path)
-        width = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            width[rank] = len(token)
+        width = token_widths(vocab_path)
         first = np.cumsum(width) - width
-        by_rank = sorted(ranks.items(), key=lambda x: x[1])
-        store = np.zeros(int(width.sum()), np.uint8)
-        for token, rank in by_rank:
-            store[first[rank]:first[rank] + len(token)] = np.frombuffer(token, np.uint8)
+        store = np.frombuffer(b"".join(sorted(load_ranks(vocab_path), key=load_ranks(vocab_path).get)), np.uint8)
         for batch in batches:
             for r in range(0, batch.num_rows, 256):
                 part = batch.slice(r, 256)
@@ -190,11 +245,13 @@ def decode(encoded: DataFrame, vocab_path: str, keep: Sequence[str] = ("doc_id",
                         out.append(None)
                         continue
                     ids, offsets = ids.values.to_numpy(), offsets.values.to_numpy().astype(np.int64)
-                    size = int(offsets[-1] + width[ids[-1]]) if len(ids) else 0
-                    got = np.zeros(size, np.uint8)
-                    for k in range(int(width[ids].max(initial=0))):  # k-th byte of every token that has one
-                        at = width[ids] > k if k else slice(None)
-                        got[offsets[at] + k] = store[first[ids[at]] + k]
+                    size = width[ids]
+                    got = np.zeros(int(offsets[-1] + size[-1]) if len(ids) else 0, np.uint8)
+                    source = first[ids]
+                    while len(ids):  # the first byte of every token, the second of those that have one, ...
+                        got[offsets] = store[source]
+                        more = np.flatnonzero(size > 1)
+                        ids, offsets, source, size = ids[more], offsets[more] + 1, source[more] + 1, size[more] - 1
                     out.append(got.tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(out, pa.binary())], names=schema.names)
 

@@ -104,24 +104,28 @@ def scan_starts(sym: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(-1)[:n]
 
 
-def pieces(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(utf8, bounds, firsts): piece ``k`` is ``utf8[bounds[2k]:bounds[2k+1]]`` and text ``i`` owns pieces
-    ``firsts[i]:firsts[i + 1]``; ``utf8`` holds the texts with one byte between them."""
+def pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct, codes, firsts): the k-th piece of all texts is ``distinct[codes[k]]``, and text ``i`` owns
+    pieces ``firsts[i]:firsts[i + 1]``."""
+    import pyarrow as pa
+
     joined = "\n".join(texts) + "\n"
     cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     breaks = np.cumsum(lengths + 1) - 1
     starts = scan_starts(symbols(cp, breaks))
-    width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-    offset = np.cumsum(width) - width
     at = np.flatnonzero(starts)  # every RESET is a start as well: it ends the piece before it
-    begin = offset[at]
+    utf8 = joined.encode("utf-8")
+    if len(utf8) == len(cp):
+        offset = at
+    else:
+        width = 1 + (cp >= 0x80).astype(np.uint8) + (cp >= 0x800) + (cp >= 0x10000)
+        offset = (np.cumsum(width, dtype=np.int64) - width)[at]
+    offsets = np.append(offset, len(utf8)).astype(np.int32 if len(utf8) < 1 << 31 else np.int64)
+    kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
+    slices = pa.Array.from_buffers(kind, len(at), [None, pa.py_buffer(offsets), pa.py_buffer(utf8)]).dictionary_encode()
     is_break = np.zeros(len(cp), bool)
     is_break[breaks] = True
     real = ~is_break[at]
-    ends = np.append(begin[1:], len(cp) and offset[-1] + 1)
-    bounds = np.empty(2 * int(real.sum()), np.int64)
-    bounds[0::2], bounds[1::2] = begin[real], ends[real]
-    owner = np.searchsorted(breaks, at[real])
-    firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return joined.encode("utf-8"), bounds, firsts
+    firsts = np.append(0, np.searchsorted(at[real], breaks))
+    return slices.dictionary.to_pylist(), slices.indices.to_numpy()[real], firsts

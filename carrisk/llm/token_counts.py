@@ -123,13 +123,9 @@ def token_counts(docs: DataFrame, vocab_path: str, text_col: str = "text", keep:
         if trie is None:
             trie = _TRIES[vocab_path] = ForwardTrie(suffix_scores(vocab_path))
         for part in text_slices(batches, "__text"):
-            utf8, bounds, firsts = pieces([t or "" for t in part.column(n_keep).to_pylist()])
-            edges = bounds.tolist()
-            words = [utf8[a:b] for a, b in zip(edges[::2], edges[1::2])]
-            counts = list(map(trie.counts.get, words))
-            if None in counts:
-                counts = [trie.count(w) if c is None else c for w, c in zip(words, counts)]
-            sums = np.append(0, np.cumsum(np.array(counts, np.int64)))[firsts]
+            distinct, codes, firsts = pieces([t or "" for t in part.column(n_keep).to_pylist()])
+            counts = np.array([trie.count(w) for w in distinct], np.int64)[codes]
+            sums = np.append(0, np.cumsum(counts))[firsts]
             yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(np.diff(firsts), pa.int64()),
                                               pa.array(np.diff(sums), pa.int64())], names=schema.names)
 

@@ -23,8 +23,8 @@ ODD = ["", "'s", " 's", "  's", "x's'set'", "\n\n a", " \n", "'ll", "a b", " 
 
 
 def split(texts):
-    utf8, b, first = pretok.pieces(texts)
-    return [[utf8[b[2 * k]:b[2 * k + 1]].decode() for k in range(first[i], first[i + 1])] for i in range(len(texts))]
+    distinct, codes, first = pretok.pieces(texts)
+    return [[distinct[c].decode() for c in codes[first[i]:first[i + 1]]] for i in range(len(texts))]
 
 
 @settings(max_examples=300, deadline=None)
@@ -46,6 +46,13 @@ def test_merge_piece(alphabet, n):
     assert bpe.merge_piece(piece, RANKS) == ENCODING._encode_single_piece(piece)
 
 
+def test_merging_side_by_side():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("theaion é😀 ") for _ in range(rng.randint(1, 60))).encode() for _ in range(3000)] + [b"a", b" " * 300]
+    merged = bpe.PieceMerger(RANKS).merge_all(words)
+    assert [m.tolist() for m in merged] == [ENCODING._encode_single_piece(w) for w in words]
+
+
 def plain_count(word: bytes, scores: dict) -> int:
     best = [(0, 0)]
     for d in range(1, len(word) + 1):
