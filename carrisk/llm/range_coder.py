@@ -216,5 +216,5 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
             size[small] <<= U(16)
             small = small[size[small] < LOW]
         out[t + 2, :k] = x
-        model.update(x, hit2, hit1, class_of.take(x))
+        model.update(x, hit2, hit1, class_of.take(x, mode="clip"))
     return np.ascontiguousarray(out[2:].T)
