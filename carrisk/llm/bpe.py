@@ -14,14 +14,14 @@ is read from ``vocab_path`` by each worker.
 Defined cases: a null text gives null ids, and the query reads it as empty;
 an empty text gives an empty list; rows are kept one to one with their
 ties and repeats, and an empty table gives no rows.  Any other input column
-may be carried with ``keep``; output names must not clash with it.
+may be carried with ``keep``; one with an output's name is replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carrisk.llm.common import query, table, text_slices
+from carrisk.llm.common import not_replaced, query, table, text_slices
 
 CACHE_PIECES = 600_000
 CACHED_BYTES = 64
@@ -190,17 +190,11 @@ def merger(vocab_path: str) -> PieceMerger:
     return _MERGERS[vocab_path]
 
 
-def _carried(df: DataFrame, keep: Iterable[str], new: Iterable[str]) -> list[T.StructField]:
-    keep = list(keep)
-    if clash := {k.lower() for k in keep} & {n.lower() for n in new}:
-        raise ValueError(f"output columns {sorted(clash)} clash with kept input columns")
-    return [df.schema[k] for k in keep]
-
-
 def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",),
            ids_col: str = "token_ids", offsets_col: str = "token_offsets") -> DataFrame:
     """``keep`` + ids and the byte offset of every token in the UTF-8 text; null text: null lists."""
-    schema = T.StructType([*_carried(docs, keep, (ids_col, offsets_col)),
+    keep = not_replaced(keep, (ids_col, offsets_col))
+    schema = T.StructType([*(docs.schema[k] for k in keep),
                            T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)),
                            T.StructField(offsets_col, T.ArrayType(T.IntegerType(), False))])
     n_keep = len(keep)
@@ -227,7 +221,8 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: Seque
 def decode(encoded: DataFrame, vocab_path: str, keep: Sequence[str] = ("doc_id",), ids_col: str = "token_ids",
            offsets_col: str = "token_offsets", bytes_col: str = "decoded") -> DataFrame:
     """``keep`` + the bytes of the ids, each token written at its offset; null ids: null bytes."""
-    schema = T.StructType([*_carried(encoded, keep, (bytes_col,)), T.StructField(bytes_col, T.BinaryType())])
+    keep = not_replaced(keep, (bytes_col,))
+    schema = T.StructType([*(encoded.schema[k] for k in keep), T.StructField(bytes_col, T.BinaryType())])
     n_keep = len(keep)
 
     def run(batches):

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +64,12 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def not_replaced(keep: Iterable[str], new: Iterable[str]) -> list[str]:
+    """The kept input columns, without those that a new column of the same name replaces."""
+    taken = {n.lower() for n in new}
+    return [k for k in keep if k.lower() not in taken]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, max_chars: int = 1 << 20,
                 ) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``max_chars`` bytes of text (one row at least).
@@ -87,4 +93,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, max_chars: int
             first = last
 
 
-__all__ = ["F", "ORACLE", "QUERIES", "checkpoint", "fresh_path", "query", "ship", "table", "text_slices", "written"]
+__all__ = ["F", "ORACLE", "QUERIES", "checkpoint", "fresh_path", "not_replaced", "query", "ship", "table", "text_slices", "written"]

@@ -14,7 +14,7 @@ million bytes; no shuffle.
 
 Defined cases: null and empty texts have no words (all figures 0) and fail
 ``n_words < min_words``; every row gives one row, repeats included; an empty
-table gives none; kept input columns may have any name but the outputs'.
+table gives none; a kept input column with an output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carrisk.llm.common import query, table, text_slices
+from carrisk.llm.common import not_replaced, query, table, text_slices
 
 SAMPLE_ROWS = 2000
 SYMBOLS = "#*$%&|<>"
@@ -190,17 +190,15 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def apply_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str = "text", keep: Sequence[str] = ("doc_id",),
-                with_base: bool = True, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``keep`` + [base figures] + ``kept`` and ``failed_rule`` (null where kept)."""
+                with_base: bool = True, sample_rows: int = SAMPLE_ROWS, kept_col: str = "kept", failed_col: str = "failed_rule") -> DataFrame:
+    """``keep`` + [base figures] + ``kept_col`` and ``failed_col`` (null where kept)."""
     rules = list(default_rules() if rules is None else rules)
     place = {name: i for i, name in enumerate(order_rules(docs, rules, text_col, sample_rows))}
     ordered = sorted(rules, key=lambda r: place[r.name])
     base = BASE if with_base else ()
-    new = [*base, "kept", "failed_rule"]
-    if clash := {k.lower() for k in keep} & set(new):
-        raise ValueError(f"output columns {sorted(clash)} clash with kept input columns")
+    keep = not_replaced(keep, (*base, kept_col, failed_col))
     schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(b, T.LongType(), False) for b in base),
-                           T.StructField("kept", T.BooleanType(), False), T.StructField("failed_rule", T.StringType())])
+                           T.StructField(kept_col, T.BooleanType(), False), T.StructField(failed_col, T.StringType())])
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -16,8 +16,8 @@ Counts are summed within the task that holds the text: no shuffle, no join,
 and a text's memory is bounded by its own length.
 
 Defined cases: null and empty texts count 0; every input row gives one row,
-repeats included; an empty table gives none; kept input columns may have any
-name but the outputs'.
+repeats included; an empty table gives none; a kept input column with an
+output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carrisk.llm.bpe import load_ranks
-from carrisk.llm.common import query, table, text_slices
+from carrisk.llm.common import not_replaced, query, table, text_slices
 
 MAX_NODES = 500_000
 MAX_COUNTS = 500_000
@@ -109,8 +109,7 @@ _TRIES: dict[str, ForwardTrie] = {}
 def token_counts(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` + ``n_pretokens`` and ``n_tokens`` of every whole text."""
     new = ("n_pretokens", "n_tokens")
-    if clash := {k.lower() for k in keep} & set(new):
-        raise ValueError(f"output columns {sorted(clash)} clash with kept input columns")
+    keep = not_replaced(keep, new)
     schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(n, T.LongType(), False) for n in new)])
     n_keep = len(keep)
 

@@ -48,4 +48,6 @@ def test_edges(spark):
     out = quality.apply_rules(docs, keep=("doc_id", "n_words_")).collect()
     assert sorted((r.doc_id or 0, r.kept) for r in out) == [(0, False), (1, False), (2, False), (3, True), (3, True), (5, False)]
     assert quality.apply_rules(docs.limit(0)).count() == 0
+    named = docs.withColumnRenamed("n_words_", "kept")
+    assert [r.kept for r in quality.apply_rules(named, keep=("doc_id", "kept")).collect()] == [r.kept for r in out]
     assert set(quality.order_rules(docs, quality.default_rules())) == {r.name for r in quality.default_rules()}

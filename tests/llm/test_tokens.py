@@ -116,7 +116,9 @@ def test_edge_rows(spark, odd):
 
 
 def test_clashing_names(odd):
-    with pytest.raises(ValueError):
-        bpe.encode(odd, VOCAB, keep=("text",), ids_col="TEXT")
-    with pytest.raises(ValueError):
-        token_counts.token_counts(odd.withColumnRenamed("n_tokens_", "n_tokens"), VOCAB, keep=("n_tokens",))
+    """An output replaces a kept column of its name."""
+    named = odd.withColumnRenamed("n_tokens_", "TOKEN_IDS")
+    out = bpe.encode(named, VOCAB, keep=("doc_id", "TOKEN_IDS"))
+    assert out.columns == ["doc_id", "token_ids", "token_offsets"] and out.count() == odd.count()
+    out = token_counts.token_counts(odd.withColumnRenamed("n_tokens_", "n_tokens"), VOCAB, keep=("doc_id", "n_tokens"))
+    assert out.columns == ["doc_id", "n_pretokens", "n_tokens"] and out.count() == odd.count()
