@@ -2,9 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and gives it, read again, to the
-next one.  All but the last stage return the columns of their input documents.
-Rows with a null id pass the filters on ids only if their stage cannot tell
-anything against them.
+next one.  All but the last stage return the columns of their input documents,
+whatever their names (those that begin with two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -22,21 +21,19 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that no rule rejects (null and empty texts go)."""
     ship(spark)
-    judged = quality.apply_rules(docs, keep=docs.columns, with_base=False)
-    return judged.where("kept").select(*docs.columns)
+    judged = quality.apply_rules(docs, keep=docs.columns, with_base=False, kept_col="__kept", failed_col="__failed")
+    return judged.where("__kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies: the one with the least id.
 
-    A repeated row is one document; rows with a null id stay unless they are copies of a document with an id.
+    A repeated id is one document; rows with a null id stay, as no class can name them.
     """
     ship(spark)
-    classes = near_dedup.near_duplicates(docs).where("doc_id is not null and class_id = doc_id").select("doc_id").distinct()
-    first = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    copies = docs.where("doc_id is not null").select("text")
-    return first.select(*docs.columns).unionByName(unnamed.join(copies, "text", "left_anti").select(*docs.columns))
+    kept = near_dedup.near_duplicates(docs).where("doc_id is not null and class_id = doc_id").select("doc_id").distinct()
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
