@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carrisk.operators import rank
+
 
 def freq_count(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """A4: counts per key combination; NULL is its own group."""
@@ -57,39 +59,34 @@ def min_group_size(grouped: DataFrame, n_col: str, minimum: int) -> DataFrame:
     return grouped.where(F.col(n_col) >= F.lit(minimum))
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Interpolated quantiles (R type 7 = Spark ``percentile``), long form.
-
-    ``percentile`` keeps a value -> count map per group, bounded for counts
-    and rates; ``approx=True`` switches to ``percentile_approx`` for wide
-    float domains.
-    """
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Interpolated quantiles (R type 7) from distributed ranks, long form."""
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    col = F.col(column).cast("double")
-    q = (F.percentile_approx(col, arr, accuracy) if approx else F.percentile(col, arr))
-    wide = df.groupBy(*keys).agg(q.alias("_q"))
-    pairs = F.arrays_zip(arr.alias("prob"), F.col("_q").alias("value"))
+    wide = rank.quantiles(df, {column: column}, probs, keys)
+    pairs = F.arrays_zip(arr.alias("prob"), F.col("q").alias("value"))
     return wide.select(*keys, F.inline(pairs))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A10: min, quartiles, mean, max, NULL count per numeric column, long form, one pass."""
+    """A10: min, quartiles, mean, max, NULL count per numeric column, long form.
+
+    One aggregate for the sums, and one pass of value counts for all quartiles.
+    """
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.min(x).alias(f"{c}__min"), F.percentile(x, probs).alias(f"{c}__q"),
+        aggs += [F.min(x).alias(f"{c}__min"),
                  F.avg(x).alias(f"{c}__mean"), F.max(x).alias(f"{c}__max"),
                  F.count_if(F.col(c).isNull()).alias(f"{c}__na")]
     wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__min").alias("min"),
-                     F.col(f"{c}__q")[0].alias("q1"), F.col(f"{c}__q")[1].alias("median"),
-                     F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__q")[2].alias("q3"),
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__mean").alias("mean"),
                      F.col(f"{c}__max").alias("max"), F.col(f"{c}__na").alias("n_missing"))
             for c in cols]
-    return wide.select(F.inline(F.array(*rows)))
+    quart = rank.quantiles(df, {c: c for c in cols}, [0.25, 0.5, 0.75]).select(F.col("column").alias("_c"), "q")
+    long = wide.select(F.inline(F.array(*rows)))
+    return long.join(quart, F.col("column") == F.col("_c"), "left").select(
+        "column", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "max", "n_missing")
 
 
 def corr_pairwise(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 """Distribution summaries: the statistics behind the pipeline's figures.
 
 Each returns a small table computed on the cluster; cost is one or two
-aggregate passes regardless of row count.  Range bounds (min/max/quantiles)
-are fetched as scalars and inlined as literals, so no plan carries a join
-against a one-row frame.
+aggregate passes regardless of row count.  Range bounds over all groups are
+fetched as scalars and inlined as literals; what is per group (bandwidths,
+quartiles) stays in a frame with a row per group and is joined.
 """
 
 from __future__ import annotations
@@ -14,6 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carrisk.operators import rank
+
+
+def _keyed(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, NULL keys included; the keys come once."""
+    side = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(side, cond).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def _x(c: str | Column) -> Column:
@@ -65,13 +75,12 @@ def histogram(df: DataFrame, value: str | Column, bins: int = 60, log10: bool =
                          "n")
 
 
-def _nrd0(sd: float | None, iqr: float | None, n: int, first: float | None) -> float:
-    """Silverman's rule of thumb (the ``bw.nrd0`` fallbacks included)."""
-    hi = sd or 0.0
-    lo = min(hi, (iqr or 0.0) / 1.34)
-    if not lo:
-        lo = hi or abs(first or 0.0) or 1.0
-    return 0.9 * lo * n ** -0.2
+def _nrd0(sd: str, iqr: str, n: str, least: str) -> Column:
+    """R's default bandwidth as a column: 0.9 min(sd, IQR / 1.34) n^-0.2, with its fallbacks for 0."""
+    hi = F.coalesce(F.col(sd), F.lit(0.0))
+    lo = F.least(hi, F.coalesce(F.col(iqr), F.lit(0.0)) / F.lit(1.34))
+    lo = F.when(lo != 0, lo).when(hi != 0, hi).when(F.col(least) != 0, F.abs(F.col(least))).otherwise(F.lit(1.0))
+    return F.lit(0.9) * lo * F.pow(F.col(n).cast("double"), F.lit(-0.2))
 
 
 def kde(df: DataFrame, value: str | Column, keys: Sequence[str] = (), grid: int = 512,
@@ -88,36 +97,23 @@ def kde(df: DataFrame, value: str | Column, keys: Sequence[str] = (), grid: int
     Columns: keys..., x, density, n, bw.
     """
     x = prepare(df, value, keys, log10, keep_between)
-    stats = (x.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("x").alias("first")).collect())
-    if not stats:
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if ends["lo"] is None:
         return x.select(*keys, F.col("x"), F.col("x").alias("density"), F.lit(0).cast("long").alias("n"),
                         F.col("x").alias("bw")).limit(0)
-    lo = min(float(r["lo"]) for r in stats)
-    hi = max(float(r["hi"]) for r in stats)
+    lo, hi = float(ends["lo"]), float(ends["hi"])
     if keep_between is not None and None not in keep_between and not log10:
         lo, hi = float(keep_between[0]), float(keep_between[1])
     span = hi - lo if hi > lo else 1.0
     fw = span / fine_bins
     step = span / (grid - 1) if grid > 1 else 0.0
-    bw_pairs, n_pairs = [], []
-    for r in stats:
-        q1, q3 = (r["q"] or [None, None])
-        iqr = (q3 - q1) if q1 is not None and q3 is not None else 0.0
-        bw = _nrd0(r["sd"], iqr, int(r["n"]), r["first"])
-        gkey = F.lit("\u0001".join(str(r[k]) for k in keys))
-        bw_pairs += [gkey, F.lit(bw)]
-        n_pairs += [gkey, F.lit(int(r["n"])).cast("long")]
-    gcol = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys]) \
-        if keys else F.lit("")
+    spread = x.groupBy(*keys).agg(F.stddev_samp("x").alias("sd"), F.min("x").alias("least"))
+    quart = rank.quantiles(x, {"x": "x"}, [0.25, 0.75], keys).select(*keys, "n", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    stats = _keyed(spread, quart, keys).select(*keys, "n", _nrd0("sd", "iqr", "n", "least").alias("bw"))
     fb = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(fw)), F.lit(fine_bins - 1)).cast("int")
     binned = x.groupBy(*keys, fb.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     hist = binned.groupBy(*keys).agg(F.collect_list(F.struct("b", "c")).alias("h"))
-    bw_col = F.element_at(F.create_map(*bw_pairs), gcol)
-    n_col = F.element_at(F.create_map(*n_pairs), gcol)
-    hist = hist.withColumns({"bw": bw_col, "n": n_col})
+    hist = _keyed(hist, stats, keys)
     inv = 1.0 / math.sqrt(2 * math.pi)
     dens = F.transform(
         F.sequence(F.lit(0), F.lit(grid - 1)),
@@ -167,11 +163,8 @@ def box_stats(df: DataFrame, value: str | Column, keys: Sequence[str] = (), log1
     gkeys = list(keys) or ["_all"]
     if not keys:
         x = x.withColumn("_all", F.lit(0))
-    q = x.groupBy(*gkeys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*gkeys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = rank.quantiles(x, {"x": "x"}, [0.25, 0.5, 0.75], gkeys).select(
+        *gkeys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     lo_f = F.col("q1") - F.lit(coef) * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + F.lit(coef) * (F.col("q3") - F.col("q1"))
     qk = q.select(*[F.col(k).alias(f"_q_{k}") for k in gkeys], "q1", "q3")
@@ -217,8 +210,9 @@ def capped_hash_sample(df: DataFrame, key: str, cap: int, seed: int = 42) -> Dat
 
 def quantile_limits(ref: DataFrame, probs: dict[str, float]) -> dict[str, float | None]:
     """Upper axis limits at quantiles of a reference frame (one aggregate, scalars back)."""
-    row = ref.agg(*[F.percentile(_x(c), F.lit(float(q))).alias(c) for c, q in probs.items()]).first()
-    return {c: row[c] for c in probs}
+    wanted = sorted(set(probs.values()))
+    found = {r["column"]: r["q"] for r in rank.quantiles(ref, {c: c for c in probs}, wanted).collect()}
+    return {c: found[c][wanted.index(q)] if c in found else None for c, q in probs.items()}
 
 
 def trimmed_rows(df: DataFrame, limits: dict[str, tuple[float | None, float | None]]) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carrisk.operators import rank
 from carrisk.operators.clean import present
 from carrisk.operators.rollup import ZERO_FILL, zero_fill
 
@@ -24,16 +25,12 @@ GEOGRAPHY = ("phy_state", "phy_city", "phy_zip")
 
 
 def fit_medians(df: DataFrame, columns=MEDIAN_FILL) -> dict[str, float | None]:
-    """Exact medians of all columns in one aggregate pass (1 row to the driver).
-
-    ``median`` is Spark's exact (interpolated) percentile; its partial state is a
-    value -> count map, bounded here because the columns are unit counts.
-    """
+    """Exact medians of all columns in one shared pass (``rank.quantiles``; a row per column to the driver)."""
     cols = present(df, columns)
     if not cols:
         return {}
-    row = df.agg(*[F.median(F.col(c)).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    found = {r["column"]: r["q"][0] for r in rank.quantiles(df, {c: c for c in cols}, [0.5]).collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def impute_median(df: DataFrame, medians: dict[str, float | None], zero_is_missing: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrisk.operators import rank
+from carrisk.session import checkpoint
 
 
 def auc_frame(df: DataFrame, label: str, score: str, positive: str = "OOS", by: Sequence[str] = ()) -> DataFrame:
@@ -21,9 +22,7 @@ def auc_frame(df: DataFrame, label: str, score: str, positive: str = "OOS", by:
 
     Columns: by..., n_pos, n_neg, auc.  Rows with a NULL score are dropped.
     """
-    src = df.where(F.col(score).isNotNull())
-    per_value, _ = rank.value_mid_ranks(
-        src, score, by, extra_aggs=[F.count_if(F.col(label) == F.lit(positive)).alias("pos")])
+    per_value = rank.value_mid_ranks(df, score, by, extra_aggs=[F.count_if(F.col(label) == F.lit(positive)).alias("pos")])
     agg = per_value.groupBy(*by).agg(
         F.sum("pos").cast("double").alias("n_pos"),
         (F.sum("cnt") - F.sum("pos")).cast("double").alias("n_neg"),
@@ -43,29 +42,19 @@ def auc(df: DataFrame, label: str, score: str, positive: str = "OOS") -> float |
 def roc_points(df: DataFrame, label: str, score: str, positive: str = "OOS") -> DataFrame:
     """One ROC point per distinct score t (predict positive when score >= t).
 
-    Cumulative counts come from exact row numbers in descending score order,
-    computed once over all rows and once within each class: at a score t,
-    R = rows with score >= t, and whichever class occurs at t gives its own
-    cumulative count directly; the other is R minus it.
-    Columns: threshold, tp, fp, tpr, fpr.
+    Scores become counts per distinct score in a hash aggregate; running
+    sums over these, in descending order, are the cumulative counts.
+    Columns: threshold, tp, fp, tpr, fpr (NULL where a class is empty).
     """
-    src = df.where(F.col(score).isNotNull()).select(
-        F.col(score).cast("double").alias("s"), (F.col(label) == F.lit(positive)).alias("y"))
-    src = src.withColumn("_tie", F.monotonically_increasing_id())
-    tagged = (src.withColumn("_stratum", F.lit("all"))
-              .unionByName(src.withColumn("_stratum", F.when(F.col("y"), F.lit("pos")).otherwise(F.lit("neg")))))
-    ranked = rank.row_number(tagged, [F.col("s").desc(), F.col("_tie").asc()], ["_stratum"], out="_rn")
-    sizes = ranked.group_sizes
-    n_pos = float(sizes.get(("pos",), 0))
-    n_neg = float(sizes.get(("neg",), 0))
-    per = ranked.df.groupBy("s").pivot("_stratum", ["all", "pos", "neg"]).agg(F.max("_rn"))
-    tp = F.when(F.col("pos").isNotNull(), F.col("pos")).otherwise(F.col("all") - F.col("neg"))
-    fp = F.when(F.col("neg").isNotNull(), F.col("neg")).otherwise(F.col("all") - F.col("pos"))
-    out = per.select(F.col("s").alias("threshold"), tp.cast("long").alias("tp"), fp.cast("long").alias("fp"))
+    counts = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold"))
+              .agg(F.count_if(F.col(label) == F.lit(positive)).alias("pos"), F.count(F.lit(1)).alias("cnt"))
+              .withColumn("neg", F.col("cnt") - F.col("pos")).drop("cnt"))
+    runs = rank.cumulate(counts, [F.col("threshold").desc()], [], {"pos": "_pos", "neg": "_neg"}, {"pos": "n_pos", "neg": "n_neg"})
+    out = runs.select("threshold", (F.col("_pos") + F.col("pos")).alias("tp"), (F.col("_neg") + F.col("neg")).alias("fp"), "n_pos", "n_neg")
     return out.withColumns({
-        "tpr": F.col("tp") / F.lit(n_pos) if n_pos else F.lit(None).cast("double"),
-        "fpr": F.col("fp") / F.lit(n_neg) if n_neg else F.lit(None).cast("double"),
-    })
+        "tpr": F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos")),
+        "fpr": F.when(F.col("n_neg") > 0, F.col("fp") / F.col("n_neg")),
+    }).drop("n_pos", "n_neg")
 
 
 def youden(roc: DataFrame) -> DataFrame:
@@ -135,21 +124,21 @@ def _chi2_sf(x: float, df: int) -> float:
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     """K8: tie-corrected Kruskal-Wallis H across ``group`` on ``value`` (NULLs dropped).
 
-    Ranks are exact distributed mid-ranks; rank sums per group and the tie
-    term sum(t^3 - t) are aggregates over distinct values.  H and df are
+    Rows become counts per (value, group) at once; mid-ranks, rank sums per
+    group and the tie term sum(t^3 - t) come from distinct values.  H and df are
     computed in the plan; the p-value (chi-square upper tail) is a scalar
     computed on the driver.  Descriptive only when the groups were formed
     from the same variables (as with clusters).
     """
-    src = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    # per distinct value: count and mid-rank; per (value, group): count
-    per_value, sizes = rank.value_mid_ranks(src.select(value), value)
-    vg = src.groupBy(value, group).agg(F.count(F.lit(1)).alias("c"))
-    pv = per_value.select(F.col(value).alias("_v"), "cnt", "mid_rank")
-    j = vg.join(pv, vg[value] == pv["_v"])
-    per_group = j.groupBy(group).agg(F.sum("c").alias("n_j"), F.sum(F.col("c") * F.col("mid_rank")).alias("r_j"))
-    n_total = float(sum(sizes.values()))
-    ties = per_value.agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("t")).first()["t"] or 0.0
+    counts = (df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+              .groupBy(value, group).agg(F.count(F.lit(1)).alias("c")))
+    counts = checkpoint(counts)
+    per_value = rank.cumulate(counts.groupBy(value).agg(F.sum("c").alias("cnt")), [F.col(value).asc()], [], {"cnt": "_before"})
+    pv = checkpoint(per_value.select(F.col(value).alias("_v"), "cnt", (F.col("_before") + (F.col("cnt") + 1) / F.lit(2.0)).alias("mid_rank")))
+    per_group = (counts.join(pv, F.col(value) == F.col("_v")).groupBy(group)
+                 .agg(F.sum("c").alias("n_j"), F.sum(F.col("c") * F.col("mid_rank")).alias("r_j")))
+    sums = pv.agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("t"), F.sum("cnt").alias("n")).first()
+    n_total, ties = float(sums["n"] or 0), sums["t"] or 0.0
     stats = per_group.agg(F.sum(F.col("r_j") * F.col("r_j") / F.col("n_j")).alias("s"),
                           F.count(F.lit(1)).alias("k")).first()
     k = int(stats["k"] or 0)

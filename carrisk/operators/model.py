@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.ml.classification import RandomForestClassifier, RandomForestClassificationModel
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from carrisk.functions import scalar as S
 from carrisk.operators import clean, metrics, rank, sampling
+from carrisk.session import checkpoint, scratch_path
 
 # Feature sets of the two models and the report labels of features.
 FEATURES_A = ("fleet_size_log", "log_driver_total", "hm_flag", "is_interstate", "is_intra_hazmat",
@@ -105,7 +106,8 @@ class Winsorizer:
     cap: float | None = None
 
     def fit(self, df: DataFrame) -> "Winsorizer":
-        self.cap = df.agg(F.percentile(F.col(self.column).cast("double"), F.lit(self.q)).alias("c")).first()["c"]
+        row = rank.quantiles(df, {"cap": self.column}, [self.q]).first()
+        self.cap = row["q"][0] if row else None
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -122,16 +124,15 @@ class StateTierEncoder:
     quantiles 0, 1/3, 2/3, 1) of those shares; ``[q0, q1]`` LOW, ``(q1, q2]``
     MED, ``(q2, q3]`` HIGH.  transform: lookup, unseen -> MED.  When cut
     points coincide every state falls back to MED (``degenerate``).
-    The fitted table holds one row per state, so it is collected and applied
-    as a literal map (size checked), never as a data-sized broadcast.
+    The fitted table (a row per state) stays a frame and is joined; only its
+    four cut points come to the driver.
     """
     state: str = "phy_state"
     label: str = "oos_flag"
     min_n: int = 30
     default: str = "MED"
-    max_states: int = 100_000
-    tiers: dict[str, str] = field(default_factory=dict)
     rates: DataFrame | None = None
+    cuts: list[float] | None = None
     degenerate: bool = False
 
     def fit(self, train: DataFrame) -> "StateTierEncoder":
@@ -139,54 +140,24 @@ class StateTierEncoder:
             F.count(F.lit(1)).alias("n"),
             F.avg((F.col(self.label) == POSITIVE).cast("double")).alias("state_oos_rate"))
             .where(F.col("n") >= self.min_n))
-        rows = rates.collect()
-        if len(rows) > self.max_states:
-            raise ValueError("too many states for a literal tier map")
-        self.rates = rates
-        vals = sorted(r["state_oos_rate"] for r in rows)
-        if not vals:
-            self.tiers, self.degenerate = {}, True
-            return self
-        cuts = [_quantile7(vals, p) for p in (0.0, 1 / 3, 2 / 3, 1.0)]
-        if len(set(cuts)) < 4:
-            self.tiers, self.degenerate = {}, True
-            return self
-        tiers = {}
-        for r in rows:
-            v = r["state_oos_rate"]
-            if cuts[0] <= v <= cuts[1]:
-                tiers[r[self.state]] = "LOW"
-            elif v <= cuts[2]:
-                tiers[r[self.state]] = "MED"
-            else:
-                tiers[r[self.state]] = "HIGH"
-        self.tiers = tiers
+        self.rates = checkpoint(rates)
+        found = rank.quantiles(self.rates, {"rate": "state_oos_rate"}, [0.0, 1 / 3, 2 / 3, 1.0]).first()
+        self.cuts = list(found["q"]) if found and found["n"] else None
+        self.degenerate = self.cuts is None or len(set(self.cuts)) < 4
         return self
 
-    def tier_column(self):
-        if not self.tiers:
-            return F.lit(self.default)
-        pairs = []
-        for k, v in self.tiers.items():
-            pairs += [F.lit(k), F.lit(v)]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(self.state)), F.lit(self.default))
-
-    def transform(self, df: DataFrame, out: str = "state_risk_tier_label") -> DataFrame:
-        return df.withColumn(out, self.tier_column())
-
     def table(self) -> DataFrame:
-        """The fitted (state, tier) table."""
+        """The fitted (state, n, state_oos_rate, state_risk_tier) table; all MED where the cuts coincide."""
         assert self.rates is not None
-        spark = self.rates.sparkSession
-        return spark.createDataFrame(sorted(self.tiers.items()), f"{self.state} string, state_risk_tier string")
-
+        rate = F.col("state_oos_rate")
+        tier = F.lit(self.default) if self.degenerate else (
+            F.when((rate >= self.cuts[0]) & (rate <= self.cuts[1]), "LOW").when(rate <= self.cuts[2], "MED").otherwise("HIGH"))
+        return self.rates.withColumn("state_risk_tier", tier)
 
-def _quantile7(sorted_vals: list[float], p: float) -> float:
-    n = len(sorted_vals)
-    h = (n - 1) * p
-    lo = math.floor(h)
-    hi = min(lo + 1, n - 1)
-    return sorted_vals[lo] + (h - lo) * (sorted_vals[hi] - sorted_vals[lo])
+    def transform(self, df: DataFrame, out: str = "state_risk_tier_label") -> DataFrame:
+        tiers = self.table().select(F.col(self.state).alias("_state"), F.col("state_risk_tier").alias("_tier"))
+        joined = df.join(tiers, F.col(self.state) == F.col("_state"), "left")
+        return joined.withColumn(out, F.coalesce("_tier", F.lit(self.default))).drop("_state", "_tier")
 
 
 # ---------------------------------------------------------------- prepared data
@@ -226,6 +197,9 @@ def prepare(master: DataFrame, seed: int = 42, cap_fit_on: str = "train", train_
 
 
 # ---------------------------------------------------------------- forests
+MAX_DEPTH = 30  # the most Spark's trees can hold; node sizes stop them earlier
+
+
 def sized(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
     """Repartition a frame that many small fits will read to ~``rows_per_partition`` rows
     per partition: tiny tuning sets become one task per level job instead of
@@ -247,7 +221,7 @@ def assembler(features) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
 
 
-def forest(mtry: int, node_size: int, trees: int, seed: int = 42, max_depth: int = 12,
+def forest(mtry: int, node_size: int, trees: int, seed: int = 42, max_depth: int = MAX_DEPTH,
            max_bins: int = 64) -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees,
@@ -264,13 +238,13 @@ def score(model: RandomForestClassificationModel, df: DataFrame, features, out:
 
 
 def fit_forest(train: DataFrame, features, mtry: int, node_size: int, trees: int, seed: int = 42,
-               max_depth: int = 12) -> RandomForestClassificationModel:
+               max_depth: int = MAX_DEPTH) -> RandomForestClassificationModel:
     """M8: probability forest with case weights."""
     return forest(mtry, node_size, trees, seed, max_depth).fit(assembler(features).transform(train))
 
 
 def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac: float = 0.1,
-            seed: int = 42, max_depth: int = 12, parallelism: int = 8) -> DataFrame:
+            seed: int = 42, max_depth: int = MAX_DEPTH, parallelism: int = 8) -> DataFrame:
     """M9: grid {mtry} x {20, 100, 300} scored by 5-fold CV on a stratified 10% of train.
 
     Fits run concurrently from driver threads (each fit is its own set of
@@ -296,7 +270,7 @@ def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac:
         stacked = preds[0]
         for p in preds[1:]:
             stacked = stacked.unionByName(p)
-        # every fold AUC from one ranked pass over the stacked validation scores
+        # every fold AUC from one pass over the stacked validation scores
         fold_auc = metrics.auc_frame(stacked, "oos_flag", "prob", POSITIVE, by=["mtry", "min_node_size", "fold"])
         results = [(r["mtry"], r["min_node_size"], r["fold"], r["auc"]) for r in fold_auc.collect()]
     finally:
@@ -334,15 +308,14 @@ class Evaluation:
 
 
 def evaluate_feature_set(prep: Prepared, name: str, features, trees_final: int = 500, trees_cv: int = 300,
-                         seed: int = 42, max_depth: int = 12, train_cap: int = 25000,
-                         parallelism: int = 8) -> Evaluation:
+                         seed: int = 42, max_depth: int = MAX_DEPTH, parallelism: int = 8) -> Evaluation:
     """Tune, fit, score and evaluate one feature set on the shared split."""
     cv = grid_cv(prep.train, features, trees_cv, seed=seed, max_depth=max_depth, parallelism=parallelism)
     mtry, ns, auc_cv = best_params(cv)
     model = fit_forest(prep.train, features, mtry, ns, trees_final, seed, max_depth)
-    test_scores = score(model, prep.test, features).select("dot_number", "oos_flag", "prob")
-    sample = sampling.capped_sample(prep.train, "oos_flag", "dot_number", train_cap, f"{seed}|cap")
-    auc_train = metrics.auc(score(model, sample, features), "oos_flag", "prob", POSITIVE)
+    # written once: AUC, ROC, confusion and the score reports all read it
+    test_scores = checkpoint(score(model, prep.test, features).select("dot_number", "oos_flag", "prob"))
+    auc_train = metrics.auc(score(model, prep.train, features), "oos_flag", "prob", POSITIVE)
     auc_test = metrics.auc(test_scores, "oos_flag", "prob", POSITIVE)
     roc = metrics.roc_points(test_scores, "oos_flag", "prob", POSITIVE)
     yj = metrics.youden(roc).first()
@@ -443,7 +416,7 @@ def poisson1(key: str, tree: int, seed: int = 42):
 
 
 def oob_curve(train: DataFrame, features, mtry: int, node_size: int, trees: int = 500,
-              steps=TREE_STEPS, seed: int = 42, max_depth: int = 12, parallelism: int = 8,
+              steps=TREE_STEPS, seed: int = 42, max_depth: int = MAX_DEPTH, parallelism: int = 8,
               path: str | None = None) -> DataFrame:
     """OOB misclassification error for the first n trees of a bagged forest.
 
@@ -455,7 +428,6 @@ def oob_curve(train: DataFrame, features, mtry: int, node_size: int, trees: int
     then one aggregate: for each step, the majority of OOB votes >= 0.5 ->
     OOS, rows without an OOB tree skipped.
     """
-    from carrisk.session import scratch_path
     import uuid
     spark = train.sparkSession
     steps = [s for s in steps if s <= trees]

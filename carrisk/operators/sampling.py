@@ -9,7 +9,6 @@ every split here has an SQL oracle.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,44 +21,33 @@ def hash_order(key: str, seed: int | str = 42) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
-def _class_rank(df: DataFrame, label: str, key: str, seed) -> rank.Ranked:
-    return rank.row_number(df, [hash_order(key, seed).asc(), F.col(key).asc()], [label], out="_rn")
-
-
-def _size_map(sizes: dict[tuple, int], fn) -> Column:
-    pairs = []
-    for g, n in sizes.items():
-        pairs += [F.lit(g[0]), F.lit(int(fn(n)))]
-    return F.create_map(*pairs)
+def _class_rank(df: DataFrame, label: str, key: str, seed) -> DataFrame:
+    """``df`` with ``_rn``, the place in the class's hash order, and ``_n``, the size of the class."""
+    return rank.row_number(df, [hash_order(key, seed).asc(), F.col(key).asc()], [label], out="_rn", size="_n").df
 
 
 def strat_split(df: DataFrame, label: str, key: str, frac: float = 0.7, seed: int | str = 42,
                 out: str = "split") -> DataFrame:
     """M1: ``train`` for the first floor(frac * n) rows of each class in hash order, else ``test``."""
-    ranked = _class_rank(df, label, key, seed)
-    cut = F.element_at(_size_map(ranked.group_sizes, lambda n: math.floor(frac * n)), F.col(label))
-    return ranked.df.withColumn(out, F.when(F.col("_rn") <= cut, F.lit("train")).otherwise(F.lit("test"))) \
-        .drop("_rn")
+    first = F.col("_rn") <= F.floor(F.lit(float(frac)) * F.col("_n"))
+    return (_class_rank(df, label, key, seed).withColumn(out, F.when(first, F.lit("train")).otherwise(F.lit("test")))
+            .drop("_rn", "_n"))
 
 
 def strat_fraction(df: DataFrame, label: str, key: str, frac: float = 0.1, seed: int | str = "42|tune") -> DataFrame:
     """M2: floor(frac * n) rows per class (the CV tuning subset)."""
-    ranked = _class_rank(df, label, key, seed)
-    cut = F.element_at(_size_map(ranked.group_sizes, lambda n: math.floor(frac * n)), F.col(label))
-    return ranked.df.where(F.col("_rn") <= cut).drop("_rn")
+    return _class_rank(df, label, key, seed).where(F.col("_rn") <= F.floor(F.lit(float(frac)) * F.col("_n"))).drop("_rn", "_n")
 
 
 def strat_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | str = "42|fold",
                 out: str = "fold") -> DataFrame:
     """M4: stratified fold id in 0..k-1 (round-robin over the hash order within class)."""
-    ranked = _class_rank(df, label, key, seed)
-    return ranked.df.withColumn(out, F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn")
+    return _class_rank(df, label, key, seed).withColumn(out, F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn", "_n")
 
 
 def capped_sample(df: DataFrame, label: str, key: str, cap: int, seed: int | str = "42|cap") -> DataFrame:
     """M3: at most ``cap`` rows per class, the first in hash order."""
-    ranked = _class_rank(df, label, key, seed)
-    return ranked.df.where(F.col("_rn") <= F.lit(cap)).drop("_rn")
+    return _class_rank(df, label, key, seed).where(F.col("_rn") <= F.lit(cap)).drop("_rn", "_n")
 
 
 def class_weights(df: DataFrame, label: str, classes: Sequence[str] = ("Clean", "OOS")) -> dict[str, float]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrisk.functions import scalar as S
-from carrisk.operators import clean
+from carrisk.operators import clean, rank
 
 # The 15 clustering features, raw outcome columns kept beside
 # them, and the report labels of the features.
@@ -189,9 +189,10 @@ def segment(base: DataFrame, k: int = 4, starts: int = 50, max_iter: int = 500,
 
 def profile(df: DataFrame, group: str = "cluster") -> DataFrame:
     """K7: per group n, median fleet size, two percents and nine means."""
-    return df.groupBy(group).agg(
+    median = rank.quantiles(df, {"fleet": F.expm1("fleet_size_log")}, [0.5], [group]).select(
+        F.col(group).alias("_g"), F.col("q")[0].alias("med_fleet_size"))
+    means = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_carriers"),
-        F.median(F.expm1("fleet_size_log")).alias("med_fleet_size"),
         (F.avg("is_interstate") * 100).alias("pct_interstate"),
         (F.avg("hm_flag_raw") * 100).alias("pct_hazmat"),
         F.avg("oos_rate_raw").alias("avg_oos_rate"),
@@ -204,6 +205,7 @@ def profile(df: DataFrame, group: str = "cluster") -> DataFrame:
         F.avg("total_fatalities_raw").alias("avg_fatalities"),
         F.avg("total_injuries_raw").alias("avg_injuries"),
     )
+    return means.join(median, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def centroids(seg: Segmentation, features=FEATURE_COLS) -> DataFrame:

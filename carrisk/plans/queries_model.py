@@ -170,7 +170,7 @@ def q_state_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: the train-fitted state tier table (states with n >= 30)."""
     tr = sampling.strat_split(mframe(spark, sf_dir), "oos_flag", "dot_number").where(F.col("split") == "train")
     enc = model.StateTierEncoder().fit(tr)
-    return enc.rates.withColumn("state_risk_tier", enc.tier_column())
+    return enc.table()
 
 
 @query("tier_lookup", msql("""
@@ -342,11 +342,10 @@ def q_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("perm_importance")
 def q_perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation importance of Model B on a capped held-out sample, sorted and labelled."""
-    ev = evaluations(spark, sf_dir)[1]
+    """Permutation importance of both models on all training rows, sorted and labelled, stacked by model."""
     prep = prepared(spark, sf_dir)
-    held = sampling.capped_sample(prep.test, "oos_flag", "dot_number", 25000, "42|perm")
-    return model.permutation_importance(ev.model, held, model.FEATURES_B)
+    parts = {ev.name: model.permutation_importance(ev.model, prep.train, ev.features) for ev in evaluations(spark, sf_dir)}
+    return A.stack_labelled(parts, label="model")
 
 
 @query("prob_density")
@@ -354,7 +353,7 @@ def q_prob_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of predicted P(OOS) by class for each model (512-point grid)."""
     evs = evaluations(spark, sf_dir)
     stacked = A.stack_labelled({e.name: e.test_scores for e in evs}, label="model")
-    return dist.kde(stacked, "prob", ["model", "oos_flag"])
+    return dist.kde(stacked, "prob", ["model", "oos_flag"], keep_between=(0.0, 1.0))
 
 
 @query("oob_curve")

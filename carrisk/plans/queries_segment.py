@@ -200,7 +200,7 @@ def q_cluster_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome box statistics per cluster: OOS rate within [0, p99]; crashes and
     severity (> 0) on log10 axes."""
     lab = final(spark, sf_dir).labelled
-    q99 = lab.agg(F.percentile("oos_rate_raw", F.lit(0.99)).alias("q")).first()["q"]
+    q99 = dist.quantile_limits(lab, {"oos_rate_raw": 0.99})["oos_rate_raw"]
     oos = lab.where((F.col("oos_rate_raw") >= 0) & (F.col("oos_rate_raw") <= F.lit(float(q99))))
     parts = {
         "oos_rate": dist.box_stats(oos, "oos_rate_raw", ["cluster"]),
