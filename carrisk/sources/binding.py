@@ -40,7 +40,9 @@ def _01(cond: Column) -> Column:
 def census_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    c = cust.join(nation, cust.c_nationkey == nation.n_nationkey)
+    # half of the carriers stand in one large state, the others in eight
+    state = F.when(_mod("c_custkey", 10) < 5, F.lit(24)).otherwise(_mod("c_nationkey", 8))
+    c = cust.join(nation, state == nation.n_nationkey)
     seg = F.col("c_mktsegment")
     return c.select(
         F.col("c_custkey").cast("string").alias("dot_number"),
@@ -109,7 +111,7 @@ def crash_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     et, v = F.col("event_type"), F.col("value")
     return ev.select(
-        F.col("user_id").cast("string").alias("dot_number"),
+        (F.col("user_id") * 10 + _mod("event_id", 7)).cast("string").alias("dot_number"),  # seven of ten carriers have crashes
         F.col("ts").cast("date").alias("report_date"),
         _01((et == "error") & (v > 150)).alias("fatalities"),
         F.floor(v / 50).cast("int").alias("injuries"),
@@ -145,7 +147,7 @@ select cast(c_custkey as varchar) as dot_number,
   case when c_custkey%7=0 then 'TRUE' else '0' end as pc_flag,
   case when c_custkey%3=0 then null else c_name end as dba_name,
   case when c_custkey%500=499 then null else n_name end as phy_state
-from customer join nation on c_nationkey=n_nationkey""",
+from customer join nation on n_nationkey=case when c_custkey%10<5 then 24 else c_nationkey%8 end""",
     "inspection_raw": """
 select unique_id, dot_number, insp_date, driver_oos_total, vehicle_oos_total, hazmat_oos_total,
   driver_oos_total+vehicle_oos_total+hazmat_oos_total as oos_total,
@@ -175,7 +177,7 @@ select cast(l_orderkey as varchar) as inspection_id,
   case l_returnflag when 'R' then 'true' when 'A' then 'N' else '' end as out_of_service_indicator
 from lineitem""",
     "crash_raw": """
-select cast(user_id as varchar) as dot_number, cast(ts as date) as report_date,
+select cast(user_id*10+event_id%7 as varchar) as dot_number, cast(ts as date) as report_date,
   case when event_type='error' and value>150 then 1 else 0 end as fatalities,
   cast(floor(value/50) as int) as injuries,
   case when event_type in ('error','purchase') then 'Y' else 'N' end as tow_away,

@@ -20,7 +20,7 @@ def test_oracle(spark, con, name):
     d_tbl = con.sql(ORACLE[name]).arrow()
     if hasattr(d_tbl, "read_all"):
         d_tbl = d_tbl.read_all()
-    assert harness.compare(s_tbl, d_tbl) == []
+    assert d_tbl.num_rows > 0 and harness.compare(s_tbl, d_tbl) == []
 
 
 @pytest.mark.parametrize("name", ["master_merge", "oos_share_by_operation", "kde_by_group", "strat_split",
