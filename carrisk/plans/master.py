@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import threading
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from carrisk.operators import clean, features, rollup
 from carrisk.operators.impute import MissingPolicy
@@ -53,8 +54,25 @@ def merged_master(t: CleanTables) -> DataFrame:
     return rollup.master_merge(t.census, carrier, crashes)
 
 
-def build_master(t: CleanTables, policy: MissingPolicy | None = None) -> DataFrame:
+class MergeCheck:
+    """J7 within the build: rows of the census and of the merge, counted by the jobs that run anyway."""
+
+    def __init__(self) -> None:
+        self.census, self.merged = Observation(), Observation()
+
+    def verify(self) -> None:
+        before, after = self.census.get["n"], self.merged.get["n"]
+        if before != after:
+            raise AssertionError(f"merge fan-out: census {before} rows, master {after} rows")
+
+
+def build_master(t: CleanTables, policy: MissingPolicy | None = None, check: MergeCheck | None = None) -> DataFrame:
+    """The master table; with ``check``, the merge's row counts are observed (call ``verify`` after an action)."""
+    if check is not None:
+        t = replace(t, census=t.census.observe(check.census, F.count(F.lit(1)).alias("n")))
     merged = merged_master(t)
+    if check is not None:
+        merged = merged.observe(check.merged, F.count(F.lit(1)).alias("n"))
     policy = (policy or MissingPolicy()).fit(merged)
     out = policy.transform(merged)
     return features.add_target(features.add_features(out))
@@ -79,6 +97,8 @@ def master_for(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             digest = hashlib.sha1(f"{key[0]}|{sf_dir}".encode()).hexdigest()[:12]
             path = scratch_path(spark, f"master-{digest}")
-            write_checkpoint(build_master(load_clean(spark, sf_dir)), path)
+            check = MergeCheck()
+            write_checkpoint(build_master(load_clean(spark, sf_dir), check=check), path)
+            check.verify()
             _WRITTEN[key] = path
     return read_checkpoint(spark, path)

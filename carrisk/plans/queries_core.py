@@ -38,6 +38,20 @@ def q_src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("oos_flag"), F.col("phy_state"))
 
 
+@query("raw_files_master", with_master(_master_select()))
+def q_raw_files_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 to entry 1: the four raw tables as headed CSV files -> ``load_raw`` -> cleaning -> checked merge -> master."""
+    raw = binding.bind(spark, sf_dir)
+    base = M.scratch_path(spark, "raw-files-" + M.hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    paths = {name: f"{base}/{name}" for name in binding.RAW_COLUMNS}
+    for name, columns in binding.RAW_COLUMNS.items():
+        files.write_csv(getattr(raw, name).select(*columns), paths[name])
+    check = M.MergeCheck()
+    master = M.build_master(M.clean_tables(binding.load_raw(spark, paths)), MissingPolicy(), check)
+    check.verify()  # the medians have run over the merge
+    return master
+
+
 @query("clean_names", O.ctes() + "select * from census_raw")
 def q_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers as they appear in the raw files -> snake_case names."""

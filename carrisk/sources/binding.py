@@ -2,7 +2,7 @@
 
 carrier = customer (+ nation as state), inspection = order,
 violation line = line item, crash = event.  The real inputs are CSV files
-(``sources.files.read_raw``); this binding gives the same raw shape from
+(``load_raw``); this binding gives the same raw shape from
 the Parquet test tables: numeric columns typed, flags and keys left as raw
 text so the cleaning operators have real work to do, and NULLs, odd flag
 spellings, never-inspected carriers and rates above 1 planted by rule.
@@ -13,11 +13,14 @@ DuckDB oracle); ``tests/test_binding.py`` checks the two agree row for row.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrisk.sources.files import read_raw
+
 TABLES = ("customer", "nation", "orders", "lineitem", "events")
 
 
@@ -135,6 +138,27 @@ def bind(spark: SparkSession, sf_dir: str) -> RawTables:
                      violation_raw(spark, sf_dir), crash_raw(spark, sf_dir))
 
 
+# Columns of the four raw files, in order.
+RAW_COLUMNS: dict[str, tuple[str, ...]] = {
+    "census": ("dot_number", "nbr_power_unit", "driver_total", "carrier_operation", "hm_flag", "pc_flag", "dba_name", "phy_state"),
+    "inspection": ("unique_id", "dot_number", "insp_date", "driver_oos_total", "vehicle_oos_total", "hazmat_oos_total", "oos_total", "basic_viol",
+                   "unsafe_viol", "fatigued_viol", "dr_fitness_viol", "subt_alcohol_viol", "vh_maint_viol", "hm_viol", "unsafe_insp",
+                   "fatigued_insp", "dr_fitness_insp", "subt_alcohol_insp", "vh_maint_insp", "hm_insp"),
+    "violation": ("inspection_id", "out_of_service_indicator"),
+    "crash": ("dot_number", "report_date", "fatalities", "injuries", "tow_away", "hazmat_released", "severity_weight", "not_preventable"),
+}
+
+
+def load_raw(spark: SparkSession, paths: Mapping[str, str], columns: Mapping[str, Sequence[str]] | None = None,
+             on_corrupt: str = "keep", multi_line: bool = False) -> RawTables:
+    """The four raw tables from CSV files or folders: ``paths`` and ``columns`` by census, inspection, violation, crash.
+
+    All columns are text; the cleaning step types them.
+    """
+    columns = columns or RAW_COLUMNS
+    return RawTables(**{name: read_raw(spark, paths[name], columns[name], on_corrupt, multi_line) for name in RAW_COLUMNS})
+
+
 # The same binding as SQL (DuckDB and Spark both run it); CTE bodies by name.
 BINDING_SQL: dict[str, str] = {
     "census_raw": """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+NA = "NA"  # missing value in the raw files
 
 
 def snake_case(name: str) -> str:
@@ -42,16 +43,37 @@ def string_schema(columns: Sequence[str], corrupt: bool = True) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Read a headed CSV with every column as text (types come from the
-    cleaning step).  With an explicit column list no inference pass runs and
-    malformed lines land in ``_corrupt_record`` instead of failing the job."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if columns is not None:
-        # positional schema with the caller's (already clean) names; header line skipped
-        return (reader.schema(string_schema([snake_case(c) for c in columns]))
-                .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    return clean_names(reader.option("inferSchema", False).csv(path))
+def read_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = None, on_corrupt: str = "flag",
+             multi_line: bool = False) -> DataFrame:
+    """Read a headed CSV with every column as text (types come from the cleaning step).
+
+    ``NA`` and empty fields are NULL, and a doubled quote stands for one in a
+    quoted field.  ``multi_line`` also reads quoted line ends, but then a
+    file is one task.  With an explicit column list no inference pass runs,
+    and malformed lines are treated by ``on_corrupt``: ``flag`` keeps them,
+    with the line in ``_corrupt_record``; ``keep`` keeps the fields that were
+    read; ``drop`` leaves them out; ``fail`` stops the job that meets one.
+    """
+    if on_corrupt not in ("flag", "keep", "drop", "fail"):
+        raise ValueError(f"on_corrupt={on_corrupt!r}")
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", NA)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+    if columns is None:
+        return empty_to_null(clean_names(reader.option("inferSchema", False).csv(path)))
+    # positional schema with the caller's (already clean) names; header line skipped
+    df = (reader.schema(string_schema([snake_case(c) for c in columns])).option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    bad = F.col(CORRUPT).isNotNull()
+    if on_corrupt == "drop":
+        df = df.where(~bad)
+    elif on_corrupt == "fail":
+        df = df.withColumn(CORRUPT, F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), CORRUPT))))
+        df = df.where(F.col(CORRUPT).isNull())
+    df = empty_to_null(df)
+    return df if on_corrupt == "flag" else df.drop(CORRUPT)
+
+
+def empty_to_null(df: DataFrame) -> DataFrame:
+    return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

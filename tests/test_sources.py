@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from carrisk.sources import files
 
 
@@ -32,3 +34,55 @@ def test_checkpoint_roundtrip_keeps_types(spark):
     files.write_checkpoint(df, path)
     back = files.read_checkpoint(spark, path)
     assert back.schema == df.schema and back.collect() == df.collect()
+
+
+def _write(text):
+    path = os.path.join(tempfile.mkdtemp(prefix="carrisk-csv-"), "t.csv")
+    with open(path, "w") as fh:
+        fh.write(text)
+    return path
+
+
+def test_missing_values_and_quotes(spark):
+    path = _write('k,v\n1,NA\n2,\n3,""\n4,"said ""no"", then left"\n5,N/A\n')
+    rows = {r.k: r.v for r in files.read_raw(spark, path, ["k", "v"], on_corrupt="keep").collect()}
+    assert rows == {"1": None, "2": None, "3": None, "4": 'said "no", then left', "5": "N/A"}
+    assert {r.k: r.v for r in files.read_raw(spark, path).collect()} == rows
+
+
+def test_corrupt_policies(spark):
+    path = _write("k,v\n1,a\n2,b,extra\n")
+    assert files.read_raw(spark, path, ["k", "v"], "flag").columns == ["k", "v", files.CORRUPT]
+    assert [tuple(r) for r in files.read_raw(spark, path, ["k", "v"], "keep").collect()] == [("1", "a"), ("2", "b")]
+    assert [tuple(r) for r in files.read_raw(spark, path, ["k", "v"], "drop").collect()] == [("1", "a")]
+    with pytest.raises(Exception, match="malformed line"):
+        files.read_raw(spark, path, ["k", "v"], "fail").collect()
+    quoted = _write('k,v\n1,"two\nlines"\n')
+    assert files.read_raw(spark, quoted, ["k", "v"], "keep", multi_line=True).first().v == "two\nlines"
+
+
+def test_merge_check_stops_fan_out(spark):
+    from carrisk.plans import master as M
+    check = M.MergeCheck()
+    one = spark.range(3).observe(check.census, M.F.count(M.F.lit(1)).alias("n"))
+    one.crossJoin(spark.range(2).toDF("x")).observe(check.merged, M.F.count(M.F.lit(1)).alias("n")).collect()
+    with pytest.raises(AssertionError, match="fan-out"):
+        check.verify()
+
+
+def test_checkpoint_folder_needs_a_shared_place(monkeypatch):
+    from carrisk import session
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": Conf()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)
