@@ -25,7 +25,7 @@ from itertools import product
 from pyspark.ml.classification import RandomForestClassifier, RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrisk.functions import scalar as S
@@ -344,51 +344,47 @@ def comparison_long(evals: list[Evaluation]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- importance
-def permute_column(df: DataFrame, key: str, column: str, seed: int = 42, n_rows: int | None = None,
-                   bucket_rows: int = 1000) -> DataFrame:
-    """Shuffle ``column`` across rows without a global sort.
-
-    Rows fall into ``n / bucket_rows`` buckets by a hash of (key, column,
-    seed); inside each bucket the i-th row in key order takes the value of
-    the i-th row in a second hash order.  Bucket membership is random, so the
-    result is a random permutation that breaks the feature-label link, and
-    every window is partitioned by a bucket of about ``bucket_rows`` rows.
+def permute_columns(df: DataFrame, key: str, columns, seed: int = 42, n_rows: int | None = None, bucket_rows: int = 1000) -> DataFrame:
+    """``df`` + ``perm_<c>`` for each column: its values moved to other rows, without a global sort.
+
+    Rows fall into ``n / bucket_rows`` buckets by a hash of (key, seed), each
+    gathered in a second hash order; a column takes the value that stands its
+    own number of places further on, wrapping round.  Buckets and order are
+    random in the label, which breaks the link between feature and label;
+    buckets hold about ``bucket_rows`` rows, and one shuffle serves all columns.
     """
     n = df.count() if n_rows is None else n_rows
     buckets = max(1, n // bucket_rows)
-    b = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(f"{seed}|{column}|b")), F.lit(buckets))
-    src = df.withColumn("_b", b)
-    w1 = Window.partitionBy("_b").orderBy(F.col(key))
-    w2 = Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(f"{seed}|{column}|p")),
-                                          F.col(key))
-    base = src.withColumn("_r", F.row_number().over(w1)).drop(column)
-    donor = src.select(F.col("_b").alias("_db"), F.row_number().over(w2).alias("_dr"), F.col(column).alias(column))
-    return base.join(donor, (base["_b"] == donor["_db"]) & (base["_r"] == donor["_dr"])) \
-        .drop("_b", "_r", "_db", "_dr")
+    hashed = lambda what: F.xxhash64(F.col(key).cast("string"), F.lit(f"{seed}|{what}"))
+    row = F.struct(hashed("order").alias("_o"), *df.columns)
+    gathered = df.groupBy(F.pmod(hashed("bucket"), F.lit(buckets)).alias("_b")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    rows, size = F.col("_rows"), F.size("_rows")
+
+    def with_moved(x, i):
+        moved = [F.element_at(rows, F.pmod(i + 37 * k + 11, size) + 1)[c].alias(f"perm_{c}") for k, c in enumerate(columns)]
+        return F.struct(*[x[c].alias(c) for c in df.columns], *moved)
+
+    return gathered.select(F.inline(F.transform(rows, with_moved)))
 
 
 def permutation_importance(model: RandomForestClassificationModel, df: DataFrame, features, key: str = "dot_number",
                            seed: int = 42) -> DataFrame:
-    """AUC drop on held-out rows when each feature is permuted, with Spark's
+    """AUC drop on the rows of ``df`` when each feature is permuted, with Spark's
     impurity importance as a second column; sorted, labelled.
 
-    The unpermuted and every permuted copy are scored and stacked, and all
-    AUCs come from one ranked pass grouped by copy.
+    All permuted columns come from one shuffle; the frame with them is
+    written once, each copy of it (plain, and per feature) is scored from
+    there, and all AUCs come from one pass over score counts by copy.
     """
-    held = df.select(key, "oos_flag", *features).persist()
-    try:
-        n = held.count()
-        copies = [score(model, held, features).select(F.lit("__base__").alias("feature"), "oos_flag", "prob")]
-        for f in features:
-            copies.append(score(model, permute_column(held, key, f, seed, n), features)
-                          .select(F.lit(f).alias("feature"), "oos_flag", "prob"))
-        stacked = copies[0]
-        for c in copies[1:]:
-            stacked = stacked.unionByName(c)
-        aucs = {r["feature"]: r["auc"] for r in
-                metrics.auc_frame(stacked, "oos_flag", "prob", POSITIVE, by=["feature"]).collect()}
-    finally:
-        held.unpersist()
+    held = checkpoint(permute_columns(df.select(key, "oos_flag", *features), key, features, seed))
+    copies = []
+    for f in (None, *features):
+        swapped = held.select("oos_flag", *[F.col(f"perm_{c}" if c == f else c).alias(c) for c in features])
+        copies.append(score(model, swapped, features).select(F.lit(f or "__base__").alias("feature"), "oos_flag", "prob"))
+    stacked = copies[0]
+    for c in copies[1:]:
+        stacked = stacked.unionByName(c)
+    aucs = {r["feature"]: r["auc"] for r in metrics.auc_frame(stacked, "oos_flag", "prob", POSITIVE, by=["feature"]).collect()}
     base_auc = aucs.get("__base__")
     imp = model.featureImportances.toArray().tolist()
     rows = []
