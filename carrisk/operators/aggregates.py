@@ -38,20 +38,20 @@ def grouped_means(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str
 
 
 def ratio_of_sums(df: DataFrame, keys: Sequence[str], num: str | Column, den: str | Column,
-                  name: str = "ratio") -> DataFrame:
-    """sum(num) / sum(den) per group (NULL when the denominator sums to 0)."""
+                  name: str = "ratio", count: str = "n") -> DataFrame:
+    """sum(num) / sum(den) per group (NULL when the denominator sums to 0), and the group's rows as ``count``."""
     n = F.col(num) if isinstance(num, str) else num
     d = F.col(den) if isinstance(den, str) else den
     sd = F.sum(d.cast("double"))
     return df.groupBy(*keys).agg(
         F.sum(n.cast("double")).alias("num"), sd.alias("den"),
-        F.when(sd != 0, F.sum(n.cast("double")) / sd).alias(name))
+        F.when(sd != 0, F.sum(n.cast("double")) / sd).alias(name), F.count(F.lit(1)).alias(count))
 
 
-def group_sums(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    """Null-skipping sums per group; all-NULL groups give 0."""
+def group_sums(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], count: str = "n") -> DataFrame:
+    """Null-skipping sums per group (all-NULL groups give 0), and the group's rows as ``count``."""
     return df.groupBy(*keys).agg(*[F.coalesce(F.sum(F.col(src)), F.lit(0)).alias(out)
-                                   for out, src in columns.items()])
+                                   for out, src in columns.items()], F.count(F.lit(1)).alias(count))
 
 
 def min_group_size(grouped: DataFrame, n_col: str, minimum: int) -> DataFrame:
@@ -136,10 +136,13 @@ def top_k_ties(df: DataFrame, order: Sequence[Column], k: int, keys: Sequence[st
 
 
 def argmax_row(df: DataFrame, value: str, keys: Sequence[str] = (), tie: Sequence[Column] = ()) -> DataFrame:
-    """The row with the largest ``value`` (first by ``tie`` among equals), as one struct per group."""
+    """The row with the largest ``value`` (the least by ``tie`` among equals) per group, in one aggregate.
+
+    Rows without a value never win; a group without any gives no row.
+    """
     others = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(value), *tie) if tie else F.col(value)
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_best"))
+    order = F.struct((-F.col(value).cast("double")).alias("_v"), *[t.alias(f"_t{i}") for i, t in enumerate(tie)])
+    return (df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_best"))
             .select(*keys, *[F.col(f"_best.{c}").alias(c) for c in others]))
 
 

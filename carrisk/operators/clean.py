@@ -156,7 +156,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def required_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:
-    """Which required columns are absent (a small report frame)."""
+    """(column, present, n_values): which required columns there are, and their non-NULL rows, in one aggregate."""
     have = set(df.columns)
-    rows = [(name, name in have) for name in needed]
-    return df.sparkSession.createDataFrame(rows, "column string, present boolean")
+    wide = df.agg(*[(F.count(F.col(f"`{c}`")) if c in have else F.lit(0).cast("long")).alias(c) for c in needed])
+    return wide.unpivot([], list(needed), "column", "n_values").select(
+        "column", F.col("column").isin(*have).alias("present"), "n_values")

@@ -196,7 +196,7 @@ def q_grouped_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ B2: densities
 def _kde_sql(x_expr: str, where: str, keys, grid: int = 512, fine: int = 2048,
-             grid_range: tuple[float, float] | None = None) -> str:
+             grid_range: tuple[float, float] | None = None, source: tuple[str, str] | None = None) -> str:
     keys = [keys] if isinstance(keys, str) else list(keys)
     inv = 1.0 / math.sqrt(2 * math.pi)
     kl = ", ".join(keys)
@@ -210,7 +210,8 @@ select {', '.join(f'kb.{k}' for k in keys)}, {r6('kp.lo + g.i * kp.step')} as x,
 from kb join kw on {on}
   cross join kp cross join (select range as i from range({grid})) g
 group by {', '.join(f'kb.{k}' for k in keys)}, g.i, kp.lo, kp.step, kw.n, kw.bw""", [
-        ("kx", f"select {kl}, {x_expr} as x from rv where {where}"),
+        *([source] if source else []),
+        ("kx", f"select {kl}, {x_expr} as x from {source[0] if source else 'rv'} where {where}"),
         ("ks", f"""select {kl}, count(*) as n, coalesce(stddev_samp(x), 0.0) as sd,
   quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3, min(x) as lo, max(x) as hi from kx group by {kl}"""),
         ("kr", kr),
@@ -349,6 +350,12 @@ def q_violin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.box_stats(_violin_long(spark, sf_dir), "viol", ["oos_flag", "BASIC"], log10=True)
 
 
+@query("violin_density", _kde_sql("log10(viol)", "true", ["oos_flag", "BASIC"], source=_VIOLIN_SRC))
+def q_violin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3d: the violins' bodies, density of log10 violations per BASIC by class."""
+    return dist.kde(_violin_long(spark, sf_dir), "viol", ["oos_flag", "BASIC"], log10=True)
+
+
 B4B_FEATURES = ("nbr_power_unit", "driver_total", "total_inspections", "sum_basic_viol", "total_crashes",
                 "violation_intensity_score")
 _B4B_SRC = ("fl", f"""select oos_flag, feature, value from (
@@ -364,6 +371,14 @@ def q_box_features_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.box_stats(long, "value", ["oos_flag", "feature"], log10=True)
 
 
+@query("feature_density", _kde_sql("log10(value)", "true", ["oos_flag", "feature"], source=_B4B_SRC))
+def q_feature_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The violins' bodies, density of log10 of six carrier features by class."""
+    df = inspected(spark, sf_dir).select("oos_flag", *B4B_FEATURES)
+    long = A.unpivot_long(df, ["oos_flag"], list(B4B_FEATURES), "feature", "value").where(F.col("value") > 0)
+    return dist.kde(long, "value", ["oos_flag", "feature"], log10=True)
+
+
 @query("box_severity_hm", _box_sql("log10(cast(sum_severity_weight as double))", "sum_severity_weight > 0",
                                    ["HM_Status"]))
 def q_box_severity_hm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,10 +533,8 @@ def q_ratio_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hazmat release rate = released / crashes, by operation x hazmat status."""
     df = rv(spark, sf_dir).where(F.col("total_crashes") > 0)
     out = A.ratio_of_sums(df, ["carrier_operation", "HM_Status"], "total_hazmat_release", "total_crashes",
-                          "release_rate")
-    n = A.freq_count(df, "carrier_operation", "HM_Status", name="n_carriers")
-    return out.join(n, [out.carrier_operation.eqNullSafe(n.carrier_operation), out.HM_Status.eqNullSafe(n.HM_Status)]) \
-        .select(out.carrier_operation, out.HM_Status, "release_rate", "n_carriers")
+                          "release_rate", "n_carriers")
+    return out.select("carrier_operation", "HM_Status", "release_rate", "n_carriers")
 
 
 @query("basic_rate_table", with_master(f"""
@@ -561,9 +574,7 @@ select phy_state, {r6('coalesce(sum(sum_severity_weight), 0)')} as total_sev, co
 from rv group by phy_state"""))
 def q_group_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity weight summed per state."""
-    df = rv(spark, sf_dir)
-    sums = A.group_sums(df, ["phy_state"], {"total_sev": "sum_severity_weight"})
-    return sums.join(A.freq_count(df, "phy_state"), "phy_state")
+    return A.group_sums(rv(spark, sf_dir), ["phy_state"], {"total_sev": "sum_severity_weight"})
 
 
 @query("topk_ties", with_master(f"""
@@ -572,9 +583,7 @@ select phy_state, {r6('total_sev')} as total_sev, n from (
 qualify rank() over (order by total_sev desc) <= 15"""))
 def q_topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """15 states with the largest severity total, ties at 15 kept."""
-    df = rv(spark, sf_dir)
-    sums = A.group_sums(df, ["phy_state"], {"total_sev": "sum_severity_weight"}).join(
-        A.freq_count(df, "phy_state"), "phy_state")
+    sums = A.group_sums(rv(spark, sf_dir), ["phy_state"], {"total_sev": "sum_severity_weight"})
     return A.top_k_ties(sums, [F.desc("total_sev")], 15)
 
 
@@ -666,22 +675,23 @@ where k = 1"""))
 def q_argmax_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The carrier with the largest severity weight per operation (smallest key on ties)."""
     df = rv(spark, sf_dir).select("carrier_operation", "dot_number", "sum_severity_weight")
-    # best value per group (hash aggregate), then the smallest key among the rows holding it
-    best = df.groupBy(F.col("carrier_operation").alias("_op")).agg(F.max("sum_severity_weight").alias("_m"))
-    hits = (df.join(best, df.carrier_operation.eqNullSafe(best._op))
-            .where(F.col("sum_severity_weight") == F.col("_m")))
-    return hits.groupBy("carrier_operation").agg(F.min("dot_number").alias("dot_number"),
-                                                 F.first("sum_severity_weight").alias("sum_severity_weight"))
+    return A.argmax_row(df, "sum_severity_weight", ["carrier_operation"], [F.col("dot_number")])
 
 
-@query("required_columns", with_master(
-    "select column_name as \"column\", true as present from (describe rv) where column_name in ("
-    + ", ".join(f"'{c}'" for c in NEEDED_COLUMNS) + ")"))
+@query("required_columns", with_master(" union all ".join(
+    f"select '{c}' as \"column\", true as present, count({c}) as n_values from rv" for c in NEEDED_COLUMNS)))
 def q_required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report view carries every column the reports need."""
+    """Whether the report view carries every column the reports need, and how many rows fill it."""
     return clean.required_columns(rv(spark, sf_dir), NEEDED_COLUMNS)
 
 
+@query("null_counts", with_master(" union all ".join(
+    f"select '{c}' as \"column\", count(*) - count({c}) as n_missing from rv" for c in SUMMARY_COLUMNS)))
+def q_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL count of each numeric report column."""
+    return clean.null_counts(rv(spark, sf_dir).select(*SUMMARY_COLUMNS))
+
+
 @query("ordered_levels", with_master("""
 select dot_number, oos_flag, case oos_flag when 'Clean' then 0 when 'OOS' then 1 end as oos_level from rv"""))
 def q_ordered_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
