@@ -40,7 +40,7 @@ from carrisk.llm.shared_files import filesystem, open_input, open_output
 
 MAGIC = b"CARIDS1\n"
 TAIL = "<5Q8s"  # blocks table at, bytes; documents table at, bytes; ids; magic
-BLOCK_IDS, LANES = 512, 2048
+BLOCK_IDS, LANES = 512, 3072
 FILE_BYTES = 32 << 20
 END_ID = 2
 

@@ -111,8 +111,9 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         raise ValueError(f"ids must lie in 0..{MAX_ID}")
     model = _Model(n)
     low, size = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
-    out = np.zeros((n, (37 * steps) // 16 + 2 * FLUSH + 2), np.uint32)  # at most 37 bits an id
-    pos = np.zeros(n, np.int64)
+    digits: list[np.ndarray] = []  # a row for every shift: the digit of each block, and whether it is one
+    real: list[np.ndarray] = []
+    last = np.zeros(n, np.int64)  # row of each block's latest digit
     past = np.zeros((steps + 2, n), np.int64)  # the ids by step, after two zeros
     past[2:] = ids.T
     all_keys = _keys(past[1:-1], past[:-2])
@@ -120,10 +121,11 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     classes = (np.searchsorted(CLASS_START, np.arange(1, MAX_ID + 2), side="right") - 1)[columns]
     raws, places = CLASS_RAW[classes], columns + 1 - CLASS_START[classes]
 
-    def shift(at):
-        out[at, pos[at]] = (low[at] >> U(48)).astype(np.uint32)
-        pos[at] += 1
-        low[at] <<= U(16)
+    def shift(small):
+        digits.append((low >> U(48)).astype(np.uint32))
+        real.append(small)
+        last[small] = len(digits) - 1
+        low[:] <<= small * U(16)
 
     for t in range(steps):
         k = _active(lengths, t)
@@ -143,37 +145,49 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         part = unit * share.view(U) >> (raws[t, :k] * miss).view(U)
         add = unit * first.view(U) + part * (places[t, :k] * miss).view(U)
         low[:k] += add
-        over = np.flatnonzero(low[:k] < add)
-        if len(over):
-            out[over, pos[over] - 1] += 1
+        over = low[:k] < add
+        if over.any():
+            for i in np.flatnonzero(over):
+                digits[last[i]][i] += 1
         size[:k] = part
-        small = np.flatnonzero(part < LOW)
-        while len(small):
+        small = size < LOW
+        while small.any():
             shift(small)
-            size[small] <<= U(16)
-            small = small[size[small] < LOW]
+            size <<= small * U(16)
+            small = size < LOW
         model.update(x, hit2, hit1, cls)
-    every = np.arange(n)
-    for _ in range(FLUSH):
+    every = np.ones(n, bool)
+    for _ in range(FLUSH if n else 0):
         shift(every)
-    for j in range(out.shape[1] - 1, 0, -1):  # resolve carries, from the last digit to the first
-        out[:, j - 1] += out[:, j] >> 16
-    digits = (out & 0xFFFF).astype(">u2")
-    return [digits[i, :pos[i]].tobytes() for i in range(n)]
+    if not n:
+        return []
+    where = np.stack(real).T
+    flat = np.stack(digits).T[where].astype(np.int64)
+    over = np.flatnonzero(flat >> 16)
+    while len(over):  # resolve carries; a block's first digit never has one
+        carry = flat[over] >> 16
+        flat[over] &= 0xFFFF
+        np.add.at(flat, over - 1, carry)
+        over = np.unique(over - 1)
+        over = over[flat[over] >> 16 > 0]
+    data = flat.astype(">u2").tobytes()
+    ends = np.append(0, 2 * np.cumsum(where.sum(1))).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """Ids of blocks made by ``encode_blocks``, one row each; lengths do not rise."""
     n, steps = len(blocks), int(lengths.max(initial=0))
     model = _Model(n)
-    longest = max(map(len, blocks), default=0) // 2
-    digits = np.zeros((n, longest + 8), np.uint16)
+    width = max(map(len, blocks), default=0) // 2 + 8
+    digits = np.zeros((n, width), U)
     for i, b in enumerate(blocks):
         digits[i, :len(b) // 2] = np.frombuffer(b, ">u2")
     code, size = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
     for j in range(4):
         code = code << U(16) | digits[:, j]
-    pos = np.full(n, 4)
+    pos, final = np.arange(n) * width + 4, np.arange(1, n + 1) * width - 1
+    digits = digits.reshape(-1)
     out = np.zeros((steps + 2, n), np.int64)  # after two zeros
     class_of = np.searchsorted(CLASS_START, np.arange(1, MAX_ID + 2), side="right") - 1
     cells = (1 << CLASS_BITS - CELL_BITS) + 1
@@ -209,12 +223,13 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
         code[:k] = left - part * place
         size[:k] = part
         x = np.where(miss, CLASS_START.take(cls) + place.view(np.int64) - 1, np.where(hit2, model.guess[1], model.guess[0]))
-        small = np.flatnonzero(part < LOW)
-        while len(small):
-            code[small] = code[small] << U(16) | digits[small, np.minimum(pos[small], longest + 7)]
-            pos[small] += 1
-            size[small] <<= U(16)
-            small = small[size[small] < LOW]
+        small = size < LOW
+        while small.any():
+            by = small * U(16)
+            code = code << by | digits.take(np.minimum(pos, final)) * small
+            pos += small
+            size <<= by
+            small = size < LOW
         out[t + 2, :k] = x
         model.update(x, hit2, hit1, class_of.take(x, mode="clip"))
     return np.ascontiguousarray(out[2:].T)
