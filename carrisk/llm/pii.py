@@ -23,7 +23,7 @@ DataFrame functions only, within the row.
 
 Defined cases: null text gives null text and 0 found; an empty text stays;
 every input row gives one row, repeats included; an empty table gives none;
-kept input columns may have any name but the outputs'.
+an input column with the name of ``found_col`` is replaced by it.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrisk.llm.common import query, table
+from carrisk.llm.common import not_replaced, query, table
 
 ROUNDS = 10
 MAX_CHARS = 22
@@ -161,8 +161,7 @@ KINDS = (("email", "@", _email), ("date", r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", found_col: str = "found") -> DataFrame:
     """``docs`` with new ``text_col`` and ``found_col``: array of (kind, start, old_length, pseudonym), start 0-based in the old text."""
-    if found_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"output column {found_col} clashes with an input column")
+    docs = docs.select(*[F.col(f"`{c}`") for c in not_replaced(docs.columns, [found_col])])
     text = F.col(text_col)
     parts, matches = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 

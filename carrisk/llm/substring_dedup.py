@@ -18,7 +18,8 @@ CPU but no disk.
 Defined cases: null and empty texts have no units and stay; rows with equal
 ids count as one document (each keeps its first occurrence); a null id is an
 id of its own that ranks first; an empty table gives no rows; extra columns
-are carried by ``dedup`` and ignored by ``repeated_units``.
+are carried by ``dedup`` (one named like its spans is replaced) and ignored by
+``repeated_units``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrisk.llm.common import query, table, text_slices
+from carrisk.llm.common import not_replaced, query, table, text_slices
 
 MIN_WORDS = 6
 MIN_CHARS = 60
@@ -103,8 +104,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans
 
     ``how="inner"`` gives only the documents that lose something.
     """
-    if spans_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"output column {spans_col} clashes with an input column")
+    docs = docs.select(*[F.col(f"`{c}`") for c in not_replaced(docs.columns, [spans_col])])
     item = F.struct("start", "length", "kept_id", "kept_start")
     spans = (repeated_units(docs, id_col, text_col, min_words, min_chars).groupBy(F.col("id").alias("__id"))
              .agg(F.array_sort(F.collect_set(item)).alias(spans_col)))

@@ -114,6 +114,7 @@ def test_formats_links_and_edges(spark):
     assert new != CASES[-1] and luhn(new) and new in out[0].text and out[len(CASES)].text == new  # linked across texts
     assert out[3].text.split()[-1] == out[3].text.split()[-2]
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.withColumn("FOUND", F.lit(1))).columns == [*docs.columns, "found"]
 
 
 def test_permutation(spark):

@@ -45,5 +45,6 @@ def test_edges(spark):
         assert got[i] == want.get(i, ([], text)), i
     assert {5, 2, 8, 13} <= set(want) and None not in want and sd.dedup(docs).columns == [*docs.columns, "removed"]
     assert sd.dedup(docs.limit(0)).count() == 0
+    assert sd.dedup(docs.withColumnRenamed("id", "removed")).columns == ["doc_id", "text", "removed"]
     twice = docs.where("doc_id = 11 or doc_id = 5").union(docs.where("doc_id = 5"))
     assert all(r.removed == [] for r in sd.dedup(twice).collect())  # one document given twice
