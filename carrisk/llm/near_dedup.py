@@ -8,19 +8,21 @@ order, so keys follow edit similarity.  At a k-mer similarity of 0.8 a key is
 shared with probability about 0.51, and some of 20 with 1 - 6e-7.
 
 Links: equal normalised texts (lower case, single blanks) are one
-representative.  In every bucket (texts of a key) each member is aligned with
-the bucket's least one, so a bucket of n costs n - 1 alignments, however many
-copies it holds; a link is an edit similarity over words of ``SIMILARITY`` or
-more by a bit-parallel alignment in the band that this allows.  Components of
-these links, in most buckets one, are classes.  Members of a bucket that are
-still in different components are compared in blocks of ``BLOCK`` rows by
-their sketches, inside the tasks; pairs that agree in ``AGREE`` entries (a pair
-of similarity 0.8 fails that with probability 1.5e-4) are aligned as well, and
-the components are taken again.  So no bucket is capped, none becomes pairs
-wholesale, and none meets in one task.
-
-Copies are grouped by digest with a partial ``min``.  Intermediate tables are
-written to the shared folder.
+representative.  The hub of a bucket (texts of a key) is its least text; each
+text is aligned with the hub that it meets in most buckets, so a group of n
+costs n alignments, however many copies it holds.  A link is an edit
+similarity over words of ``SIMILARITY`` or more by a bit-parallel alignment in
+the band that this allows.  Components of these links, in most buckets one, are
+classes.  Members of a bucket that are still in different components are
+compared in blocks of ``BLOCK`` rows by their sketches, inside the tasks;
+pairs that agree in ``AGREE`` entries (a pair of similarity 0.8 fails that with
+probability 1.5e-4) are aligned as well, and join components.  So no bucket is
+capped, none becomes pairs wholesale, and none meets in one task.
+
+Copies are grouped by digest with a partial ``min``.  Only the texts of
+candidates are shuffled: a bitmap of their hashed ids, of fixed size
+(``FILTER_BITS``), is broadcast to the scan, and what passes it by chance goes in
+the exact join.  Intermediate tables are written to the shared folder.
 
 Defined cases: null and empty texts are copies of each other; a text under
 five words is one k-mer, so only its copies join it; rows with equal ids are
@@ -41,7 +43,7 @@ from carrisk.llm.common import query, table, text_slices, written
 from carrisk.llm.components import connected_components
 
 K, ENTRIES, TAKEN, SIMILARITY = 5, 20, 3, 0.8
-BLOCK, AGREE = 1000, 3
+BLOCK, AGREE, FILTER_BITS = 1000, 3, 1 << 24
 
 
 def _mix(x):
@@ -185,11 +187,22 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return source.mapInArrow(run, f"id {kind}, h1 long, h2 long, n_words int, sketch array<long>")
 
 
+def _hash_filter(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` whose hashed id is set in a bitmap of the hashed ids of ``wanted``: all of these, and few others."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    chunks = (wanted.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__chunk"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits")))  # FILTER_BITS / 32768 rows of 4 KB at most
+    hit = docs.withColumn("__p", place(id_col)).join(F.broadcast(chunks), F.bitmap_bucket_number("__p") == F.col("__chunk"))
+    byte = "cast(conv(hex(substring(__bits, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return hit.where(F.expr(f"shiftright({byte}, cast(bitmap_bit_position(__p) % 8 as int)) % 2 = 1")).select(*docs.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """Links (src, dst, similarity) among candidate pairs (a, b) of ids."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
-    texts = written(texts, "candidate-texts")
+    wanted = written(wanted, "candidate-ids")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = written(_hash_filter(texts, wanted, "id").join(wanted, "id", "left_semi"), "candidate-texts")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
     names = ["src", "dst", "similarity"]
@@ -229,10 +242,11 @@ def _residual_pairs(members: DataFrame, similarity: float) -> DataFrame:
         sketch = np.array(group["sketch"].to_pylist(), np.int64)
         n_words, block = group["n_words"].to_numpy(), group["block"].to_numpy()
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        number = np.unique(component, return_inverse=True)[1]
+        rare = np.flatnonzero(number != np.bincount(number).argmax())  # of two components one is not the largest
         found_a, found_b = [], []
-        for i in left:
-            j = right[right > i] if low == high else right
+        for i in rare:
+            j = np.flatnonzero(block == (high if block[i] == low else low))
             j = j[(component[j] != component[i]) & (np.minimum(n_words[j], n_words[i]) >= similarity * np.maximum(n_words[j], n_words[i]))]
             j = j[(sketch[j] == sketch[i]).sum(1) >= AGREE]
             found_a.append(np.full(len(j), i))
@@ -253,18 +267,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("n_words", "id").alias("hub_words"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(buckets.join(size, "key").select("key", "id", "n_words", "hub", "hub_words", "n"), "buckets")
     fits = F.least("n_words", "hub_words") >= similarity * F.greatest("n_words", "hub_words")
-    stars = written(shared.where("id <> hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    links = _verified(stars, docs, id_col, text_col, similarity)
-    parts = connected_components(links)
-    # what the stars left apart: buckets of three or more (in a bucket of two the only pair is done) with several components
-    inside = shared.where("n > 2").join(parts, shared["id"] == parts["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    met = shared.where("id <> hub").where(fits).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("id").agg(F.max("times").alias("times"))
+    best = met.join(best, ["id", "times"]).groupBy("id").agg(F.min("hub").alias("hub"))
+    stars = written(best.select(F.col("hub").alias("a"), F.col("id").alias("b")), "star-pairs")
+    parts = connected_components(_verified(stars, docs, id_col, text_col, similarity))
+    # what the stars left apart: buckets with several components (in a bucket of two the only pair may be done)
+    inside = shared.join(parts, shared["id"] == parts["node"], "left").withColumn("component", F.coalesce("component", "id"))
     several = inside.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    left_apart = (inside.where("id <> hub").join(several, "key", "left_semi").select("key", "id", "n_words", "component")
+    left_apart = (inside.join(several, "key", "left_semi").select("key", "id", "n_words", "component")
                   .join(reps.select(F.col("rep").alias("id"), "sketch"), "id"))
     residual = written(_residual_pairs(left_apart, similarity).join(stars, ["a", "b"], "left_anti"), "residual-pairs")
     if not residual.isEmpty():
         more = _verified(residual, docs, id_col, text_col, similarity)
-        parts = connected_components(links.unionByName(more))
+        parts = written(parts, "components")
+        named = parts.select(F.col("node").alias("id"), "component")
+        ends = more.join(named.withColumnsRenamed({"id": "src", "component": "c1"}), "src", "left")
+        ends = ends.join(named.withColumnsRenamed({"id": "dst", "component": "c2"}), "dst", "left")
+        joined = connected_components(ends.select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")))
+        joined = written(joined.withColumnsRenamed({"node": "old", "component": "new"}), "joined-components")
+        moved = parts.join(joined, parts["component"] == joined["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+        alone = joined.join(parts, joined["old"] == parts["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+        parts = moved.unionByName(alone)
     rep = reps.select("h1", "h2", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("class_id"))
     member = sketches.select("id", "h1", "h2").join(rep, ["h1", "h2"], "left")
     return member.select(F.col("id").alias(id_col), F.col("rep").alias("copy_of"), "class_id")
