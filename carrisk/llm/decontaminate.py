@@ -7,13 +7,17 @@ document (``WINDOW`` words, one each ``STRIDE`` words) is searched for them.
    and the count of other words before each, written to the shared folder.
 2. Document frequencies of these words over all passages give TF-IDF weights
    (of N passages, words in more than ``N ** MAX_DF_POWER``, and ``MIN_DF``, carry none) and unit rows A.
-3. Randomised SVD over all passages: tasks add up ``A^T (A X)`` for a random X,
+3. Randomised SVD over all passages and the items themselves (rows that weigh
+   as much as all passages, so every item has a direction): tasks add up ``A^T (A X)`` for a random X,
    and ``POWER_STEPS`` times for its orthonormal basis Q; the eigenvectors of ``Q^T A^T A Q``
    turn Q into the ``RANK`` latent directions.  Partial sums are streamed
    together by blocks of words; only words x RANK numbers, bounded by the
    benchmark's block, reach the driver.
 4. Candidates: a passage and an item of latent cosine ``COSINE`` or more,
-   as one matrix product for a block of passages against all items.
+   as one matrix product for a block of passages against all items; and, as
+   the cosine proves nothing, each place that holds as much IDF of an item's
+   rarest words as no match can do without (``Items.index``).  The second
+   route misses no match of step 5, whatever the latent space holds.
 5. Checks, in the same task: the longest common subsequence of item and text
    around the passage.  ``COPY`` of the item's words make a copy; from
    ``PARAPHRASE`` of them on it is a paraphrase, if the matched words also
@@ -39,8 +43,9 @@ from pyspark.sql import functions as F
 
 from carrisk.llm.common import query, table, text_slices, written
 
-WINDOW, STRIDE, RANK, OVERSAMPLE, MAX_DF_POWER, MIN_DF = 40, 20, 160, 16, 0.75, 64
-COSINE, COPY, PARAPHRASE, RARE, ANSWER = 0.5, 0.8, 0.5, 0.5, 5
+WINDOW, STRIDE, RANK, OVERSAMPLE, MAX_DF_POWER, MIN_DF = 40, 20, 160, 16, 0.9, 64
+COSINE, COPY, PARAPHRASE, RARE, ANSWER = 0.45, 0.8, 0.5, 0.5, 5
+MARGIN, EVENTS = 0.2, 1_000_000
 BLOCK_CHARS, SUM_WORDS, POWER_STEPS, SEED = 2_000_000, 256, 2, 7
 MARKS = ".,;:!?\"'()[]{}<>|*#_-–—…“”„«»¿¡"
 
@@ -82,6 +87,51 @@ class Items:
 
         self.idf_all = np.log1p(passages / np.maximum(df, 1))
         self.idf = np.where(df <= max(passages ** MAX_DF_POWER, MIN_DF), self.idf_all, 0.0)
+        self.passages = passages
+        self.index()
+
+    def index(self) -> None:
+        """Postings of each item's rarest words, and the least IDF of them that any match of the item holds.
+
+        A copy leaves out at most ``1 - COPY`` of the words, a paraphrase at most ``1 - RARE`` of the IDF.  So of any
+        words with more IDF than that, a match holds the rest; ``MARGIN`` of the item's IDF beyond it is indexed, which
+        only decides how many places are looked at.
+        """
+        import numpy as np
+
+        words, owner, self.least = [], [], np.zeros(len(self.words))
+        for k, w in enumerate(self.words):
+            rarest = w[np.argsort(-self.idf_all[w], kind="stable")]
+            weight = self.idf_all[rarest]
+            total = weight.sum()
+            spare = max((1 - RARE) * total, weight[:int((1 - COPY) * len(w) + 1e-9)].sum())
+            taken = min(int(np.searchsorted(np.cumsum(weight), min(spare + MARGIN * total, total))) + 1, len(w))
+            taken = int(np.flatnonzero(np.isin(rarest, rarest[:taken]))[-1]) + 1  # a word with all its places
+            self.least[k] = (weight[:taken].sum() - spare) * (1 - 1e-6)
+            found = np.unique(rarest[:taken])
+            words.append(found)
+            owner.append(np.full(len(found), k))
+        words, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, owner))
+        order = np.argsort(words, kind="stable")
+        self.holders, self.ends = owner[order], np.searchsorted(words[order], np.arange(len(self.idf_all) + 1))
+
+    def gram_times(self, x):
+        """``B^T B x`` of the items' unit rows B, which together weigh as much as all passages."""
+        import numpy as np
+
+        word, start, weight = [], [], []
+        for w in self.words:
+            found, count = np.unique(w, return_counts=True)
+            row = count * self.idf[found]
+            norm = np.linalg.norm(row)
+            start.append(start[-1] + len(word[-1]) if start else 0)
+            word.append(found)
+            weight.append(row / norm if norm else row)
+        word, start, weight = np.concatenate(word), np.array(start), np.concatenate(weight)
+        y = _times(start, word, weight.astype(np.float32), x.astype(np.float32)).astype(np.float64)
+        out = np.zeros(x.shape)
+        np.add.at(out, word, np.repeat(y, np.diff(np.append(start, len(word))), axis=0) * weight[:, None])
+        return out * (self.passages / len(self.words))
 
     def project(self, basis) -> None:
         import numpy as np
@@ -241,15 +291,18 @@ def gram_times(encoded: DataFrame, idf, x):
     return out[:n_words]
 
 
-def latent_basis(encoded: DataFrame, idf, rank: int = RANK, seed: int = SEED):
-    """words x rank: the leading right singular vectors of A, by a randomised range finder with ``POWER_STEPS`` power steps."""
+def latent_basis(encoded: DataFrame, idf, rank: int = RANK, seed: int = SEED, items: Items | None = None):
+    """words x rank: the leading right singular vectors of A (and the rows of ``items``), by a randomised range finder with ``POWER_STEPS`` power steps."""
     import numpy as np
 
+    def times(x):
+        return gram_times(encoded, idf, x) + (items.gram_times(x) if items else 0)
+
     width = min(rank + OVERSAMPLE, len(idf))
-    z = gram_times(encoded, idf, np.random.default_rng(seed).standard_normal((len(idf), width)))
+    z = times(np.random.default_rng(seed).standard_normal((len(idf), width)))
     for _ in range(POWER_STEPS):
         q, _ = np.linalg.qr(z)
-        z = gram_times(encoded, idf, q)
+        z = times(q)
     small = q.T @ z
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(values)[::-1][:rank]
@@ -305,6 +358,43 @@ def judge_match(items: Items, k: int, words: list[int]) -> tuple[str, float] | N
     return ("paraphrase", share) if found >= PARAPHRASE * sum(answer.values()) else None
 
 
+def places_by_words(p: Passages, items: Items):
+    """(passage, item), in order: every place whose region holds the least IDF of an item's rarest words."""
+    import numpy as np
+
+    reach = [len(w) + STRIDE for w in items.words]
+    count = items.ends[p.words + 1] - items.ends[p.words]
+    before = np.append(0, np.cumsum(count))
+    passages, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    doc, docs = 0, len(p.ends) - 1
+    while doc < docs:  # whole documents of about EVENTS postings
+        stop = max(doc + 1, int(np.searchsorted(before[p.ends], before[p.ends[doc]] + EVENTS, side="right")) - 1)
+        a, b = p.ends[doc], p.ends[stop]
+        doc = stop
+        at = np.repeat(np.arange(a, b), count[a:b])
+        item = items.holders[np.arange(before[a], before[b]) - before[at] + items.ends[p.words[at]]]
+        group = p.owner[at] * len(reach) + item
+        order = np.argsort(group, kind="stable")  # places stay in order
+        at, group = at[order], group[order]
+        weight = items.idf_all[p.words[at]]
+        found, start = np.unique(group, return_index=True)
+        if not len(found):
+            continue
+        ends = np.append(start, len(group))
+        for g in np.flatnonzero(np.add.reduceat(weight, start) >= items.least[found % len(reach)]).tolist():
+            owner, k = divmod(int(found[g]), len(reach))
+            place, half = p.place[at[ends[g]:ends[g + 1]]], STRIDE + reach[k]
+            sums = np.append(0, np.cumsum(weight[ends[g]:ends[g + 1]]))
+            middle = np.arange(max(0, (place[0] - half) // STRIDE), min((place[-1] + half) // STRIDE, p.first[owner + 1] - p.first[owner] - 1) + 1)
+            low, high = np.searchsorted(place, [middle * STRIDE - half, middle * STRIDE + half])
+            middle = middle[sums[high] - sums[low] >= items.least[k]]
+            passages.append(middle + p.first[owner])
+            numbers.append(np.full(len(middle), k))
+    passage, number = np.concatenate(passages), np.concatenate(numbers)
+    order = np.lexsort((number, passage))
+    return passage[order], number[order]
+
+
 def find_matches(encoded: DataFrame, items: Items, cosine: float = COSINE) -> DataFrame:
     """(id, item number, kind, share, cosine, first_word, last_word), the best place of each document and item."""
     shared = encoded.sparkSession.sparkContext.broadcast(items)
@@ -320,16 +410,21 @@ def find_matches(encoded: DataFrame, items: Items, cosine: float = COSINE) -> Da
         for part in _slices(batches):
             p = Passages(part)
             has, start, word, weight = _rows_of(p, it.idf, keep)
+            passage, number = places_by_words(p, it)
             best: dict[tuple[int, int], tuple] = {}
-            for a in range(0, len(has), 4096):
+            for a in range(0, max(len(has), 1), 4096):
                 b = min(a + 4096, len(has))
                 stop = start[b] if b < len(start) else len(word)
-                x = _times(start[a:b] - start[a], word[start[a]:stop], weight[start[a]:stop], it.basis)
+                first, last = has[a] if a else 0, has[b] if b < len(has) else p.n  # passages of this block, those without weight too
+                x = _times(start[a:b] - start[a], word[start[a]:stop], weight[start[a]:stop], it.basis) if b else np.zeros((0, it.basis.shape[1]), np.float32)
                 size = np.linalg.norm(x, axis=1)
                 near = (x @ it.latent.T) / np.maximum(size, 1e-6)[:, None]
-                for row, k in zip(*(v.tolist() for v in np.nonzero(near >= cosine))):
-                    doc = int(np.searchsorted(p.first, has[a + row], side="right")) - 1
-                    middle = (int(has[a + row]) - int(p.first[doc])) * STRIDE
+                rows, ks = np.nonzero(near >= cosine)
+                lo, hi = np.searchsorted(passage, [first, last])
+                places = np.unique(np.append(has[a + rows] * len(reach) + ks, passage[lo:hi] * len(reach) + number[lo:hi]))
+                for here, k in zip(*(v.tolist() for v in np.divmod(places, len(reach)))):
+                    doc = int(np.searchsorted(p.first, here, side="right")) - 1
+                    middle = (here - int(p.first[doc])) * STRIDE
                     old = best.get((doc, k))
                     if old and old[3] >= 1:
                         continue
@@ -337,7 +432,9 @@ def find_matches(encoded: DataFrame, items: Items, cosine: float = COSINE) -> Da
                     lo, hi = lo + np.searchsorted(p.place[lo:hi], [middle - STRIDE - reach[k], middle + STRIDE + reach[k]])
                     verdict = judge_match(it, k, p.words[lo:hi].tolist())
                     if verdict and (old is None or verdict[1] > old[3]):
-                        best[doc, k] = (doc, k, verdict[0], verdict[1], float(near[row, k]), int(p.place[lo]), int(p.place[hi - 1]))
+                        row = int(np.searchsorted(has[a:b], here))
+                        value = float(near[row, k]) if a + row < b and has[a + row] == here else 0.0
+                        best[doc, k] = (doc, k, verdict[0], verdict[1], value, int(p.place[lo]), int(p.place[hi - 1]))
             if best:
                 cols = list(zip(*best.values()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds[1:]))], names=names)
@@ -360,7 +457,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             continue
         encoded = encode_documents(docs, items, id_col, text_col)
         items.fit(*document_frequencies(encoded, len(items.vocab)))
-        items.project(latent_basis(encoded, items.idf))
+        items.project(latent_basis(encoded, items.idf, items=items))
         number = spark.createDataFrame(list(enumerate(items.ids)), f"item long, {item_col} {item_type.simpleString()}")
         found = written(find_matches(encoded, items), "benchmark-matches").join(number, "item")
         result = result.unionByName(found.withColumnRenamed("id", id_col).select(*result.columns))

@@ -119,3 +119,29 @@ def test_basis_spans_the_leading_directions(spark):
     exact = np.sort(np.linalg.eigvalsh((gram + gram.T) / 2))[::-1][:20].sum()
     assert np.allclose(basis.T @ basis, np.eye(20), atol=1e-6)
     assert np.trace(basis.T @ gram @ basis) > 0.85 * exact
+
+
+def test_matches_do_not_hang_on_the_cosine(spark):
+    """Every place that can hold a match is judged, whatever the latent space says of it."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    items = dc.Items(sorted((r.item_id, r.text) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()))
+    encoded = dc.encode_documents(docs, items, "doc_id", "text")
+    items.fit(*dc.document_frequencies(encoded, len(items.vocab)))
+    items.project(dc.latent_basis(encoded, items.idf, rank=4, items=items))
+    want = brute(docs.select("doc_id", "text").collect(), spark.read.parquet(f"{SF001}/benchmark.parquet").collect())
+    got = {(r.id, items.ids[r.item]): (r.kind, r.share) for r in dc.find_matches(encoded, items, cosine=2.0).collect()}
+    assert {k: v[1] for k, v in want.items()} == {k: v[1] for k, v in got.items()} and len(want) > 5
+
+
+def test_every_item_has_a_direction(spark):
+    """An item that no document holds still lies in the latent space."""
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    docs = spark.createDataFrame([(k, make(rng, 100, words[:100])) for k in range(60)], "doc_id long, text string")
+    items = dc.Items([(k, make(rng, 20, words)) for k in range(5)] + [(5, "only here " + make(rng, 10, words[100:]))])
+    encoded = dc.encode_documents(docs, items, "doc_id", "text")
+    items.fit(*dc.document_frequencies(encoded, len(items.vocab)))
+    basis = dc.latent_basis(encoded, items.idf, rank=8, items=items)
+    for w in items.words:
+        row = np.bincount(w, minlength=len(items.idf)) * items.idf
+        assert np.linalg.norm(row @ basis) > 0.9 * np.linalg.norm(row)
