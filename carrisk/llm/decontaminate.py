@@ -6,7 +6,8 @@ document (``WINDOW`` words, one each ``STRIDE`` words) is searched for them.
 1. Documents are read once and reduced to the benchmark's words: their numbers
    and the count of other words before each, written to the shared folder.
 2. Document frequencies of these words over all passages give TF-IDF weights
-   (of N passages, words in more than ``N ** MAX_DF_POWER``, and ``MIN_DF``, carry none) and unit rows A.
+   (``log(1 + N / df)`` of N passages, which falls smoothly: no word is cut, at
+   any size) and unit rows A.
 3. Randomised SVD over all passages and the items themselves (rows that weigh
    as much as all passages, so every item has a direction): tasks add up ``A^T (A X)`` for a random X,
    and ``POWER_STEPS`` times for its orthonormal basis Q; the eigenvectors of ``Q^T A^T A Q``
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from carrisk.llm.common import query, table, text_slices, written
 
-WINDOW, STRIDE, RANK, OVERSAMPLE, MAX_DF_POWER, MIN_DF = 40, 20, 160, 16, 0.9, 64
+WINDOW, STRIDE, RANK, OVERSAMPLE = 40, 20, 160, 16
 COSINE, COPY, PARAPHRASE, RARE, ANSWER = 0.45, 0.8, 0.5, 0.5, 5
 MARGIN, EVENTS = 0.2, 1_000_000
 BLOCK_CHARS, SUM_WORDS, POWER_STEPS, SEED = 2_000_000, 256, 2, 7
@@ -85,8 +86,7 @@ class Items:
     def fit(self, df, passages: int) -> None:
         import numpy as np
 
-        self.idf_all = np.log1p(passages / np.maximum(df, 1))
-        self.idf = np.where(df <= max(passages ** MAX_DF_POWER, MIN_DF), self.idf_all, 0.0)
+        self.idf = np.log1p(passages / np.maximum(df, 1))
         self.passages = passages
         self.index()
 
@@ -101,8 +101,8 @@ class Items:
 
         words, owner, self.least = [], [], np.zeros(len(self.words))
         for k, w in enumerate(self.words):
-            rarest = w[np.argsort(-self.idf_all[w], kind="stable")]
-            weight = self.idf_all[rarest]
+            rarest = w[np.argsort(-self.idf[w], kind="stable")]
+            weight = self.idf[rarest]
             total = weight.sum()
             spare = max((1 - RARE) * total, weight[:int((1 - COPY) * len(w) + 1e-9)].sum())
             taken = min(int(np.searchsorted(np.cumsum(weight), min(spare + MARGIN * total, total))) + 1, len(w))
@@ -113,7 +113,7 @@ class Items:
             owner.append(np.full(len(found), k))
         words, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, owner))
         order = np.argsort(words, kind="stable")
-        self.holders, self.ends = owner[order], np.searchsorted(words[order], np.arange(len(self.idf_all) + 1))
+        self.holders, self.ends = owner[order], np.searchsorted(words[order], np.arange(len(self.idf) + 1))
 
     def gram_times(self, x):
         """``B^T B x`` of the items' unit rows B, which together weigh as much as all passages."""
@@ -350,7 +350,7 @@ def judge_match(items: Items, k: int, words: list[int]) -> tuple[str, float] | N
     if share < PARAPHRASE:
         return None
     places = common_places(item, words)
-    weight = items.idf_all[items.words[k]]
+    weight = items.idf[items.words[k]]
     if weight[places].sum() < RARE * weight.sum():
         return None
     answer = Counter(item[-ANSWER:])
@@ -376,7 +376,7 @@ def places_by_words(p: Passages, items: Items):
         group = p.owner[at] * len(reach) + item
         order = np.argsort(group, kind="stable")  # places stay in order
         at, group = at[order], group[order]
-        weight = items.idf_all[p.words[at]]
+        weight = items.idf[p.words[at]]
         found, start = np.unique(group, return_index=True)
         if not len(found):
             continue

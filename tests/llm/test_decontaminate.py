@@ -145,3 +145,13 @@ def test_every_item_has_a_direction(spark):
     for w in items.words:
         row = np.bincount(w, minlength=len(items.idf)) * items.idf
         assert np.linalg.norm(row @ basis) > 0.9 * np.linalg.norm(row)
+
+
+def test_items_of_common_words(spark):
+    """An item of words that stand in most passages is found as well, and weighs something."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(12)]
+    item = make(rng, 14, common)
+    docs = spark.createDataFrame([(k, make(rng, 200, common)) for k in range(300)] + [(900, "before it " + item + " behind it")], "doc_id long, text string")
+    got = {r.doc_id: r for r in dc.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got[900].kind == "copy" and got[900].share == 1 and got[900].cosine > 0
