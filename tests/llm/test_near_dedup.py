@@ -107,3 +107,42 @@ def test_sketch_shapes(texts):
     keys, n = nd.order_sketches(pa.array(texts, pa.large_string()))
     assert keys.shape == (len(texts), nd.ENTRIES) and n.tolist() == [len(t.split()) for t in texts]
     assert (len(set(map(tuple, keys.tolist()))) == 1) or len(set(texts)) != 1
+
+
+def test_few_common_keys(spark):
+    """A text whose best hub is not similar still meets its near copy, if they share a single key."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows, want, cases = [], {}, 0
+    while cases < 6:
+        base = [f"c{cases}w{rng.randrange(10**6)}" for _ in range(80)]
+        variant = list(base)
+        for at in rng.sample(range(80), 9):
+            variant[at] = f"v{rng.randrange(10**6)}"
+        hub = variant[:52] + [f"h{rng.randrange(10**6)}" for _ in range(28)]
+        texts = [" ".join(t) for t in (hub, base, variant)]
+        keys, _ = nd.order_sketches(pa.array(texts, pa.large_string()))
+        agree = lambda a, b: int((keys[a] == keys[b]).sum())
+        if not 1 <= agree(1, 2) <= 2 or agree(0, 2) <= agree(1, 2) or ((keys[0] == keys[1]) & (keys[1] == keys[2])).any():
+            continue
+        rows += [(cases * 10 + k, t) for k, t in enumerate(texts)]
+        want |= {cases * 10: cases * 10, cases * 10 + 1: cases * 10 + 1, cases * 10 + 2: cases * 10 + 1}
+        cases += 1
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_bags_set_no_link_aside():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    for _ in range(200):
+        a = [f"w{rng.randrange(300)}" for _ in range(rng.randint(5, 700))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5)):
+            at = rng.randrange(len(b))
+            b[at:at + 1] = rng.choice(([], [f"w{rng.randrange(300)}"], [b[at], "new"]))
+        bags = nd.sketches_and_bags(pa.array([" ".join(a), " ".join(b)], pa.large_string()))[2].astype(np.int64)
+        assert max(np.maximum(bags[0] - bags[1], 0).sum(), np.maximum(bags[1] - bags[0], 0).sum()) <= plain_distance(a, b)
