@@ -2,9 +2,10 @@
 
 Units are lines, and the sentences of lines that have several, so that a
 passage pasted inside a line is found by its inner sentences.  A unit is
-normalised (lower case, single blanks) and hashed to 128 bits; units under
-``min_words`` words and ``min_chars`` characters are too common to tell
-anything and are left alone.  Digests are grouped globally, the occurrence
+normalised (lower case, single blanks) and hashed to 128 bits.  Sentences inside
+a line under ``min_words`` words and ``min_chars`` characters are too common to
+tell anything and are left alone, and so are whole lines under ``LINE_WORDS``
+words and ``LINE_CHARS`` characters.  Digests are grouped globally, the occurrence
 that ranks first by (id, start) is kept, and all others are removed, with
 their offsets in the original text retained.
 
@@ -36,6 +37,7 @@ from carrisk.llm.common import not_replaced, query, table, text_slices
 
 MIN_WORDS = 6
 MIN_CHARS = 60
+LINE_WORDS, LINE_CHARS = 3, 11  # of whole lines
 LINE = re.compile(r"[^\n]+")
 SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)")
 
@@ -50,9 +52,10 @@ def text_units(text: str, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS
         if len(sentences) > 1:
             first = sentences[0][0]
             sentences.append((first, whole[first:].rstrip()))
-        for offset, unit in sentences:
+        for k, (offset, unit) in enumerate(sentences):
             words = unit.lower().split()
-            if len(words) >= min_words or len(unit) >= min_chars:
+            line = k == len(sentences) - 1  # the whole one comes last
+            if len(words) >= (min(min_words, LINE_WORDS) if line else min_words) or len(unit) >= (min(min_chars, LINE_CHARS) if line else min_chars):
                 yield at + offset, len(unit), " ".join(words)
 
 

@@ -48,3 +48,10 @@ def test_edges(spark):
     assert sd.dedup(docs.withColumnRenamed("id", "removed")).columns == ["doc_id", "text", "removed"]
     twice = docs.where("doc_id = 11 or doc_id = 5").union(docs.where("doc_id = 5"))
     assert all(r.removed == [] for r in sd.dedup(twice).collect())  # one document given twice
+
+
+def test_short_whole_lines(spark):
+    """A short line that stands whole in several documents is kept once; the same words inside a line are not looked at."""
+    rows = [(1, "All rights reserved.\nof its own 1"), (2, "Of its own 2\n  all rights  reserved."), (3, "All rights reserved. Released under it. " + "And more of it 3 " * 5)]
+    got = {r.doc_id: (r.text, [tuple(s) for s in r.removed]) for r in sd.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], []), 2: ("Of its own 2\n  ", [(15, 21, 1, 0)]), 3: (rows[2][1], [])}
