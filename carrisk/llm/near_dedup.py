@@ -264,7 +264,8 @@ def _residual_pairs(members: DataFrame, similarity: float, most: int | None) ->
     def compare(group: pa.Table) -> pa.Table:
         import numpy as np
 
-        number = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        codes: dict[str, int] = {}
+        number = np.array([codes.setdefault(repr(c), len(codes)) for c in group["component"].to_pylist()])  # ids of any type
         sketch = np.array(group["sketch"].to_pylist(), np.int64)
         bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
         n_words, hashed = group["n_words"].to_numpy().astype(np.int64), group["hash"].to_numpy()

@@ -28,11 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies: the one with the least id.
 
-    A repeated id is one document; rows with a null id stay, as no class can name them.
+    Rows of one id and different texts are documents of their own, in the order of the texts' hashes;
+    rows of one id and text are one document; rows with a null id stay, as no class can name them.
     """
     ship(spark)
-    kept = near_dedup.near_duplicates(docs).where("doc_id is not null and class_id = doc_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")))
+    keyed = docs.withColumn("__key", key)
+    classes = near_dedup.near_duplicates(keyed.select("__key", "text"), id_col="__key")
+    kept = classes.where("__key is not null and class_id = __key").select("__key").distinct()
+    first = keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"])
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -66,3 +66,13 @@ def test_registered():
     found = __spark_entry__.queries()
     assert "pipeline" in found and set(QUERIES) <= set(found) and len({n.split("_")[0] for n in QUERIES if n.startswith("op")}) == 10
     assert set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of a repeated id is judged by itself: the near copy goes, the other ones stay."""
+    base = [" ".join(f"{c}{chr(97 + k % 26)}{k}" for k in range(80)) for c in "xyz"]
+    rows = [(1, base[0]), (5, base[0] + " end"), (5, base[1]), (5, base[2]), (5, base[2]), (7, base[1] + " end"), (8, base[2].upper())]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted(tuple(r) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF001).collect())
+        assert got == [(1, base[0]), (5, base[1]), (5, base[2])]
