@@ -8,7 +8,9 @@ valid, replaced by a keyed permutation of its own format's value set:
 * phone: the national digits (a country code stays);  ssn: nine digits;
 * ipv4: the 2**32 addresses;
 * date: the 146097 days of the Gregorian years 1800 to 2199, so a date
-  becomes a valid date in the same notation;
+  becomes a valid date in the same notation; day first with slashes, and
+  where that is no date month first, by a permutation of its own of the 88497
+  days that only this reading has (those after the 12th of a month);
 * email: the letters and digits of the local part (at most ``MAX_CHARS``
   of them, else the first ones), in lower case; the domain stays.
 
@@ -39,6 +41,7 @@ ROUNDS = 10
 MAX_CHARS = 22
 DEFAULT_KEY = "carrisk pseudonyms, change me"
 DAYS = 146_097  # days of 400 Gregorian years, 189 * 773
+LATE_DAYS = 88_497  # of these, the days after the 12th of their month, 9 * 9833
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9/-])"
@@ -131,7 +134,25 @@ def _date(value: Column, key: str) -> Column:
     moved = feistel(F.floor(number / 773), number % 773, F.lit(189).cast("bigint"), F.lit(773).cast("bigint"), key, "date")
     new = F.date_add(F.lit("1800-01-01").cast("date"), (moved["l"] * 773 + moved["r"]).cast("int"))
     shown = F.coalesce(*(F.when(is_it, F.date_format(new, p)) for is_it, p in pattern))
-    return F.when((number >= 0) & (number < DAYS), shown)
+    late = F.when((sep == "/") & day.isNull(), _late_date(value, key))
+    return F.when((number >= 0) & (number < DAYS), shown).otherwise(late)
+
+
+def _late_date(value: Column, key: str) -> Column:
+    """A date in MM/dd/yyyy whose day is over 12, moved among the days of that kind."""
+    first = F.lit("1800-01-01").cast("date")
+    before = lambda month: F.date_diff(F.add_months(first, month), first) - 12 * month  # noqa: E731  late days before a month
+    day = F.try_to_timestamp(value, F.lit("MM/dd/yyyy")).cast("date")
+    month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    rank = before(month) + F.dayofmonth(day) - 13
+    moved = feistel(F.floor(rank / 9833), rank % 9833, F.lit(9).cast("bigint"), F.lit(9833).cast("bigint"), key, "date-late")
+
+    def shown(m: Column) -> Column:
+        new = (m["l"] * 9833 + m["r"]).cast("int")
+        near = F.floor(new * F.lit(4800.0) / LATE_DAYS).cast("int")
+        at = F.array_max(F.filter(F.sequence(F.greatest(near - 3, F.lit(0)), F.least(near + 3, F.lit(4799))), lambda i: before(i) <= new))
+        return F.transform(F.array(at), lambda i: F.date_format(F.date_add(F.add_months(first, i), new - before(i) + 12), "MM/dd/yyyy"))[0]
+    return F.when((F.year(day) >= 1800) & (F.year(day) < 2200), F.transform(F.array(moved), shown)[0])
 
 
 def _phone(value: Column, key: str) -> Column:

@@ -125,3 +125,17 @@ def test_permutation(spark):
     a, b = F.lit(189).cast("bigint"), F.lit(773).cast("bigint")
     days = spark.range(pii.DAYS).select(pii.feistel(F.floor(F.col("id") / 773), F.col("id") % 773, a, b, "key", "date").alias("m"))
     assert days.distinct().count() == pii.DAYS and days.where("m.l < 0 or m.l >= 189 or m.r < 0 or m.r >= 773").count() == 0
+
+
+def test_month_first_dates(spark):
+    """Slash dates that are none with the day first: a permutation of all days after the 12th of a month."""
+    first = dt.date(1800, 1, 1)
+    days = [d.strftime("%m/%d/%Y") for d in (first + dt.timedelta(k) for k in range(pii.DAYS)) if d.day > 12]
+    assert len(days) == pii.LATE_DAYS
+    docs = spark.createDataFrame([(d,) for d in days], "text string").repartition(8)
+    moved = [r.text for r in pii.pseudonymise(docs).select("text").collect()]
+    assert sorted(moved) == sorted(days)
+    text = "from 03/25/2024 to 03/25/2024, not 13/32/2024, 02/30/2024 or 12/31/1799"
+    out = pii.pseudonymise(spark.createDataFrame([(text,)], "text string")).first()
+    assert [f.kind for f in out.found] == ["date", "date"] and out.found[0].pseudonym == out.found[1].pseudonym != "03/25/2024"
+    assert out.text == text.replace("03/25/2024", out.found[0].pseudonym)
