@@ -5,6 +5,7 @@ Prints ONE JSON line: {"metric": "total_sec", "value": N, "unit": "sec",
 no-op sink (every row computed, nothing shipped to the driver).  The
 first query builds the master from the raw tables and writes the Parquet
 checkpoint; later queries read it, as the pipeline does.
+A query that fails is named under "failed"; times go to stderr as they come.
 Set BENCH_MODELS=0 to skip the forest comparison (the slowest step).
 """
 
@@ -25,7 +26,7 @@ REPORT_QUERIES = [
 ]
 MODEL_QUERIES = ["strat_split", "state_tier", "auc_midrank", "roc_points", "confusion_kappa", "kruskal_wallis"]
 SEGMENT_QUERIES = ["cluster_matrix", "zscore", "kmeans_labels", "segment_profile", "elbow_wss", "silhouette_k"]
-FOREST_QUERIES = ["ablation", "model_comparison", "perm_importance"]
+FOREST_QUERIES = ["ablation", "model_comparison", "perm_importance", "oob_curve"]
 
 
 def main() -> None:
@@ -45,14 +46,20 @@ def main() -> None:
     times["master_build"] = round(time.perf_counter() - t0, 3)
 
     names = REPORT_QUERIES + MODEL_QUERIES + SEGMENT_QUERIES + (FOREST_QUERIES if with_models else [])
+    failed: dict[str, str] = {}
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # recorded; the other queries still run
+            failed[name] = f"{type(e).__name__}: {str(e)[:300]}"
+        else:
+            times[name] = round(time.perf_counter() - t0, 3)
+        print(name, times.get(name, "failed"), file=sys.stderr, flush=True)
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-           "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}
+           "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus, "failed": failed}
     print(json.dumps(out))
     spark.stop()
 

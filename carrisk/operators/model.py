@@ -3,16 +3,18 @@ forests with grid search (M8-M10), evaluation and ablation (M17), permutation
 importance (M15) and the OOB error curve (M16).
 
 Spark ML does the fitting; every evaluation metric is an exact rank-based
-aggregate from ``metrics``.  Differences from the analysed pipeline's
-forest library, stated once:
+aggregate from ``metrics``.  The final forests are bagged by ``bagging``, so
+that out-of-bag error, importance and curve are those of the model that is
+reported; the many small forests of the grid search are Spark ML's own.
+Differences from the analysed pipeline's forest library, stated once:
 
-* case weights: Spark weights impurity/leaf counts (``weightCol``) instead of
-  biasing the bootstrap draw;
+* case weights: the final forests draw their bags by them; the grid's forests
+  weight impurity and leaf counts (``weightCol``);
 * node size: ``minInstancesPerNode`` bounds each child, not the parent;
 * depth: capped (``max_depth``, Spark's limit is 30); splits on ``maxBins``
   quantised thresholds;
-* no OOB error is kept by Spark: ``oob_curve`` bags its own trees with
-  hash-Poisson(1) weights so every row knows which trees left it out.
+* bags are Poisson draws (a row's counts are independent of other rows'), not
+  draws of exactly n rows.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from dataclasses import dataclass
 from itertools import product
 
 from pyspark.ml.classification import RandomForestClassifier, RandomForestClassificationModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrisk.functions import scalar as S
-from carrisk.operators import clean, metrics, rank, sampling
-from carrisk.session import checkpoint, scratch_path
+from carrisk.operators import bagging, clean, metrics, rank, sampling
+from carrisk.operators.bagging import assembler, detached, sized
+from carrisk.session import checkpoint
 
 # Feature sets of the two models and the report labels of features.
 FEATURES_A = ("fleet_size_log", "log_driver_total", "hm_flag", "is_interstate", "is_intra_hazmat",
@@ -200,14 +202,6 @@ def prepare(master: DataFrame, seed: int = 42, cap_fit_on: str = "train", train_
 MAX_DEPTH = 30  # the most Spark's trees can hold; node sizes stop them earlier
 
 
-def sized(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
-    """Repartition a frame that many small fits will read to ~``rows_per_partition`` rows
-    per partition: tiny tuning sets become one task per level job instead of
-    many near-empty ones, and the count still grows with the data."""
-    n = df.count()
-    return df.repartition(max(1, math.ceil(n / rows_per_partition)))
-
-
 def mtry_grid(p: int) -> list[int]:
     vals = [math.floor(math.sqrt(p)), math.floor(math.sqrt(p)) + 2, max(2, math.floor(p / 3))]
     out = []
@@ -217,10 +211,6 @@ def mtry_grid(p: int) -> list[int]:
     return out
 
 
-def assembler(features) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-
-
 def forest(mtry: int, node_size: int, trees: int, seed: int = 42, max_depth: int = MAX_DEPTH,
            max_bins: int = 64) -> RandomForestClassifier:
     return RandomForestClassifier(
@@ -240,7 +230,7 @@ def score(model: RandomForestClassificationModel, df: DataFrame, features, out:
 def fit_forest(train: DataFrame, features, mtry: int, node_size: int, trees: int, seed: int = 42,
                max_depth: int = MAX_DEPTH) -> RandomForestClassificationModel:
     """M8: probability forest with case weights."""
-    return forest(mtry, node_size, trees, seed, max_depth).fit(assembler(features).transform(train))
+    return detached(forest(mtry, node_size, trees, seed, max_depth).fit(assembler(features).transform(train)))
 
 
 def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac: float = 0.1,
@@ -259,7 +249,7 @@ def grid_cv(train: DataFrame, features, trees: int = 300, folds: int = 5, frac:
 
     def one(args):
         mtry, ns, k = args
-        fit = forest(mtry, ns, trees, seed, max_depth).fit(tune.where(F.col("fold") != k))
+        fit = detached(forest(mtry, ns, trees, seed, max_depth).fit(tune.where(F.col("fold") != k)))
         return (fit.transform(tune.where(F.col("fold") == k))
                 .select(F.lit(mtry).alias("mtry"), F.lit(ns).alias("min_node_size"), F.lit(k).alias("fold"),
                         "oos_flag", vector_to_array(F.col("probability"))[1].alias("prob")))
@@ -303,26 +293,33 @@ class Evaluation:
     auc_test: float | None
     threshold: float | None
     confusion: dict
-    model: RandomForestClassificationModel
+    model: bagging.BaggedForest
     test_scores: DataFrame
+    roc: DataFrame
+    oob_counters: DataFrame
+    oob_brier: float | None
+    oob_error: float | None
 
 
 def evaluate_feature_set(prep: Prepared, name: str, features, trees_final: int = 500, trees_cv: int = 300,
-                         seed: int = 42, max_depth: int = MAX_DEPTH, parallelism: int = 8) -> Evaluation:
+                         seed: int = 42, max_depth: int = MAX_DEPTH, parallelism: int = 8,
+                         case_weights: str = "bootstrap") -> Evaluation:
     """Tune, fit, score and evaluate one feature set on the shared split."""
     cv = grid_cv(prep.train, features, trees_cv, seed=seed, max_depth=max_depth, parallelism=parallelism)
     mtry, ns, auc_cv = best_params(cv)
-    model = fit_forest(prep.train, features, mtry, ns, trees_final, seed, max_depth)
+    model = bagging.fit(prep.train, features, mtry, ns, trees_final, case_weights=case_weights, seed=seed, max_depth=max_depth)
+    counters = bagging.oob_counters(model, prep.train, TREE_STEPS)
+    oob = bagging.oob_error(counters).first()
     # written once: AUC, ROC, confusion and the score reports all read it
-    test_scores = checkpoint(score(model, prep.test, features).select("dot_number", "oos_flag", "prob"))
-    auc_train = metrics.auc(score(model, prep.train, features), "oos_flag", "prob", POSITIVE)
+    test_scores = checkpoint(model.score(prep.test).select("dot_number", "oos_flag", "prob"))
+    auc_train = metrics.auc(checkpoint(model.score(prep.train).select("oos_flag", "prob")), "oos_flag", "prob", POSITIVE)
     auc_test = metrics.auc(test_scores, "oos_flag", "prob", POSITIVE)
-    roc = metrics.roc_points(test_scores, "oos_flag", "prob", POSITIVE)
+    roc = checkpoint(metrics.roc_points(test_scores, "oos_flag", "prob", POSITIVE))
     yj = metrics.youden(roc).first()
     thr = yj["threshold"] if yj else None
     cm = metrics.confusion(test_scores, "oos_flag", "prob", thr).first().asDict() if thr is not None else {}
     return Evaluation(name, tuple(features), cv, mtry, ns, auc_cv, auc_train, auc_test, thr, cm, model,
-                      test_scores)
+                      test_scores, roc, counters, oob["brier"], oob["error"])
 
 
 def comparison_long(evals: list[Evaluation]) -> DataFrame:
@@ -331,7 +328,7 @@ def comparison_long(evals: list[Evaluation]) -> DataFrame:
     for e in evals:
         vals = {
             "Features": float(len(e.features)), "mtry": float(e.mtry), "min.node.size": float(e.node_size),
-            "Train AUC": e.auc_train, "CV AUC": e.auc_cv, "Test AUC": e.auc_test,
+            "OOB Error": e.oob_brier, "OOB Misclassification": e.oob_error, "Train AUC": e.auc_train, "CV AUC": e.auc_cv, "Test AUC": e.auc_test,
             "Train-Test Gap": (e.auc_train - e.auc_test) if e.auc_train is not None and e.auc_test is not None
             else None,
             "Sensitivity": e.confusion.get("sensitivity"), "Specificity": e.confusion.get("specificity"),
@@ -352,6 +349,7 @@ def permute_columns(df: DataFrame, key: str, columns, seed: int = 42, n_rows: in
     own number of places further on, wrapping round.  Buckets and order are
     random in the label, which breaks the link between feature and label;
     buckets hold about ``bucket_rows`` rows, and one shuffle serves all columns.
+    The number is 1 to size - 1: no value stays, but for a bucket of one row.
     """
     n = df.count() if n_rows is None else n_rows
     buckets = max(1, n // bucket_rows)
@@ -361,15 +359,24 @@ def permute_columns(df: DataFrame, key: str, columns, seed: int = 42, n_rows: in
     rows, size = F.col("_rows"), F.size("_rows")
 
     def with_moved(x, i):
-        moved = [F.element_at(rows, F.pmod(i + 37 * k + 11, size) + 1)[c].alias(f"perm_{c}") for k, c in enumerate(columns)]
+        moved = [F.element_at(rows, F.pmod(i + 1 + F.pmod(F.lit(37 * k + 10), F.greatest(size - 1, F.lit(1))), size) + 1)[c].alias(f"perm_{c}") for k, c in enumerate(columns)]
         return F.struct(*[x[c].alias(c) for c in df.columns], *moved)
 
     return gathered.select(F.inline(F.transform(rows, with_moved)))
 
 
-def permutation_importance(model: RandomForestClassificationModel, df: DataFrame, features, key: str = "dot_number",
-                           seed: int = 42) -> DataFrame:
-    """AUC drop on the rows of ``df`` when each feature is permuted, with Spark's
+def permutation_importance(forest: bagging.BaggedForest, train: DataFrame, bucket_rows: int = 1000) -> DataFrame:
+    """Out-of-bag permutation importance with the trees' impurity importance as a second column; sorted, labelled."""
+    impurity = dict(zip(forest.features, forest.featureImportances()))
+    rows = [(r["feature"], FEATURE_LABELS.get(r["feature"], r["feature"]), r["importance"], impurity[r["feature"]])
+            for r in bagging.oob_importance(forest, train, bucket_rows).collect()]
+    out = train.sparkSession.createDataFrame(rows, "feature string, label string, importance double, impurity_importance double")
+    return out.orderBy(F.desc_nulls_last("importance"))
+
+
+def auc_importance(model: RandomForestClassificationModel, df: DataFrame, features, key: str = "dot_number",
+                   seed: int = 42) -> DataFrame:
+    """M15 on any scored rows: AUC drop on the rows of ``df`` when each feature is permuted, with Spark's
     impurity importance as a second column; sorted, labelled.
 
     All permuted columns come from one shuffle; the frame with them is
@@ -395,61 +402,3 @@ def permutation_importance(model: RandomForestClassificationModel, df: DataFrame
     out = df.sparkSession.createDataFrame(
         rows, "feature string, label string, importance double, impurity_importance double")
     return out.orderBy(F.desc_nulls_last("importance"))
-
-
-# ---------------------------------------------------------------- OOB curve
-def poisson1(key: str, tree: int, seed: int = 42):
-    """Bootstrap count ~ Poisson(1) from a uniform hash of (key, tree, seed) by inverse CDF."""
-    u = (F.xxhash64(F.col(key).cast("string"), F.lit(tree), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))
-         .cast("double") / F.lit(float(1 << 53)))
-    cdf, p, expr = 0.0, math.exp(-1.0), None
-    for k in range(12):
-        cdf += p
-        cond = u < F.lit(cdf)
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-        p = p / (k + 1)
-    return expr.otherwise(F.lit(12))
-
-
-def oob_curve(train: DataFrame, features, mtry: int, node_size: int, trees: int = 500,
-              steps=TREE_STEPS, seed: int = 42, max_depth: int = MAX_DEPTH, parallelism: int = 8,
-              path: str | None = None) -> DataFrame:
-    """OOB misclassification error for the first n trees of a bagged forest.
-
-    Tree t trains on weight = class weight x Poisson(1) count (one
-    single-tree forest, no extra bootstrap); rows with count 0 are its OOB
-    rows.  Each tree's OOB votes are written as (key, label, vote) under
-    ``path/tree=t`` in the shared checkpoint folder (a finished tree survives
-    executor loss and the plan never holds a 500-way union); the curve is
-    then one aggregate: for each step, the majority of OOB votes >= 0.5 ->
-    OOS, rows without an OOB tree skipped.
-    """
-    import uuid
-    spark = train.sparkSession
-    steps = [s for s in steps if s <= trees]
-    path = path or scratch_path(spark, f"oob-votes-{uuid.uuid4().hex[:12]}")
-    data = sized(assembler(features).transform(train).select("dot_number", "label", "weight", "features")).persist()
-
-    def one(t: int):
-        w = data.withColumn("_cnt", poisson1("dot_number", t, seed))
-        model = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="_w", numTrees=1,
-                                       bootstrap=False, featureSubsetStrategy=str(mtry),
-                                       minInstancesPerNode=node_size, maxDepth=max_depth, maxBins=64,
-                                       seed=seed + t).fit(w.where(F.col("_cnt") > 0)
-                                                          .withColumn("_w", F.col("weight") * F.col("_cnt")))
-        (model.transform(w.where(F.col("_cnt") == 0))
-         .select("dot_number", "label", F.col("prediction").alias("vote"))
-         .write.mode("overwrite").parquet(f"{path}/tree={t}"))
-
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            list(pool.map(one, range(1, trees + 1)))
-    finally:
-        data.unpersist()
-    votes = spark.read.parquet(path)
-    per = votes.groupBy("dot_number", "label").agg(
-        *[F.avg(F.when(F.col("tree") <= n, F.col("vote"))).alias(f"s{n}") for n in steps])
-    errs = per.agg(*[F.avg(F.when(F.col(f"s{n}").isNotNull(),
-                                  ((F.col(f"s{n}") >= 0.5).cast("double") != F.col("label")).cast("double")))
-                     .alias(f"e{n}") for n in steps]).first()
-    return spark.createDataFrame([(n, errs[f"e{n}"]) for n in steps], "num_trees int, oob_error double")

@@ -14,13 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import threading
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from carrisk.operators import clean, features, rollup
-from carrisk.operators.impute import MissingPolicy
+from carrisk.operators.impute import MissingPolicy, drop_missing_geo
 from carrisk.session import scratch_path
 from carrisk.sources import binding
 from carrisk.sources.files import read_checkpoint, write_checkpoint
@@ -54,30 +53,26 @@ def merged_master(t: CleanTables) -> DataFrame:
     return rollup.master_merge(t.census, carrier, crashes)
 
 
-class MergeCheck:
-    """J7 within the build: rows of the census and of the merge, counted by the jobs that run anyway."""
-
-    def __init__(self) -> None:
-        self.census, self.merged = Observation(), Observation()
-
-    def verify(self) -> None:
-        before, after = self.census.get["n"], self.merged.get["n"]
-        if before != after:
-            raise AssertionError(f"merge fan-out: census {before} rows, master {after} rows")
-
-
-def build_master(t: CleanTables, policy: MissingPolicy | None = None, check: MergeCheck | None = None) -> DataFrame:
-    """The master table; with ``check``, the merge's row counts are observed (call ``verify`` after an action)."""
-    if check is not None:
-        t = replace(t, census=t.census.observe(check.census, F.count(F.lit(1)).alias("n")))
+def build_master(t: CleanTables, policy: MissingPolicy | None = None) -> DataFrame:
+    """The master table (``verify_merge`` checks a written one)."""
     merged = merged_master(t)
-    if check is not None:
-        merged = merged.observe(check.merged, F.count(F.lit(1)).alias("n"))
     policy = (policy or MissingPolicy()).fit(merged)
     out = policy.transform(merged)
     return features.add_target(features.add_features(out))
 
 
+def verify_merge(t: CleanTables, master: DataFrame, policy: MissingPolicy | None = None) -> None:
+    """J7 within the build: the written master has one row for each census carrier that the policy keeps.
+
+    Geography comes from the census, so the rows that the policy drops are counted there, in one narrow pass;
+    no ``Observation`` is registered (a session that holds one can no longer ship fitted forests to its tasks).
+    """
+    kept = drop_missing_geo(t.census, (policy or MissingPolicy()).geography_columns)
+    before, after = kept.count(), master.count()
+    if before != after:
+        raise AssertionError(f"merge fan-out: census {before} rows, master {after} rows")
+
+
 _WRITTEN: dict[tuple[str, str], str] = {}
 _LOCK = threading.Lock()
 
@@ -97,8 +92,8 @@ def master_for(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             digest = hashlib.sha1(f"{key[0]}|{sf_dir}".encode()).hexdigest()[:12]
             path = scratch_path(spark, f"master-{digest}")
-            check = MergeCheck()
-            write_checkpoint(build_master(load_clean(spark, sf_dir), check=check), path)
-            check.verify()
+            tables = load_clean(spark, sf_dir)
+            write_checkpoint(build_master(tables), path)
+            verify_merge(tables, read_checkpoint(spark, path))
             _WRITTEN[key] = path
     return read_checkpoint(spark, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from carrisk.functions import scalar as S
 from carrisk.operators import aggregates as A
-from carrisk.operators import dist, metrics, model, sampling
+from carrisk.operators import bagging, dist, metrics, model, sampling
 from carrisk.plans import master as M
 from carrisk.plans.oracle import r6, safe_div, with_master
 from carrisk.plans.registry import query
@@ -18,6 +18,7 @@ from carrisk.plans.registry import query
 RATE_COLS = list(model.RATE_SOURCES)
 NUMERIC_FEATURES = [f for f in model.FEATURES_B if f != "state_risk_tier"]
 ROC_SCORE = "rate_vh_maint"
+TREES_FINAL, TREES_CV = 500, 300
 
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -82,7 +83,7 @@ def evaluations(spark: SparkSession, sf_dir: str) -> list[model.Evaluation]:
             sets = [("Strict (8)", model.FEATURES_A), (f"Fingerprint ({len(model.FEATURES_B)})", model.FEATURES_B)]
             with ThreadPoolExecutor(max_workers=2) as pool:
                 _CACHE[k] = list(pool.map(
-                    lambda nf: model.evaluate_feature_set(prep, nf[0], nf[1], parallelism=6), sets))
+                    lambda nf: model.evaluate_feature_set(prep, nf[0], nf[1], TREES_FINAL, TREES_CV, parallelism=6), sets))
         return _CACHE[k]
 
 
@@ -342,9 +343,9 @@ def q_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("perm_importance")
 def q_perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation importance of both models on all training rows, sorted and labelled, stacked by model."""
+    """Out-of-bag permutation importance of both models, sorted and labelled, stacked by model."""
     prep = prepared(spark, sf_dir)
-    parts = {ev.name: model.permutation_importance(ev.model, prep.train, ev.features) for ev in evaluations(spark, sf_dir)}
+    parts = {ev.name: model.permutation_importance(ev.model, prep.train) for ev in evaluations(spark, sf_dir)}
     return A.stack_labelled(parts, label="model")
 
 
@@ -360,5 +361,10 @@ def q_prob_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_oob_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OOB misclassification error vs number of trees (10..500) for Model B's tuned settings."""
     ev = evaluations(spark, sf_dir)[1]
-    prep = prepared(spark, sf_dir)
-    return model.oob_curve(prep.train, model.FEATURES_B, ev.mtry, ev.node_size, trees=500)
+    return bagging.oob_curve(ev.oob_counters, [s for s in model.TREE_STEPS if s <= len(ev.model.trees)])
+
+
+@query("roc_both_models")
+def q_roc_both_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 on the fitted models: the test ROC curves of both, stacked by model."""
+    return A.stack_labelled({e.name: e.roc for e in evaluations(spark, sf_dir)}, label="model")

@@ -63,15 +63,18 @@ def test_permutation_keeps_the_values(frame):
         assert all(after[k][f] == before[k][f] for k in before)
 
 
-def test_importance_ranks_the_signal_first(frame):
+def test_permuted_auc_ranks_the_signal_first(frame):
     train, test = split(frame)
     forest = model.fit_forest(train, FEATURES, 2, 10, 20, max_depth=6)
-    rows = model.permutation_importance(forest, test, FEATURES).collect()
+    rows = model.auc_importance(forest, test, FEATURES).collect()
     drop = {r.feature: r.importance for r in rows}
     assert rows[0].feature == "signal" and drop["signal"] > 0.2
     assert abs(drop["noise_a"]) < 0.06 and abs(drop["noise_b"]) < 0.06
 
 
-def test_oob_error_falls_with_trees(frame):
-    curve = {r.num_trees: r.oob_error for r in model.oob_curve(split(frame)[0], FEATURES, 2, 10, trees=20, steps=(1, 5, 20), max_depth=6).collect()}
-    assert set(curve) == {1, 5, 20} and curve[20] <= curve[1] and curve[20] < 0.25
+@pytest.mark.parametrize("size", [1, 2, 11, 37])
+def test_no_value_stays_in_a_bucket(spark, size):
+    df = spark.range(size).select(F.col("id").cast("string").alias("k"), *[F.col("id").cast("double").alias(f"f{i}") for i in range(5)])
+    rows = model.permute_columns(df, "k", [f"f{i}" for i in range(5)], bucket_rows=size).collect()
+    assert len(rows) == size
+    assert all((r[f"perm_f{i}"] != r[f"f{i}"]) == (size > 1) for r in rows for i in range(5))

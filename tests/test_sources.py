@@ -63,11 +63,11 @@ def test_corrupt_policies(spark):
 
 def test_merge_check_stops_fan_out(spark):
     from carrisk.plans import master as M
-    check = M.MergeCheck()
-    one = spark.range(3).observe(check.census, M.F.count(M.F.lit(1)).alias("n"))
-    one.crossJoin(spark.range(2).toDF("x")).observe(check.merged, M.F.count(M.F.lit(1)).alias("n")).collect()
+    census = spark.createDataFrame([("1", "S"), ("2", "S"), ("3", None)], "dot_number string, phy_state string")
+    tables = M.CleanTables(census, None, None, None)
+    M.verify_merge(tables, census.where("phy_state is not null"))  # rows without geography are dropped by the policy
     with pytest.raises(AssertionError, match="fan-out"):
-        check.verify()
+        M.verify_merge(tables, census.where("phy_state is not null").crossJoin(spark.range(2).toDF("x")))
 
 
 def test_checkpoint_folder_needs_a_shared_place(monkeypatch):
