@@ -45,7 +45,7 @@ from carrisk.llm.components import connected_components
 from carrisk.llm.near_dedup import _hash_filter
 
 N = 3
-COUNTERS, COUNTER_ROWS = 1 << 20, 64
+COUNTERS, COUNTER_ROWS = 1 << 22, 64
 PARTS, SMALL, BLOCK = 128, 32, 1 << 20
 MAX_WORDS = 1 << 20  # words a worker remembers before it starts anew (cost only)
 FAN_IN = 64  # counter tables that one task adds up
@@ -127,6 +127,13 @@ def digest(grams) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def saturated(a, b):
+    """a + b of 32-bit counters, which stop at their largest value (the order needs no more)."""
+    import numpy as np
+
+    return np.minimum(a.astype(np.int64) + b, np.iinfo(np.int32).max).astype(np.int32)
+
+
 # ---------------------------------------------------------------- passes over the texts
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -144,11 +151,11 @@ def digests_and_counts(docs: DataFrame) -> DataFrame:
         import numpy as np
         from pyspark import TaskContext
 
-        hashes, counts, seen = WordHashes(), np.zeros(size, np.int64), False
+        hashes, counts, seen = WordHashes(), np.zeros(size, np.int32), False
         for part in text_slices(batches, "text"):
             sets = gram_sets(part.column(1).to_pylist(), hashes)
             grams = np.concatenate(sets)
-            counts += np.bincount((grams % np.uint64(size)).astype(np.int64), minlength=size)
+            np.add.at(counts, (grams % np.uint64(size)).astype(np.int64), 1)  # a task's part of a table holds fewer than 2^31 words
             seen, m = True, part.num_rows
             yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                                               pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
@@ -165,10 +172,12 @@ def total_counts(counters: DataFrame):
     """The counters of all tasks, added up ``FAN_IN`` at a time: [COUNTERS] (fixed size, whatever the input)."""
     import numpy as np
 
-    size = COUNTERS // COUNTER_ROWS * 8
+    size = COUNTERS // COUNTER_ROWS * 4
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(pa.decompress(c, size, "zstd", asbytes=True), np.int64) for c in group["counts"].to_pylist())
+        total = np.zeros(size // 4, np.int32)
+        for c in group["counts"].to_pylist():
+            total = saturated(total, np.frombuffer(pa.decompress(c, size, "zstd", asbytes=True), np.int32))
         return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int64()), "row": group["row"].slice(0, 1),
                          "counts": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
@@ -178,9 +187,9 @@ def total_counts(counters: DataFrame):
         parts = -(-parts // FAN_IN)
         if parts > 1:
             counters = written(counters, "gram-counts")
-    total = np.zeros((COUNTER_ROWS, COUNTERS // COUNTER_ROWS), np.int64)
+    total = np.zeros((COUNTER_ROWS, COUNTERS // COUNTER_ROWS), np.int32)
     for r in counters.select("row", "counts").collect():
-        total[r["row"]] = np.frombuffer(pa.decompress(bytes(r["counts"]), size, "zstd", asbytes=True), np.int64)
+        total[r["row"]] = np.frombuffer(pa.decompress(bytes(r["counts"]), size, "zstd", asbytes=True), np.int32)
     return total.reshape(-1)
 
 
@@ -227,16 +236,18 @@ def wanted_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFra
 
 
 # ---------------------------------------------------------------- small buckets: distinct pairs
-def candidate_pairs(entries: DataFrame) -> DataFrame:
-    """Distinct (a, b) of the buckets' rows (gram, place, node, n, parts) that length, position and suffix let link."""
-    x = entries.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("place", "node", "n", "parts")])
-    y = entries.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("place", "node", "n", "parts")])
+def candidate_pairs(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of the buckets' rows (gram, place, node, n) that length, position and suffix (by ``parts``) let link."""
+    x = entries.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("place", "node", "n")])
+    y = entries.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("place", "node", "n")])
     pairs = x.join(y, "gram").where("node_a < node_b")
     pairs = pairs.where("10 * least(n_a, n_b) >= 9 * greatest(n_a, n_b)")
     # n-grams before the shared one that can be common, itself, and those behind it
     most = "least(place_a, place_b) + 1 + least(n_a - place_a, n_b - place_b) - 1"
     pairs = pairs.where(f"n_a + n_b - 2 * ({most}) <= (n_a + n_b) div 19")
-    pairs = pairs.groupBy("node_a", "node_b").agg(*[F.first(c).alias(c) for c in ("n_a", "n_b", "parts_a", "parts_b")])
+    pairs = pairs.groupBy("node_a", "node_b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    for c in "ab":
+        pairs = pairs.join(parts.select(F.col("node").alias(f"node_{c}"), F.col("parts").alias(f"parts_{c}")), f"node_{c}")
 
     def run(batches):
         import numpy as np
@@ -245,7 +256,7 @@ def candidate_pairs(entries: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("parts_a", "parts_b"))
-            near = np.abs(x - y).sum(1) <= most_apart(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            near = np.abs(x - y).sum(1) <= most_apart(*(batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("node_a", "node_b")], names=["src", "dst"])
 
     return pairs.mapInArrow(run, "src binary, dst binary")
@@ -305,7 +316,7 @@ def first_common(a, b):
 
 
 def settled(rows: DataFrame, sets: DataFrame, once: bool) -> DataFrame:
-    """Links (src, dst) found in blocks: rows (gram, low, high, node, component, seeks, n, parts, prefix)."""
+    """Links (src, dst) found in blocks: rows (gram, low, high, node, component, seeks, n, prefix)."""
     with_sets = rows.join(sets, "node")
 
     def run(group: pa.Table) -> pa.Table:
@@ -314,12 +325,12 @@ def settled(rows: DataFrame, sets: DataFrame, once: bool) -> DataFrame:
         nodes = group["node"].to_pylist()
         codes: dict[bytes, int] = {}
         label = np.array([codes.setdefault(c, len(codes)) for c in group["component"].to_pylist()])
-        parts = np.frombuffer(b"".join(group["parts"].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
         grams = [np.frombuffer(g, np.uint64) for g in group["grams"].to_pylist()]
+        parts = np.array([part_counts(g) for g in grams], np.int16).reshape(-1, PARTS)
         prefix = [np.array(p, np.int64) for p in group["prefix"].to_pylist()] if once else []
         seeks = np.array(group["seeks"].to_pylist(), bool)
         both = not once  # a block of the first round: every row meets the others
-        links = links_between(group["gram"][0].as_py() if once else None, nodes, label, group["n"].to_numpy(), parts, grams, prefix,
+        links = links_between(group["gram"][0].as_py() if once else None, nodes, label, group["n"].to_numpy().astype(np.int64), parts, grams, prefix,
                               np.arange(len(nodes)) if both else np.flatnonzero(seeks), np.arange(len(nodes)) if both else np.flatnonzero(~seeks))
         src, dst = zip(*links) if links else ((), ())
         return pa.table({"src": pa.array(src, pa.binary()), "dst": pa.array(dst, pa.binary())})
@@ -334,7 +345,7 @@ def first_blocks(entries: DataFrame) -> DataFrame:
     blocks = rows.groupBy("gram").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     return (rows.join(blocks, "gram").withColumn("low", block)
-            .select("gram", "low", F.col("low").alias("high"), "node", F.col("node").alias("component"), F.lit(True).alias("seeks"), "n", "parts"))
+            .select("gram", "low", F.col("low").alias("high"), "node", F.col("node").alias("component"), F.lit(True).alias("seeks"), "n"))
 
 
 def other_blocks(entries: DataFrame, parts: DataFrame) -> DataFrame:
@@ -345,7 +356,7 @@ def other_blocks(entries: DataFrame, parts: DataFrame) -> DataFrame:
             .where("total > most").select("gram", "largest", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"),
                                           F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("rare_blocks")))
     rows = rows.join(size, "gram").withColumn("rare", F.col("component") != F.col("largest")).withColumn("hash", F.xxhash64("node"))
-    columns = ["gram", "low", "high", "node", "component", "seeks", "n", "parts"]
+    columns = ["gram", "low", "high", "node", "component", "seeks", "n"]
     met = rows.withColumns({"low": F.explode(F.sequence(F.lit(0), F.col("rare_blocks") - 1)), "high": F.pmod("hash", "blocks").cast("int"), "seeks": F.lit(False)})
     seeking = rows.where("rare").withColumns({"high": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "low": F.pmod("hash", "rare_blocks").cast("int"), "seeks": F.lit(True)})
     return met.select(*columns).unionByName(seeking.select(*columns))
@@ -364,11 +375,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = written(full.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "gram-nodes")
     prefix = prefixes(source, counts).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "parts", "grams")])
     prefix = written(prefix, "gram-prefixes")
-    entries = prefix.select("node", "n", "parts", F.posexplode("grams").alias("place", "gram"))
+    entries = prefix.select("node", F.col("n").cast("int").alias("n"), F.posexplode("grams").alias("place", "gram"))
     buckets = written(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "gram-buckets")
     shared = written(entries.join(buckets, "gram"), "gram-entries")
     small, large = shared.where(f"size <= {SMALL}"), shared.where(f"size > {SMALL}")
-    pairs = written(candidate_pairs(small), "gram-pairs")
+    pairs = written(candidate_pairs(small, prefix), "gram-pairs")
     ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).unionByName(large.select("node"))
     wanted = written(ends.distinct(), "gram-wanted")
     sets = written(wanted_sets(source, nodes, wanted), "gram-sets")
