@@ -4,29 +4,28 @@ Sketch: the k-mers of a text are its runs of ``K`` (five) words, labelled with
 their occurrence number.  Each of ``ENTRIES`` hash functions picks the
 ``TAKEN`` labelled k-mers of least hash; kept in text order they make one key.
 Two texts share a key only if the same k-mers come first and stand in the same
-order, so keys follow edit similarity.  At a k-mer similarity of 0.8 a key is
-shared with probability about 0.51, and some of 20 with 1 - 6e-7.
+order, so keys follow edit similarity.  Words replaced here and there with edit
+similarity s leave s^5 of the k-mers, a k-mer similarity j = s^5 / (2 - s^5), and
+a key is shared with probability about j^2: of 64 keys, some one with 0.92 at
+s = 0.8, 0.995 at 0.85 and nearly always above.
 
 Links: equal normalised texts (lower case, single blanks) are one
-representative.  The hub of a bucket (texts of a key) is its least text; each
-text is aligned with the hub that it meets in most buckets, so a group of n
+representative.  The hub of a bucket (texts of a key) is its text of least hash;
+each text is aligned with the hub that it meets in most buckets, so a group of n
 costs n alignments, however many copies it holds.  A link is an edit
 similarity over words of ``SIMILARITY`` or more by a bit-parallel alignment in
 the band that this allows.  Components of these links, in most buckets one, are
-classes.  What these stars leave apart is settled in ``ROUNDS``: rows of a
+classes.  What these stars leave apart is settled inside the tasks: rows of a
 bucket that are not in its largest component meet all rows of other components,
-in blocks of ``BLOCK`` rows, inside the tasks.  A pair is set aside only where it
-cannot be a link: an edit takes away one word of either text at most, so words
-(counted by hash in ``BAG`` places) that one has and the other lacks must fit in
-the band.  The first round aligns the pair of most common keys of every two
-components, the next one the 16 of each row, the last one all that are still apart;
-after each round components join.  So two texts that share a key and are similar are
-always of one class, no bucket is capped, none becomes pairs wholesale, and
-none meets in one task.
-
-Only texts that share no key are never compared.  By the sketch's formula, that
-happens to 6e-7 of pairs of 5-word similarity 0.8; a word replaced here and there costs
-five k-mers each: 0.3 % of pairs at edit similarity 0.95, 22 % at 0.9.
+in blocks of ``BLOCK`` rows.  A pair is set aside only where it cannot be a link: an
+edit takes away one word of either text at most, so words (counted by hash in
+``BAG`` places) that one has and the other lacks must fit in the band; and where
+another key, earlier in the sketch, has the pair too.  A first pass over sketches
+and counts finds the rows that such pairs leave, a second one gets these rows'
+words and aligns, with a running component label: pairs that others have joined
+are skipped, and only links that join two labels leave the task.  So two texts that
+share a key and are similar are always of one class, no bucket is capped, none
+becomes pairs, and none meets in one task.
 
 Copies are grouped by digest with a partial ``min``.  Only the texts of
 candidates are shuffled: a bitmap of their hashed ids, of fixed size
@@ -48,12 +47,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrisk.llm.common import query, table, text_slices, written
+from carrisk.llm.common import query, ship, table, text_slices, written
 from carrisk.llm.components import connected_components
 
-K, ENTRIES, TAKEN, SIMILARITY = 5, 20, 3, 0.8
-BLOCK, BAG, FILTER_BITS = 1000, 256, 1 << 24
-ROUNDS = (1, 16, None)  # pairs a row and component; None: all
+K, ENTRIES, TAKEN, SIMILARITY = 5, 64, 2, 0.8
+BLOCK, BLOCK_WORDS, BAG, FILTER_BITS = 1000, 1 << 20, 256, 1 << 24
 
 
 def _mix(x):
@@ -68,25 +66,34 @@ def _mix(x):
     return x
 
 
-def order_sketches(texts: pa.Array, k: int = K, entries: int = ENTRIES, taken: int = TAKEN):
-    """(keys [n, entries] as int64, words per text) of normalised texts."""
-    return sketches_and_bags(texts, k, entries, taken)[:2]
-
-
-def sketches_and_bags(texts: pa.Array, k: int = K, entries: int = ENTRIES, taken: int = TAKEN):
-    """``order_sketches`` and the bags [n, BAG] as uint8: words by the last bits of their hash, up to 255 of each."""
+def word_hashes(texts: pa.Array):
+    """(64-bit hash of every word, its text's number, words per text) of normalised texts."""
     import numpy as np
     import pyarrow.compute as pc
 
-    n = len(texts)
     lists = pc.split_pattern(texts, " ")
     flat, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
     real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     coded = flat.dictionary_encode()
     word = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
     word, owner = word[coded.indices.to_numpy()][real], owner[real]
-    n_words = np.bincount(owner, minlength=n)
+    return word, owner, np.bincount(owner, minlength=len(texts))
+
+
+def word_bags(word, owner, n: int):
+    """Bags [n, BAG] as uint8: words by the last bits of their hash, up to 255 of each."""
+    import numpy as np
+
     bags = np.bincount(owner * BAG + (word % np.uint64(BAG)).astype(np.int64), minlength=n * BAG).reshape(n, BAG)
+    return np.minimum(bags, 255).astype(np.uint8)
+
+
+def order_sketches(texts: pa.Array, k: int = K, entries: int = ENTRIES, taken: int = TAKEN):
+    """(keys [n, entries] as int64, words per text) of normalised texts."""
+    import numpy as np
+
+    n = len(texts)
+    word, owner, n_words = word_hashes(texts)
     # k-mers: every run of k words; a shorter text is a single one
     first = np.cumsum(n_words) - n_words
     within = np.arange(len(word)) - first[owner]
@@ -108,23 +115,25 @@ def sketches_and_bags(texts: pa.Array, k: int = K, entries: int = ENTRIES, taken
     keys = np.zeros((n, entries), np.int64)
     has = np.flatnonzero(np.bincount(own, minlength=n))
     starts = np.searchsorted(own, has)
-    segment = np.repeat(np.arange(len(has)), np.diff(np.append(starts, len(own))))
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    top, bits = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(max(len(own), 1).bit_length())
+    place = np.arange(len(own), dtype=np.uint64)  # in the last bits: the least value tells where it stands
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    padded = np.append(label, np.uint64(0))
     for e in range(entries if len(has) else 0):
-        value = _mix(label ^ np.uint64(0xA0761D6478BD642F * (e + 1) & 0xFFFFFFFFFFFFFFFF))
+        odd = np.uint64(int.from_bytes(hashlib.blake2b(b"entry%d" % e, digest_size=8).digest(), "little") | 1)
+        value = (label * odd) & ~low | place
         spots = np.full((len(has), taken), len(own), np.int64)  # beyond the end: no more k-mers
         for t in range(taken):
-            low = np.minimum.reduceat(value, starts)
-            hit = np.flatnonzero((value == low[segment]) & (low[segment] != top))
-            spots[segment[hit], t] = hit
-            value[hit] = top
+            least = np.minimum.reduceat(value, starts)
+            some = least != top
+            spots[some, t] = (least[some] & low).astype(np.int64)
+            value[spots[some, t]] = top
         spots.sort(axis=1)
         key = np.full(len(has), e + 1, np.uint64)
-        padded = np.append(label, np.uint64(0))
         for t in range(taken):
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + padded[spots[:, t]])
         keys[has, e] = key.view(np.int64)
-    return keys, n_words, np.minimum(bags, 255).astype(np.uint8)
+    return keys, n_words
 
 
 def normalised(text: str | None) -> str:
@@ -183,10 +192,14 @@ def edit_similarity(a: list, b: list, least: float) -> float:
     return 1 - distance / longer if distance <= most else 0.0
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text"))
+
+
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h1, h2, n_words, sketch, bag): digest of the normalised text, its keys and its words by hash."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text"))
-    names = ["id", "h1", "h2", "n_words", "sketch", "bag"]
+    """(id, h1, h2, n_words, sketch): digest of the normalised text and its keys."""
+    source, entries, taken = _source(docs, id_col, text_col), ENTRIES, TAKEN
+    names = ["id", "h1", "h2", "n_words", "sketch"]
 
     def run(batches):
         import numpy as np
@@ -194,13 +207,32 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for part in text_slices(batches, "__text"):
             texts = [normalised(t) for t in part.column(1).to_pylist()]
             digest = np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
-            keys, n_words, bags = sketches_and_bags(pa.array(texts, pa.large_string()))
+            keys, n_words = order_sketches(pa.array(texts, pa.large_string()), entries=entries, taken=taken)
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
-                                              pa.array(n_words.astype(np.int32)), sketch, pa.array([b.tobytes() for b in bags], pa.binary())], names=names)
+                                              pa.array(n_words.astype(np.int32)), sketch], names=names)
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, h1 long, h2 long, n_words int, sketch array<long>, bag binary")
+    return source.mapInArrow(run, f"id {kind}, h1 long, h2 long, n_words int, sketch array<long>")
+
+
+def words_and_bags(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, words, bag) of the documents ``wanted`` (id): the hashes of their words in text order, and counted in ``BAG`` places."""
+    source = _source(docs, id_col, text_col)
+    names = ["id", "words", "bag"]
+
+    def run(batches):
+        import numpy as np
+
+        for part in text_slices(batches, "__text"):
+            word, owner, n_words = word_hashes(pa.array([normalised(t) for t in part.column(1).to_pylist()], pa.large_string()))
+            ends = np.cumsum(n_words)
+            words = [w.tobytes() for w in np.split(word, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array([b.tobytes() for b in word_bags(word, owner, len(words))], pa.binary())], names=names)
+
+    kind = source.schema["id"].dataType.simpleString()
+    read = _hash_filter(source, wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return read.mapInArrow(run, f"id {kind}, words binary, bag binary")
 
 
 def _hash_filter(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
@@ -242,61 +274,89 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
     return written(both.mapInArrow(run, f"src {kind}, dst {kind}, similarity double"), "links")
 
 
-def _residual_pairs(members: DataFrame, similarity: float, most: int | None) -> DataFrame:
-    """Pairs (a, b, more) of a key's members in different components that their words let be links, found block by block.
-
-    ``most`` of a row with each other component, those of most common keys; ``more`` tells whether others were left out.
-    """
-    size = (members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"))
-            .where("n > n_largest").select("key", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
-                                           F.ceil((F.col("n") - F.col("n_largest")) / BLOCK).cast("int").alias("rare_blocks")))
+def apart_blocks(members: DataFrame) -> DataFrame:
+    """(key, low, high, id, component, n_words, hash, rare, seeks): blocks in which every row outside a bucket's
+    largest component (rare) seeks all rows of other components."""
+    size = (members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
+            .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"), F.sum("words").alias("words"))
+            .where("n > n_largest"))
+    blocks = lambda n: F.ceil(F.greatest(n / BLOCK, F.col("words") * n / F.col("n") / BLOCK_WORDS)).cast("int")
+    size = size.select("key", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("n_largest")).alias("rare_blocks"))
     row = members.join(size, "key").withColumn("hash", F.xxhash64("id")).withColumn("rare", F.col("component") != F.col("largest"))
     own, rare_own = F.pmod("hash", "blocks").cast("int"), F.pmod("hash", "rare_blocks").cast("int")
-    columns = ["key", "id", "component", "n_words", "sketch", "bag", "hash", "rare", "low", "high", "seeks"]
-    # every row of another component meets each row that is not in the largest one
-    every = row.select("*", F.explode(F.sequence(F.lit(0), F.col("rare_blocks") - 1)).alias("low"), own.alias("high"), F.lit(False).alias("seeks"))
+    columns = ["key", "low", "high", "id", "component", "n_words", "hash", "rare", "seeks"]
+    met = row.select("*", F.explode(F.sequence(F.lit(0), F.col("rare_blocks") - 1)).alias("low"), own.alias("high"), F.lit(False).alias("seeks"))
     seeking = row.where("rare").select("*", rare_own.alias("low"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), F.lit(True).alias("seeks"))
-    row = every.select(*columns).unionByName(seeking.select(*columns))
-    kind = members.schema["id"].dataType.simpleString()
-    names = ["a", "b", "c1", "c2", "agree", "more"]
+    return met.select(*columns).unionByName(seeking.select(*columns))
+
 
-    def compare(group: pa.Table) -> pa.Table:
+class Block:
+    """Rows of one block; ``partners`` are the rows that a seeker may link to."""
+
+    def __init__(self, group: pa.Table, similarity: float) -> None:
         import numpy as np
 
         codes: dict[str, int] = {}
-        number = np.array([codes.setdefault(repr(c), len(codes)) for c in group["component"].to_pylist()])  # ids of any type
-        sketch = np.array(group["sketch"].to_pylist(), np.int64)
-        bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
-        n_words, hashed = group["n_words"].to_numpy().astype(np.int64), group["hash"].to_numpy()
-        rare, seeks = (np.array(group[c].to_pylist(), bool) for c in ("rare", "seeks"))
-        others = np.flatnonzero(~seeks)
-        found = [[np.zeros(0, np.int64)] for _ in range(4)]
-        for i in np.flatnonzero(seeks):
-            j = others[(number[others] != number[i]) & (~rare[others] | (hashed[others] >= hashed[i]))]
-            band = ((1 - similarity) * np.maximum(n_words[j], n_words[i]) + 1e-9).astype(np.int64)
-            fits = np.abs(n_words[j] - n_words[i]) <= band
-            j, band = j[fits], band[fits]
-            gap = bag[j] - bag[i]
-            j = j[np.maximum(np.maximum(gap, 0).sum(1, dtype=np.int64), np.maximum(-gap, 0).sum(1, dtype=np.int64)) <= band]
-            agree = (sketch[j] == sketch[i]).sum(1)
-            order = np.lexsort((hashed[j], -agree, number[j]))
-            j, agree = j[order], agree[order]
-            first, size = np.unique(number[j], return_index=True, return_counts=True)[1:]
-            taken = np.arange(len(j)) - np.repeat(first, size) < (most or len(j))
-            for out, x in zip(found, (np.full(len(j), i), j, agree, np.repeat(size > (most or len(j)), size))):
-                out.append(x[taken])
-        i, j, agree, more = (np.concatenate(x) for x in found)
-        a, b = pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))
-        return pa.Table.from_arrays([group["id"].take(a), group["id"].take(b), group["component"].take(a), group["component"].take(b), pa.array(agree.astype(np.int64)), pa.array(more.astype(bool))], names=names)
-
-    pairs = row.groupBy("key", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, c1 {kind}, c2 {kind}, agree long, more boolean")
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.first(F.least("c1", "c2")).alias("c1"), F.first(F.greatest("c1", "c2")).alias("c2"), F.max("agree").alias("agree"), F.max("more").alias("more"))
-    if most == 1:
-        best = pairs.groupBy("c1", "c2").agg(F.min(F.struct(-F.col("agree"), "a", "b")).alias("best"), (F.max("more") | (F.count(F.lit(1)) > 1)).alias("more"))
-        pairs = best.select("best.a", "best.b", "more")
-    return pairs.select("a", "b", "more")
+        self.label = np.array([codes.setdefault(repr(c), len(codes)) for c in group["component"].to_pylist()])  # ids of any type
+        self.sketch = np.array(group["sketch"].to_pylist(), np.int64)
+        self.bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+        self.n_words, self.hashed = group["n_words"].to_numpy().astype(np.int64), group["hash"].to_numpy()
+        self.rare, self.seeks = (np.array(group[c].to_pylist(), bool) for c in ("rare", "seeks"))
+        self.key, self.similarity, self.others = group["key"][0].as_py(), similarity, np.flatnonzero(~self.seeks)
+
+    def partners(self, i: int):
+        """Those of most common keys first."""
+        import numpy as np
+
+        j = self.others[(self.label[self.others] != self.label[i]) & (~self.rare[self.others] | (self.hashed[self.others] >= self.hashed[i]))]
+        band = ((1 - self.similarity) * np.maximum(self.n_words[j], self.n_words[i]) + 1e-9).astype(np.int64)
+        fits = np.abs(self.n_words[j] - self.n_words[i]) <= band
+        j, band = j[fits], band[fits]
+        gap = self.bag[j] - self.bag[i]
+        j = j[np.maximum(np.maximum(gap, 0).sum(1, dtype=np.int64), np.maximum(-gap, 0).sum(1, dtype=np.int64)) <= band]
+        agree = self.sketch[j] == self.sketch[i]
+        first = self.sketch[i][agree.argmax(1)] == self.key  # a pair is settled in the bucket of its first common key
+        j, agree = j[first], agree[first].sum(1)
+        return j[np.argsort(-agree, kind="stable")]
+
+
+def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst, similarity) that join components of ``members`` (key, id, n_words, component) within a key."""
+    rows = apart_blocks(members)
+    kind = members.schema["id"].dataType.simpleString()
+    at = ["key", "low", "high"]
+
+    def open_rows(group: pa.Table) -> pa.Table:
+        import numpy as np
+
+        block, found = Block(group, similarity), np.zeros(group.num_rows, bool)
+        for i in np.flatnonzero(block.seeks):
+            j = block.partners(i)
+            found[j] = True
+            found[i] |= len(j) > 0
+        return group.filter(pa.array(found)).select([*at, "id", "component", "n_words", "hash", "rare", "seeks"])
+
+    def links(group: pa.Table) -> pa.Table:
+        import numpy as np
+
+        block, out = Block(group, similarity), []
+        ids = group["id"]
+        text = [np.frombuffer(w, np.uint64).tolist() for w in group["words"].to_pylist()]
+        for i in np.flatnonzero(block.seeks):
+            for j in block.partners(i).tolist():
+                if block.label[j] != block.label[i]:
+                    value = edit_similarity(text[i], text[j], similarity)
+                    if value >= similarity:
+                        out.append((i, j, value))
+                        block.label[block.label == block.label[j]] = block.label[i]
+        i, j, value = (list(x) for x in zip(*out)) if out else ([], [], [])
+        return pa.Table.from_arrays([ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64())), pa.array(value, pa.float64())], names=["src", "dst", "similarity"])
+
+    counted = words.select("id", "bag").join(sketches, "id")
+    ddl = f"key long, low int, high int, id {kind}, component {kind}, n_words int, hash long, rare boolean, seeks boolean"
+    left = written(rows.join(counted, "id").groupBy(*at).applyInArrow(open_rows, ddl), "open-rows")
+    both = left.join(words, "id").join(sketches, "id")
+    return written(both.groupBy(*at).applyInArrow(links, f"src {kind}, dst {kind}, similarity double"), "links")
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -314,32 +374,30 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: (id_col, copy_of, class_id): its representative among equal texts, and its class's least id."""
+    ship(docs.sparkSession)
     sketches = written(sketch_documents(docs, id_col, text_col), "sketches")
-    copies = (sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")))
-    reps = written(copies.where("rep is not null"), "representatives")
-    buckets = reps.where("n_words > 0").select(F.col("rep").alias("id"), "n_words", F.posexplode("sketch").alias("entry", "key"))
-    size = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("n_words", "id").alias("hub_words"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(buckets.join(size, "key").select("key", "id", "n_words", "hub", "hub_words", "n"), "buckets")
+    copies = sketches.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
+    reps = written(copies.where("id is not null"), "representatives")
+    buckets = reps.where("n_words > 0").select("id", "h1", "n_words", F.explode("sketch").alias("key"))
+    size = written(buckets.groupBy("key").agg(F.min("h1").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "keys")
+    shared = written(buckets.join(size, "key"), "buckets")
+    hubs = shared.where("h1 = hub").groupBy("key").agg(F.min("id").alias("hub_id"), F.min_by("n_words", "id").alias("hub_words"))
     fits = F.least("n_words", "hub_words") >= similarity * F.greatest("n_words", "hub_words")
-    met = shared.where("id <> hub").where(fits).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("id").agg(F.max("times").alias("times"))
-    best = met.join(best, ["id", "times"]).groupBy("id").agg(F.min("hub").alias("hub"))
-    stars = written(best.select(F.col("hub").alias("a"), F.col("id").alias("b")), "star-pairs")
-    parts, tried = connected_components(_verified(stars, docs, id_col, text_col, similarity)), stars
-    for most in ROUNDS:
-        # what is still apart: buckets with several components (in a bucket of two the only pair may be done)
-        inside = shared.join(parts, shared["id"] == parts["node"], "left").withColumn("component", F.coalesce("component", "id"))
-        several = inside.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-        left_apart = (inside.join(several, "key", "left_semi").select("key", "id", "n_words", "component")
-                      .join(reps.select(F.col("rep").alias("id"), "sketch", "bag"), "id"))
-        found = written(_residual_pairs(left_apart, similarity, most), "residual-pairs")
-        fresh = written(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh-pairs")
-        if not fresh.isEmpty():
-            tried = tried.unionByName(fresh)
-            parts = written(_joined(parts, _verified(fresh, docs, id_col, text_col, similarity)), "components")
-        if found.where("more").isEmpty():
-            break
-    rep = reps.select("h1", "h2", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("class_id"))
+    met = shared.join(hubs, "key").where(fits & (F.col("id") != F.col("hub_id"))).groupBy("id", "hub_id").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("id").agg(F.max(F.struct("times", "hub_id")).alias("best"))
+    stars = written(best.select(F.col("best.hub_id").alias("a"), F.col("id").alias("b")), "star-pairs")
+    parts = written(connected_components(_verified(stars, docs, id_col, text_col, similarity)), "components")
+    # what is still apart: buckets with several components
+    inside = shared.join(parts, shared["id"] == parts["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    several = inside.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    left_apart = written(inside.join(several, "key", "left_semi").select("key", "id", "n_words", "component"), "apart")
+    if not left_apart.isEmpty():
+        wanted = written(left_apart.select("id").distinct(), "candidate-ids")
+        words = written(words_and_bags(docs, wanted, id_col, text_col), "candidate-words")
+        sketch = reps.select("id", "sketch").join(wanted, "id", "left_semi")
+        parts = written(_joined(parts, settled(left_apart, sketch, words, similarity)), "components")
+    named = reps.select("h1", "h2", "id").join(parts, F.col("id") == F.col("node"), "left")
+    rep = named.select("h1", "h2", F.col("id").alias("rep"), F.coalesce("component", "id").alias("class_id"))
     member = sketches.select("id", "h1", "h2").join(rep, ["h1", "h2"], "left")
     return member.select(F.col("id").alias(id_col), F.col("rep").alias("copy_of"), "class_id")
 
