@@ -275,8 +275,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
 
 
 def apart_blocks(members: DataFrame) -> DataFrame:
-    """(key, low, high, id, component, n_words, hash, rare, seeks): blocks in which every row outside a bucket's
-    largest component (rare) seeks all rows of other components."""
+    """``members`` + (low, high, hash, rare, seeks, met): blocks in which every row outside a bucket's largest component
+    (rare) seeks all rows of other components that are met there.  A bucket of one block has each row once."""
     size = (members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
             .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"), F.sum("words").alias("words"))
             .where("n > n_largest"))
@@ -284,10 +284,13 @@ def apart_blocks(members: DataFrame) -> DataFrame:
     size = size.select("key", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("n_largest")).alias("rare_blocks"))
     row = members.join(size, "key").withColumn("hash", F.xxhash64("id")).withColumn("rare", F.col("component") != F.col("largest"))
     own, rare_own = F.pmod("hash", "blocks").cast("int"), F.pmod("hash", "rare_blocks").cast("int")
-    columns = ["key", "low", "high", "id", "component", "n_words", "hash", "rare", "seeks"]
-    met = row.select("*", F.explode(F.sequence(F.lit(0), F.col("rare_blocks") - 1)).alias("low"), own.alias("high"), F.lit(False).alias("seeks"))
-    seeking = row.where("rare").select("*", rare_own.alias("low"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), F.lit(True).alias("seeks"))
-    return met.select(*columns).unionByName(seeking.select(*columns))
+    place = lambda low, high, seeks, met: F.struct(low.alias("low"), high.alias("high"), seeks.alias("seeks"), met.alias("met"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    met = F.transform(F.sequence(zero, F.col("rare_blocks") - 1), lambda low: place(low, own, no, yes))
+    seeking = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda high: place(rare_own, high, yes, no))
+    many = F.when(F.col("rare"), F.concat(met, seeking)).otherwise(met)
+    places = F.when(F.col("blocks") == 1, F.array(place(zero, zero, F.col("rare"), yes))).otherwise(many)
+    return row.select(*members.columns, "hash", "rare", F.inline(places))
 
 
 class Block:
@@ -301,8 +304,8 @@ class Block:
         self.sketch = np.array(group["sketch"].to_pylist(), np.int64)
         self.bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
         self.n_words, self.hashed = group["n_words"].to_numpy().astype(np.int64), group["hash"].to_numpy()
-        self.rare, self.seeks = (np.array(group[c].to_pylist(), bool) for c in ("rare", "seeks"))
-        self.key, self.similarity, self.others = group["key"][0].as_py(), similarity, np.flatnonzero(~self.seeks)
+        self.rare, seeks, met = (np.array(group[c].to_pylist(), bool) for c in ("rare", "seeks", "met"))
+        self.key, self.similarity, self.others, self.seekers = group["key"][0].as_py(), similarity, np.flatnonzero(met), np.flatnonzero(seeks)
 
     def partners(self, i: int):
         """Those of most common keys first."""
@@ -322,19 +325,23 @@ class Block:
 
 def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Links (src, dst, similarity) that join components of ``members`` (key, id, n_words, component) within a key."""
-    rows = apart_blocks(members)
+    rows = apart_blocks(members.join(words.select("id", "bag").join(sketches, "id"), "id"))
     kind = members.schema["id"].dataType.simpleString()
     at = ["key", "low", "high"]
+    columns = [("key", "long"), ("low", "int"), ("high", "int"), ("id", kind), ("component", kind), ("n_words", "int"), ("hash", "long"),
+               ("rare", "boolean"), ("seeks", "boolean"), ("met", "boolean"), ("sketch", "array<long>"), ("bag", "binary")]
 
     def open_rows(group: pa.Table) -> pa.Table:
         import numpy as np
 
+        if not group.num_rows:
+            return group.select([c for c, _ in columns])
         block, found = Block(group, similarity), np.zeros(group.num_rows, bool)
-        for i in np.flatnonzero(block.seeks):
-            j = block.partners(i)
+        for i in block.seekers:
+            j = block.partners(int(i))
             found[j] = True
             found[i] |= len(j) > 0
-        return group.filter(pa.array(found)).select([*at, "id", "component", "n_words", "hash", "rare", "seeks"])
+        return group.filter(pa.array(found)).select([c for c, _ in columns])
 
     def links(group: pa.Table) -> pa.Table:
         import numpy as np
@@ -342,7 +349,7 @@ def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarit
         block, out = Block(group, similarity), []
         ids = group["id"]
         text = [np.frombuffer(w, np.uint64).tolist() for w in group["words"].to_pylist()]
-        for i in np.flatnonzero(block.seeks):
+        for i in block.seekers:
             for j in block.partners(i).tolist():
                 if block.label[j] != block.label[i]:
                     value = edit_similarity(text[i], text[j], similarity)
@@ -352,10 +359,9 @@ def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarit
         i, j, value = (list(x) for x in zip(*out)) if out else ([], [], [])
         return pa.Table.from_arrays([ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64())), pa.array(value, pa.float64())], names=["src", "dst", "similarity"])
 
-    counted = words.select("id", "bag").join(sketches, "id")
-    ddl = f"key long, low int, high int, id {kind}, component {kind}, n_words int, hash long, rare boolean, seeks boolean"
-    left = written(rows.join(counted, "id").groupBy(*at).applyInArrow(open_rows, ddl), "open-rows")
-    both = left.join(words, "id").join(sketches, "id")
+    ddl = ", ".join(f"{c} {t}" for c, t in columns)
+    left = written(rows.groupBy(*at).applyInArrow(open_rows, ddl), "open-rows")
+    both = left.join(words.select("id", "words"), "id")
     return written(both.groupBy(*at).applyInArrow(links, f"src {kind}, dst {kind}, similarity double"), "links")
 
 
