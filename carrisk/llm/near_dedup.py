@@ -17,7 +17,8 @@ similarity over words of ``SIMILARITY`` or more by a bit-parallel alignment in
 the band that this allows.  Components of these links, in most buckets one, are
 classes.  What these stars leave apart is settled inside the tasks: rows of a
 bucket that are not in its largest component meet all rows of other components,
-in blocks of ``BLOCK`` rows.  A pair is set aside only where it cannot be a link: an
+in blocks of ``BLOCK`` rows; in larger buckets only those of a length that the
+similarity allows.  A pair is set aside only where it cannot be a link: an
 edit takes away one word of either text at most, so words (counted by hash in
 ``BAG`` places) that one has and the other lacks must fit in the band; and where
 another key, earlier in the sketch, has the pair too.  A first pass over sketches
@@ -42,6 +43,7 @@ not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,7 @@ from carrisk.llm.common import query, ship, table, text_slices, written
 from carrisk.llm.components import connected_components
 
 K, ENTRIES, TAKEN, SIMILARITY = 5, 64, 2, 0.8
-BLOCK, BLOCK_WORDS, BAG, FILTER_BITS = 1000, 1 << 20, 256, 1 << 24
+BLOCK, BLOCK_WORDS, BAG, FILTER_BITS = 1 << 11, 1 << 20, 256, 1 << 24
 
 
 def _mix(x):
@@ -274,15 +276,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
     return written(both.mapInArrow(run, f"src {kind}, dst {kind}, similarity double"), "links")
 
 
-def apart_blocks(members: DataFrame) -> DataFrame:
-    """``members`` + (low, high, hash, rare, seeks, met): blocks in which every row outside a bucket's largest component
-    (rare) seeks all rows of other components that are met there.  A bucket of one block has each row once."""
-    size = (members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
-            .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"), F.sum("words").alias("words"))
+def apart_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """``members`` + (band, low, high, hash, rare, seeks, met, guest): blocks that hold every pair of a bucket that can be a link.
+
+    A bucket of more than a block's rows or words is cut into bands by the logarithm of ``n_words``, as wide as the
+    similarity allows: a row stands in its band, and as a guest in the one below, where it meets that band's own rows.
+    In a band (or a small bucket) every row outside the largest component (rare) seeks all rows of other components that
+    are met in its block; one block has each row once.
+    """
+    row = members.withColumn("hash", F.xxhash64("id"))
+    total = members.groupBy("key").agg(F.count(F.lit(1)).alias("all_n"), F.sum("n_words").alias("all_words"))
+    width = max(math.log(1 / similarity) * 1.001, 1e-3)
+    band = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(width)).cast("int")
+    in_band = lambda b, guest: F.struct(b.alias("band"), F.lit(guest).alias("guest"))
+    bands = F.when((F.col("all_n") <= BLOCK) & (F.col("all_words") <= BLOCK_WORDS), F.array(in_band(F.lit(-2), False))).otherwise(
+        F.array(in_band(band, False), in_band(band - 1, True)))
+    row = row.join(total, "key").select(*row.columns, F.inline(bands))
+    size = (row.groupBy("key", "band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
+            .groupBy("key", "band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"), F.sum("words").alias("words"))
             .where("n > n_largest"))
     blocks = lambda n: F.ceil(F.greatest(n / BLOCK, F.col("words") * n / F.col("n") / BLOCK_WORDS)).cast("int")
-    size = size.select("key", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("n_largest")).alias("rare_blocks"))
-    row = members.join(size, "key").withColumn("hash", F.xxhash64("id")).withColumn("rare", F.col("component") != F.col("largest"))
+    size = size.select("key", "band", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("n_largest")).alias("rare_blocks"))
+    row = row.join(size, ["key", "band"]).withColumn("rare", F.col("component") != F.col("largest"))
     own, rare_own = F.pmod("hash", "blocks").cast("int"), F.pmod("hash", "rare_blocks").cast("int")
     place = lambda low, high, seeks, met: F.struct(low.alias("low"), high.alias("high"), seeks.alias("seeks"), met.alias("met"))
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
@@ -290,7 +305,7 @@ def apart_blocks(members: DataFrame) -> DataFrame:
     seeking = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda high: place(rare_own, high, yes, no))
     many = F.when(F.col("rare"), F.concat(met, seeking)).otherwise(met)
     places = F.when(F.col("blocks") == 1, F.array(place(zero, zero, F.col("rare"), yes))).otherwise(many)
-    return row.select(*members.columns, "hash", "rare", F.inline(places))
+    return row.select(*members.columns, "band", "guest", "hash", "rare", F.inline(places))
 
 
 class Block:
@@ -304,7 +319,7 @@ class Block:
         self.sketch = np.array(group["sketch"].to_pylist(), np.int64)
         self.bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
         self.n_words, self.hashed = group["n_words"].to_numpy().astype(np.int64), group["hash"].to_numpy()
-        self.rare, seeks, met = (np.array(group[c].to_pylist(), bool) for c in ("rare", "seeks", "met"))
+        self.rare, self.guest, seeks, met = (np.array(group[c].to_pylist(), bool) for c in ("rare", "guest", "seeks", "met"))
         self.key, self.similarity, self.others, self.seekers = group["key"][0].as_py(), similarity, np.flatnonzero(met), np.flatnonzero(seeks)
 
     def partners(self, i: int):
@@ -312,6 +327,8 @@ class Block:
         import numpy as np
 
         j = self.others[(self.label[self.others] != self.label[i]) & (~self.rare[self.others] | (self.hashed[self.others] >= self.hashed[i]))]
+        if self.guest[i]:
+            j = j[~self.guest[j]]  # guests meet in their own band
         band = ((1 - self.similarity) * np.maximum(self.n_words[j], self.n_words[i]) + 1e-9).astype(np.int64)
         fits = np.abs(self.n_words[j] - self.n_words[i]) <= band
         j, band = j[fits], band[fits]
@@ -325,11 +342,11 @@ class Block:
 
 def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Links (src, dst, similarity) that join components of ``members`` (key, id, n_words, component) within a key."""
-    rows = apart_blocks(members.join(words.select("id", "bag").join(sketches, "id"), "id"))
+    rows = apart_blocks(members.join(words.select("id", "bag").join(sketches, "id"), "id"), similarity)
     kind = members.schema["id"].dataType.simpleString()
-    at = ["key", "low", "high"]
-    columns = [("key", "long"), ("low", "int"), ("high", "int"), ("id", kind), ("component", kind), ("n_words", "int"), ("hash", "long"),
-               ("rare", "boolean"), ("seeks", "boolean"), ("met", "boolean"), ("sketch", "array<long>"), ("bag", "binary")]
+    at = ["key", "band", "low", "high"]
+    columns = [("key", "long"), ("band", "int"), ("low", "int"), ("high", "int"), ("id", kind), ("component", kind), ("n_words", "int"), ("hash", "long"),
+               ("rare", "boolean"), ("guest", "boolean"), ("seeks", "boolean"), ("met", "boolean"), ("sketch", "array<long>"), ("bag", "binary")]
 
     def open_rows(group: pa.Table) -> pa.Table:
         import numpy as np
