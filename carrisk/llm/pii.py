@@ -11,15 +11,17 @@ valid, replaced by a keyed permutation of its own format's value set:
   becomes a valid date in the same notation; day first with slashes, and
   where that is no date month first, by a permutation of its own of the 88497
   days that only this reading has (those after the 12th of a month);
-* email: the letters and digits of the local part (at most ``MAX_CHARS``
-  of them, else the first ones), in lower case; the domain stays.
+* email: the letters and digits of the local part, of any length, in lower
+  case, in pieces of ``MAX_CHARS`` permuted under their place; the domain stays.
 
 A value is split in two halves, a number below ``a`` and one below ``b``, and
 ``ROUNDS`` rounds add ``SHA-256(key, kind, round, other half)`` to one of
 them modulo its size.  Each round can be undone, so the map is a permutation:
 equal values stay equal across documents, different ones different, with no
 table of values, no shuffle and no state.  Separators stay in place.  What
-does not validate is left as it was.
+does not validate is left as it was.  The key is the caller's; a date written in
+two notations with the day first or last gets one pseudonym, a month-first date of
+a late day one of its own.
 
 DataFrame functions only, within the row.
 
@@ -39,11 +41,12 @@ from carrisk.llm.common import not_replaced, query, table
 
 ROUNDS = 10
 MAX_CHARS = 22
-DEFAULT_KEY = "carrisk pseudonyms, change me"
+KEY_SETTING = "spark.carrisk.pseudonymKey"  # session setting that the query and the pipeline take their key from
+SAMPLE_KEY = "carrisk pseudonyms, change me"  # theirs where it is not set: for given tables of invented data only
 DAYS = 146_097  # days of 400 Gregorian years, 189 * 773
 LATE_DAYS = 88_497  # of these, the days after the 12th of their month, 9 * 9833
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9/-])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}+\.){3}[0-9]{1,3}+(?!\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -56,10 +59,10 @@ CANDIDATE = "|".join((EMAIL, DATE, IPV4, SSN, PHONE, CARD))
 _POWERS = {radix: [radix ** k for k in range(MAX_CHARS // 2 + 1)] for radix in (10, 36)}
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str | Column) -> Column:
     """struct(l, r): a keyed permutation of the pairs with l < a, r < b."""
     def noise(i: Column, half: Column, below: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string")), 256)
+        digest = F.sha2(F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), i.cast("string"), half.cast("string")), 256)
         return F.conv(F.substring(digest, 1, 15), 16, 10).try_cast("bigint") % below
 
     def turn(acc: Column, i: Column) -> Column:
@@ -71,25 +74,27 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: s
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
-def permute(chars: Column, radix: int, key: str, kind: str) -> Column:
+def permute(chars: Column, radix: int, key: str, kind: str | Column) -> Column:
     """A string of 1 to ``MAX_CHARS`` digits of ``radix`` -> another of its length."""
     n = F.length(chars)
     h = F.floor(n / 2).cast("int")
     powers = F.array(*(F.lit(p).cast("bigint") for p in _POWERS[radix]))
     number = lambda s: F.coalesce(F.conv(F.when(s != "", s), radix, 10), F.lit("0"))
     moved = feistel(number(F.substring(chars, F.lit(1), h)), number(F.substring(chars, h + 1, n - h)),
-                    F.try_element_at(powers, h + 1), F.try_element_at(powers, n - h + 1), key, f"{kind}{radix}")
+                    F.try_element_at(powers, h + 1), F.try_element_at(powers, n - h + 1), key, F.concat(kind, F.lit(str(radix))) if isinstance(kind, Column) else f"{kind}{radix}")
     text = lambda half, size: F.lpad(F.lower(F.conv(half.cast("string"), 10, radix)), size, F.lit("0"))
     return F.transform(F.array(moved), lambda m: F.concat(text(m["l"], h), text(m["r"], n - h)))[0]
 
 
 def _refill(value: Column, chars: Column, slots: str) -> Column:
-    """``value`` with its characters of class ``slots`` replaced, in order, by ``chars``."""
-    def at(i: Column) -> Column:
-        c = F.substring(value, i, F.lit(1))
-        k = F.length(F.regexp_replace(F.substring(value, F.lit(1), i), f"[^{slots}]", ""))
-        return F.when(c.rlike(f"[{slots}]"), F.substring(chars, k, F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), at), "")
+    """``value`` with its characters of class ``slots`` replaced, in order, by ``chars`` (worked out once a value)."""
+    def fill(both: Column) -> Column:
+        def at(i: Column) -> Column:
+            c = F.substring(both["value"], i, F.lit(1))
+            k = F.length(F.regexp_replace(F.substring(both["value"], F.lit(1), i), f"[^{slots}]", ""))
+            return F.when(c.rlike(f"[{slots}]"), F.substring(both["chars"], k, F.lit(1))).otherwise(c)
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(both["value"])), at), "")
+    return F.transform(F.array(F.struct(value.alias("value"), chars.alias("chars"))), fill)[0]
 
 
 def _digits(value: Column) -> Column:
@@ -170,8 +175,10 @@ def _email(value: Column, key: str) -> Column:
     at = F.instr(value, "@")
     local = F.lower(F.substring(value, F.lit(1), at - 1))
     chars = F.regexp_replace(local, "[^a-z0-9]", "")
-    head = F.substring(chars, 1, MAX_CHARS)
-    new = F.concat(permute(head, 36, key, "email"), F.substring(chars, F.lit(MAX_CHARS + 1), F.length(chars)))
+    # pieces of MAX_CHARS, each permuted under its place: the first one is keyed "email", the others "email/1", ...
+    places = F.sequence(F.lit(0), F.floor((F.length(chars) - 1) / MAX_CHARS).cast("int"))
+    kind = lambda i: F.when(i == 0, F.lit("email")).otherwise(F.concat(F.lit("email/"), i.cast("string")))
+    new = F.array_join(F.transform(places, lambda i: permute(F.substring(chars, i * MAX_CHARS + 1, F.lit(MAX_CHARS)), 36, key, kind(i))), "")
     return F.when(chars != "", F.concat(_refill(local, new, "a-z0-9"), F.lower(F.substring(value, at, F.length(value)))))
 
 
@@ -180,7 +187,11 @@ KINDS = (("email", "@", _email), ("date", r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]
          ("phone", r"^\+|^\(|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$", _phone), ("card", "^[0-9]", _card))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", found_col: str = "found") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, SAMPLE_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "found") -> DataFrame:
     """``docs`` with new ``text_col`` and ``found_col``: array of (kind, start, old_length, pseudonym), start 0-based in the old text."""
     docs = docs.select(*[F.col(f"`{c}`") for c in not_replaced(docs.columns, [found_col])])
     text = F.col(text_col)
@@ -211,5 +222,5 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
 
 @query("op4_pii_feistel")
 def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return docs.select("doc_id", F.size("found").cast("long").alias("n_found"), "found", "text")

@@ -11,7 +11,7 @@ from tests.conftest import SF001
 
 
 def noise(kind, i, half, below):
-    d = hashlib.sha256(f"{pii.DEFAULT_KEY}|{kind}|{i}|{half}".encode()).hexdigest()
+    d = hashlib.sha256(f"{pii.SAMPLE_KEY}|{kind}|{i}|{half}".encode()).hexdigest()
     return int(d[:15], 16) % below
 
 
@@ -53,7 +53,8 @@ def plain(value):
     if "@" in value:
         local, at, domain = value.lower().partition("@")
         chars = re.sub("[^a-z0-9]", "", local)
-        return refill(local, plain_permute(chars[:22], 36, "email") + chars[22:], "[a-z0-9]") + at + domain if chars else None
+        pieces = [plain_permute(chars[k:k + 22], 36, "email" if k == 0 else f"email/{k // 22}") for k in range(0, len(chars), 22)]
+        return refill(local, "".join(pieces), "[a-z0-9]") + at + domain if chars else None
     for shape, form in (("[0-9]{4}-[0-9]{2}-[0-9]{2}", "%Y-%m-%d"), (r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", "%d.%m.%Y"), ("[0-9]{2}/[0-9]{2}/[0-9]{4}", "%d/%m/%Y")):
         if re.fullmatch(shape, value):
             try:
@@ -105,16 +106,16 @@ CASES = ["call +1 (988) 555-2485 orthen 4041894974608795 and 4111 1111 1111 1111
 def test_formats_links_and_edges(spark):
     rows = [(i, t, "k") for i, t in enumerate([*CASES, CASES[-1], None, ""])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pseudonym string")
-    out = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
-    assert len(out) == len(rows) and pii.pseudonymise(docs).columns == [*docs.columns, "found"]
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, pii.SAMPLE_KEY).collect()}
+    assert len(out) == len(rows) and pii.pseudonymise(docs, pii.SAMPLE_KEY).columns == [*docs.columns, "found"]
     for i, t, _ in rows:
         assert out[i].text == (None if t is None else plain_text(t)), t
         assert bool(out[i].found) == (t is not None and out[i].text != t)
     new = out[len(CASES) - 1].text
     assert new != CASES[-1] and luhn(new) and new in out[0].text and out[len(CASES)].text == new  # linked across texts
     assert out[3].text.split()[-1] == out[3].text.split()[-2]
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
-    assert pii.pseudonymise(docs.withColumn("FOUND", F.lit(1))).columns == [*docs.columns, "found"]
+    assert pii.pseudonymise(docs.limit(0), pii.SAMPLE_KEY).count() == 0
+    assert pii.pseudonymise(docs.withColumn("FOUND", F.lit(1)), pii.SAMPLE_KEY).columns == [*docs.columns, "found"]
 
 
 def test_permutation(spark):
@@ -133,9 +134,33 @@ def test_month_first_dates(spark):
     days = [d.strftime("%m/%d/%Y") for d in (first + dt.timedelta(k) for k in range(pii.DAYS)) if d.day > 12]
     assert len(days) == pii.LATE_DAYS
     docs = spark.createDataFrame([(d,) for d in days], "text string").repartition(8)
-    moved = [r.text for r in pii.pseudonymise(docs).select("text").collect()]
+    moved = [r.text for r in pii.pseudonymise(docs, pii.SAMPLE_KEY).select("text").collect()]
     assert sorted(moved) == sorted(days)
     text = "from 03/25/2024 to 03/25/2024, not 13/32/2024, 02/30/2024 or 12/31/1799"
-    out = pii.pseudonymise(spark.createDataFrame([(text,)], "text string")).first()
+    out = pii.pseudonymise(spark.createDataFrame([(text,)], "text string"), pii.SAMPLE_KEY).first()
     assert [f.kind for f in out.found] == ["date", "date"] and out.found[0].pseudonym == out.found[1].pseudonym != "03/25/2024"
     assert out.text == text.replace("03/25/2024", out.found[0].pseudonym)
+
+
+def test_long_names_leave_no_clear_text(spark):
+    """Names of any length are found and permuted to their end; equal names stay linked."""
+    names = ["a" * 23, "firstname.middlename.lastname.secretname", "x1" * 50, "q" * 5000]
+    docs = spark.createDataFrame([(f"to {n}@example.com and {n.upper()}@Example.com.",) for n in names], "text string")
+    for r, n in zip(pii.pseudonymise(docs, "other key").collect(), names):
+        first, second = (f.pseudonym for f in r.found)
+        assert first == second and len(first) == len(n) + len("@example.com") and r.text.count(first) == 2
+        local, letters = first.split("@")[0], re.sub("[^a-z0-9]", "", n)
+        moved = re.sub("[^a-z0-9]", "", local)
+        assert all(moved[k:k + 22] != letters[k:k + 22] for k in range(0, len(letters), 22)) and "secretname" not in r.text.lower()
+
+
+def test_a_key_is_required(spark):
+    import pytest
+    with pytest.raises(TypeError):
+        pii.pseudonymise(spark.range(1))
+    assert pii.session_key(spark) == pii.SAMPLE_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
