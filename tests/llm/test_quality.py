@@ -51,3 +51,17 @@ def test_edges(spark):
     named = docs.withColumnRenamed("n_words_", "kept")
     assert [r.kept for r in quality.apply_rules(named, keep=("doc_id", "kept")).collect()] == [r.kept for r in out]
     assert set(quality.order_rules(docs, quality.default_rules())) == {r.name for r in quality.default_rules()}
+
+
+def test_sample_at_every_size(spark):
+    """The share of rows in the sample holds for any total, past 2e9 rows too; copies are sampled row by row."""
+    for total in (1, 2000, 10**6, 10**9, 3 * 10**9, 10**13):
+        limit = quality.sample_limit(total, 2000)
+        assert abs((limit + 1) / 2**63 * total - min(total, 2000)) < 1e-3 * min(total, 2000)
+        assert limit >= 0
+    assert quality.sample_limit(0, 2000) == -1
+    hashes = spark.range(400_000).selectExpr("xxhash64(id, 'same text') & 9223372036854775807 as h")
+    share = hashes.where(f"h <= {quality.sample_limit(3 * 10**9, 15 * 10**6)}").count()
+    assert 1700 < share < 2300  # half a percent
+    docs = spark.range(30_000).selectExpr("id as doc_id", "'one text, many rows' as text", "map('a', 1) as m")
+    assert set(quality.order_rules(docs, quality.default_rules(), sample_rows=500)) == {r.name for r in quality.default_rules()}
