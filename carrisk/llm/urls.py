@@ -10,9 +10,10 @@ all aliases.  A URL's own rule comes first, so an explicit allow is never
 overruled; an alias without a rule is blocked if any URL of its component is
 blocked by a rule, else allowed.
 
-DataFrame functions only.  Rules are a parameter (at most ``MAX_RULES``,
-else ValueError) and are evaluated inside the row; all other data stay in
-shuffled tables.  Nodes are MD5 digests of URLs, so hot URLs cost one node.
+DataFrame functions only.  Up to ``MAX_RULES`` given rules are evaluated inside
+the row.  More of them, or a table of rules, are joined: a URL meets the rules of
+its host's suffixes, by the starts of its path that have such a rule's length.
+All other data stay in shuffled tables.  Nodes are MD5 digests of URLs, so hot URLs cost one node.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path,
 no rule and no alias, and is allowed; null html has no links; every input
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from carrisk.llm.common import query, table, written
 from carrisk.llm.components import connected_components
 
-MAX_RULES = 10_000
+MAX_RULES = 1_000
 TRACKING = r"(?:utm_[^=&#]*|ref|fbclid|gclid|sessionid|sid)"
 
 
@@ -89,8 +90,6 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def rule_struct(url: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits ``url``; its fields are null where none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are evaluated in the row")
     host, path = url_host(url), url_path(url)
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "allow", r[1] + r[2]))
     table_ = F.array(*(F.struct(F.lit(h).alias("h"), F.lit("." + h).alias("dot_h"), F.lit(p).alias("p"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))
@@ -100,13 +99,35 @@ def rule_struct(url: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     return F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None,
+def joined_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, rule, verdict) of the distinct ``urls`` (url) that some rule (verdict, host, path) fits: the longest one's.
+
+    A host's rules count by the lengths of their paths, so a URL meets as many rows as its host suffixes have lengths.
+    """
+    rules = rules.select("host", "path", "verdict").where("host is not null and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))  # allow first
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    host = F.split(F.col("host"), r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(host)), lambda i: F.array_join(F.slice(host, i, F.size(host)), "."))
+    met = urls.select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("url_path"))
+    met = met.select("url", "url_path", F.explode(suffixes).alias("host")).join(lengths, "host")
+    starts = F.transform(F.filter("lengths", lambda n: n <= F.length("url_path")), lambda n: F.substring(F.col("url_path"), F.lit(1), n))
+    fits = met.select("url", "host", F.explode(starts).alias("path")).join(rules, ["host", "path"])
+    rank = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "allow").alias("a"),
+                    F.concat("host", "path").alias("rule"), "verdict")
+    return fits.groupBy("url").agg(F.max(rank).alias("best")).select("url", "best.rule", "best.verdict")
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None,
           id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, component (node of its alias group, or null).
 
     ``rules``: (verdict, host, path).  ``redirects``: further (from_url, to_url).
     """
-    if not rules:
+    spark = pages.sparkSession
+    if not isinstance(rules, DataFrame) and len(rules) > MAX_RULES:
+        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    joined = isinstance(rules, DataFrame)
+    if not joined and not rules:
         rules = [("allow", "\0", "\0")]  # fits nothing
     links = link_edges(pages, url_col, html_col)
     if redirects is not None:
@@ -116,8 +137,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     urls = urls.union(links.select("from_url")).union(links.select("to_url")).distinct()
     node = lambda c: F.md5(c.cast("binary"))
     shape = F.concat(F.lit("normal "), normal_form(F.col("url")))  # never equal to a URL with a scheme
-    nodes = written(urls.select(node(F.col("url")).alias("node"), node(shape).alias("normal"),
-                                rule_struct(F.col("url"), rules)["verdict"].alias("own")), "urls")
+    if joined:
+        own = written(joined_rules(urls, rules), "url-rules").select(node(F.col("url")).alias("own_node"), F.struct("rule", "verdict").alias("own"))
+        urls = urls.join(own, node(F.col("url")) == F.col("own_node"), "left")
+        verdict_of_url = F.col("own.verdict")
+    else:
+        verdict_of_url = rule_struct(F.col("url"), rules)["verdict"]
+    nodes = written(urls.select(node(F.col("url")).alias("node"), node(shape).alias("normal"), verdict_of_url.alias("own")), "urls")
     edges = (nodes.select(F.col("node").alias("src"), F.col("normal").alias("dst"))
              .unionByName(links.select(node(F.col("from_url")).alias("src"), node(F.col("to_url")).alias("dst"))))
     parts = written(connected_components(edges), "url-components")
@@ -125,7 +151,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     member = parts.join(blocked, "component", "left").select("node", "component", "hit")
     page = pages.select(F.col(id_col), F.col(url_col).alias("__url")).select(
         id_col, url_host(F.col("__url")).alias("host"), url_path(F.col("__url")).alias("path"),
-        rule_struct(F.col("__url"), rules).alias("own"), F.when(F.col("__url").contains("://"), node(F.col("__url"))).alias("node"))
+        *([] if joined else [rule_struct(F.col("__url"), rules).alias("own")]), F.when(F.col("__url").contains("://"), node(F.col("__url"))).alias("node"))
+    if joined:
+        page = page.join(own, F.col("node") == F.col("own_node"), "left")
     verdict = F.coalesce("own.verdict", F.when(F.col("hit"), F.lit("block")), F.lit("allow"))
     return page.join(member, "node", "left").select(id_col, "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")
 

@@ -100,3 +100,21 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_a_table_of_rules_judges_like_rules_in_the_row(spark, monkeypatch):
+    """20,000 rules, and the same few rules by both ways."""
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    rules = [*urls.RULES, ("block", "x.org", ""), ("allow", "example.org", "/es/1"), ("block", "a.example.org", "/es/1"), ("block", "net", "/x"), ("allow", "net", "/x")]
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    few = sorted(map(str, urls.judge(pages, rules).select(columns).collect()))
+    monkeypatch.setattr(urls, "MAX_RULES", 3)
+    assert sorted(map(str, urls.judge(pages, rules).select(columns).collect())) == few
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert sorted(map(str, urls.judge(pages, table).select(columns).collect())) == few
+    monkeypatch.undo()
+    many = rules + [("block", f"h{i}.test", f"/{i % 7}") for i in range(20_000)]
+    more = pages.unionByName(spark.createDataFrame([(100, "http://www.h777.test/0/x", ""), (101, "http://h777.test/1", "")], pages.schema))
+    got = {r.page_id: r for r in urls.judge(more, many).collect()}
+    assert got[100].rule == "h777.test/0" and got[100].verdict == "block" and got[101].rule is None
+    assert sorted(str(r) for r in urls.judge(pages, many).select(columns).collect()) == few
