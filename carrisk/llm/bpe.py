@@ -20,6 +20,7 @@ may be carried with ``keep``; one with an output's name is replaced by it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Sequence
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from carrisk.llm.common import not_replaced, query, table, text_slices
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 CACHED_BYTES = 64
 SCAN_BYTES = 48
 NO_PAIR = 1 << 30
@@ -190,6 +191,36 @@ def merger(vocab_path: str) -> PieceMerger:
     return _MERGERS[vocab_path]
 
 
+def byte_offsets(ids, ends, width):
+    """Where each token's bytes begin in its text; text ``i`` has ``ids[ends[i]:ends[i + 1]]``."""
+    import numpy as np
+
+    after = np.cumsum(width[ids], dtype=np.int64)
+    base = np.append(0, after)[ends[:-1]]
+    return (after - width[ids] - np.repeat(base, np.diff(ends))).astype(np.int32)
+
+
+def writer(vocab_path: str):
+    """A function (ids, offsets) -> bytes, each token written at its offset."""
+    import numpy as np
+
+    ranks, width = load_ranks(vocab_path), token_widths(vocab_path)
+    first = np.cumsum(width) - width
+    store = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
+    def write(ids, offsets) -> bytes:
+        size = width[ids]
+        got = np.zeros(int(offsets[-1] + size[-1]) if len(ids) else 0, np.uint8)
+        source = first[ids]
+        while len(ids):  # the first byte of every token, the second of those that have one, ...
+            got[offsets] = store[source]
+            more = np.flatnonzero(size > 1)
+            ids, offsets, source, size = ids[more], offsets[more] + 1, source[more] + 1, size[more] - 1
+        return got.tobytes()
+
+    return write
+
+
 def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",),
            ids_col: str = "token_ids", offsets_col: str = "token_offsets") -> DataFrame:
     """``keep`` + ids and the byte offset of every token in the UTF-8 text; null text: null lists."""
@@ -208,9 +239,7 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: Seque
             texts = part.column(n_keep).to_pylist()
             ids, ends = merge.encode([t or "" for t in texts])
             ends = ends.astype(np.int32)
-            after = np.cumsum(width[ids], dtype=np.int64)
-            base = np.append(0, after)[ends[:-1]]
-            offsets = (after - width[ids] - np.repeat(base, np.diff(ends))).astype(np.int32)
+            offsets = byte_offsets(ids, ends, width)
             null = pa.array([t is None for t in texts], pa.bool_())
             arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x), mask=null) for x in (ids, offsets)]
             yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *arrays], names=schema.names)
@@ -228,9 +257,7 @@ def decode(encoded: DataFrame, vocab_path: str, keep: Sequence[str] = ("doc_id",
     def run(batches):
         import numpy as np
 
-        width = token_widths(vocab_path)
-        first = np.cumsum(width) - width
-        store = np.frombuffer(b"".join(sorted(load_ranks(vocab_path), key=load_ranks(vocab_path).get)), np.uint8)
+        write = writer(vocab_path)
         for batch in batches:
             for r in range(0, batch.num_rows, 256):
                 part = batch.slice(r, 256)
@@ -239,20 +266,38 @@ def decode(encoded: DataFrame, vocab_path: str, keep: Sequence[str] = ("doc_id",
                     if not ids.is_valid:
                         out.append(None)
                         continue
-                    ids, offsets = ids.values.to_numpy(), offsets.values.to_numpy().astype(np.int64)
-                    size = width[ids]
-                    got = np.zeros(int(offsets[-1] + size[-1]) if len(ids) else 0, np.uint8)
-                    source = first[ids]
-                    while len(ids):  # the first byte of every token, the second of those that have one, ...
-                        got[offsets] = store[source]
-                        more = np.flatnonzero(size > 1)
-                        ids, offsets, source, size = ids[more], offsets[more] + 1, source[more] + 1, size[more] - 1
-                    out.append(got.tobytes())
+                    out.append(write(ids.values.to_numpy(), offsets.values.to_numpy().astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(out, pa.binary())], names=schema.names)
 
     return encoded.select(*keep, ids_col, offsets_col).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), ids_col: str = "token_ids",
+               digest_col: str = "decoded_sha256") -> DataFrame:
+    """``keep`` + ids and the SHA-256 of what they decode to, both directions in one pass; null text: nulls.
+
+    Ids and offsets stay in the worker between the two directions.
+    """
+    keep = not_replaced(keep, (ids_col, digest_col))
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(digest_col, T.StringType())])
+    n_keep = len(keep)
+
+    def run(batches):
+        import numpy as np
+
+        merge, width, write = merger(vocab_path), token_widths(vocab_path), writer(vocab_path)
+        for part in text_slices(batches, "__text"):
+            texts = part.column(n_keep).to_pylist()
+            ids, ends = merge.encode([t or "" for t in texts])
+            offsets = byte_offsets(ids, ends, width)
+            digests = [None if t is None else hashlib.sha256(write(ids[a:b], offsets[a:b].astype(np.int64))).hexdigest() for t, a, b in zip(texts, ends[:-1], ends[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], lists, pa.array(digests, pa.string())], names=schema.names)
+        merge.cache.clear()  # the worker may go on with another stage
+
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text (null: empty), decode the ids, digest both."""
