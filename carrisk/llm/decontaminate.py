@@ -449,7 +449,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     item_type, id_type = item.schema["item_id"].dataType, docs.schema[id_col].dataType
     blocks = int((item.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // BLOCK_CHARS) + 1
-    result = spark.createDataFrame([], f"{id_col} {id_type.simpleString()}, {item_col} {item_type.simpleString()}, kind string, share double, cosine double, first_word long, last_word long")
+    figures = ["kind", "share", "cosine", "first_word", "last_word"]
+    private = ["__doc", "__item_id", *figures]
+    result = spark.createDataFrame([], f"__doc {id_type.simpleString()}, __item_id {item_type.simpleString()}, kind string, share double, cosine double, first_word long, last_word long")
     for b in range(blocks):
         rows = item.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         items = Items(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r[0], r[1] or "")))
@@ -458,10 +460,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         encoded = encode_documents(docs, items, id_col, text_col)
         items.fit(*document_frequencies(encoded, len(items.vocab)))
         items.project(latent_basis(encoded, items.idf, items=items))
-        number = spark.createDataFrame(list(enumerate(items.ids)), f"item long, {item_col} {item_type.simpleString()}")
+        number = spark.createDataFrame(list(enumerate(items.ids)), f"item long, __item_id {item_type.simpleString()}")
         found = written(find_matches(encoded, items), "benchmark-matches").join(number, "item")
-        result = result.unionByName(found.withColumnRenamed("id", id_col).select(*result.columns))
-    return result
+        result = result.unionByName(found.withColumnRenamed("id", "__doc").select(*private))
+    return result.toDF(id_col, item_col, *figures)  # names may clash; places do not
 
 
 @query("op2_benchmark_lsi")

@@ -155,3 +155,14 @@ def test_items_of_common_words(spark):
     docs = spark.createDataFrame([(k, make(rng, 200, common)) for k in range(300)] + [(900, "before it " + item + " behind it")], "doc_id long, text string")
     got = {r.doc_id: r for r in dc.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got[900].kind == "copy" and got[900].share == 1 and got[900].cosine > 0
+
+
+def test_column_names_of_the_caller(spark):
+    """Id and item columns of any name, those of the operator's own columns too."""
+    item = "the quick survey of " + " ".join(f"zeta{k}" for k in range(30))
+    docs = spark.createDataFrame([(7, "before " + item + " after"), (8, "nothing " * 60)], "i long, t string")
+    bench = spark.createDataFrame([(3, item)], "b long, t string")
+    for name, other in (("item", "kind_of"), ("kind", "item"), ("item_id", "id"), ("__doc", "share_of"), ("id", "item_id")):
+        found = dc.contaminated(docs.withColumnRenamed("i", name), bench.withColumnRenamed("b", other), name, "t", other, "t")
+        assert found.columns[:2] == [name, other]
+        assert [tuple(r)[:2] for r in found.collect()] == [(7, 3)]

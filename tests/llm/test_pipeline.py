@@ -64,7 +64,7 @@ def test_edge_rows(spark, name):
 def test_registered():
     import __spark_entry__
     found = __spark_entry__.queries()
-    assert "pipeline" in found and set(QUERIES) <= set(found) and len({n.split("_")[0] for n in QUERIES if n.startswith("op")}) == 10
+    assert "pipeline" in found and set(QUERIES) <= set(found) and len({n.split("_")[0] for n in QUERIES if n.startswith("op")}) == 13
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 
@@ -76,3 +76,14 @@ def test_one_id_with_several_texts(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string")
         got = sorted(tuple(r) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF001).collect())
         assert got == [(1, base[0]), (5, base[1]), (5, base[2])]
+
+
+def test_one_contaminated_text_takes_no_other_with_it(spark):
+    """Rows without an id, or of one id, are judged each by its own text."""
+    item = next(r.text for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect() if len(r.text.split()) > 30)
+    clean = [" ".join(f"{c}{chr(97 + k % 26)}{k}" for k in range(90)) for c in "xyz"]
+    dirty = clean[0] + " " + item
+    rows = [(None, dirty), (None, clean[0]), (None, None), (4, dirty), (4, clean[1]), (5, clean[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in dict(corpus_pipeline.STAGES)["decontaminated"](spark, docs, SF001).collect()), key=str)
+    assert got == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
