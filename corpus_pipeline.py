@@ -41,25 +41,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that hold no item of the benchmark."""
+    """Keep the documents that hold no item of the benchmark.
+
+    A text is judged by itself, under its digest: rows of one id, or without an id, go or stay each by their text.
+    """
     ship(spark)
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    found = decontaminate.contaminated(docs.select(digest.alias("__digest"), "text"), table(spark, sf_dir, "benchmark"), id_col="__digest")
+    return docs.join(found.select(F.col("__digest").alias("__found")).distinct(), digest == F.col("__found"), "left_anti")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text with its personal numbers, dates and addresses replaced."""
     ship(spark)
-    return pii.pseudonymise(docs, found_col="__found").select(*docs.columns)
+    return pii.pseudonymise(docs, pii.session_key(spark), found_col="__found").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and offsets of every text, checked by decoding: (doc_id, n_tokens, token_ids, decoded_sha256)."""
+    """Token ids of every text, checked by decoding: (doc_id, n_tokens, token_ids, decoded_sha256)."""
     ship(spark)
-    vocabulary = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vocabulary)
-    decoded = bpe.decode(encoded, vocabulary, keep=("doc_id", "token_ids"))
-    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    both = bpe.round_trip(texts, public_tokenizers.path(VOCABULARY))
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_sha256")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated),
