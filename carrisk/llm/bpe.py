@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from carrisk.llm.common import not_replaced, query, table, text_slices
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 CACHED_BYTES = 64
 SCAN_BYTES = 48
 NO_PAIR = 1 << 30
@@ -286,7 +286,7 @@ def round_trip(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: S
         import numpy as np
 
         merge, width, write = merger(vocab_path), token_widths(vocab_path), writer(vocab_path)
-        for part in text_slices(batches, "__text"):
+        for part in text_slices(batches, "__text", 1 << 19):
             texts = part.column(n_keep).to_pylist()
             ids, ends = merge.encode([t or "" for t in texts])
             offsets = byte_offsets(ids, ends, width)

@@ -91,6 +91,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, max_chars: int
             last = max(last, first + 1)
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()  # the worker goes on with other stages
 
 
 __all__ = ["F", "ORACLE", "QUERIES", "checkpoint", "fresh_path", "not_replaced", "query", "ship", "table", "text_slices", "written"]
