@@ -51,7 +51,7 @@ from carrisk.llm.common import query, ship, table, text_slices, written
 from carrisk.llm.components import connected_components
 
 K, ENTRIES, TAKEN, SIMILARITY = 5, 64, 2, 0.8
-BLOCK, BLOCK_WORDS, BAG, FILTER_BITS = 1 << 12, 1 << 20, 256, 1 << 24
+BLOCK, BLOCK_WORDS, BAG, FILTER_BITS = 1 << 11, 1 << 20, 256, 1 << 24
 
 
 def _mix(x):
@@ -315,11 +315,13 @@ class Block:
         band = ((1 - self.similarity) * np.maximum(self.n_words[j], self.n_words[i]) + 1e-9).astype(np.int64)
         fits = np.abs(self.n_words[j] - self.n_words[i]) <= band
         j, band = j[fits], band[fits]
+        entry = int((self.sketch[i] == self.key).argmax())  # a pair is settled in the bucket of its first common key
+        first = ~(self.sketch[j, :entry] == self.sketch[i, :entry]).any(1)
+        j, band = j[first], band[first]
         gap = self.bag[j] - self.bag[i]
-        j = j[np.maximum(np.maximum(gap, 0).sum(1, dtype=np.int64), np.maximum(-gap, 0).sum(1, dtype=np.int64)) <= band]
-        agree = self.sketch[j] == self.sketch[i]
-        first = self.sketch[i][agree.argmax(1)] == self.key  # a pair is settled in the bucket of its first common key
-        j, agree = j[first], agree[first].sum(1)
+        more = np.maximum(gap, 0).sum(1, dtype=np.int64)  # words that only j has; those that only i has follow from the sums
+        j = j[np.maximum(more, more - gap.sum(1, dtype=np.int64)) <= band]
+        agree = (self.sketch[j] == self.sketch[i]).sum(1)
         return j[np.argsort(-agree, kind="stable")]
 
 
