@@ -51,7 +51,7 @@ from carrisk.llm.common import query, ship, table, text_slices, written
 from carrisk.llm.components import connected_components
 
 K, ENTRIES, TAKEN, SIMILARITY = 5, 64, 2, 0.8
-BLOCK, BLOCK_WORDS, BAG, FILTER_BITS = 1 << 11, 1 << 20, 256, 1 << 24
+BLOCK, BLOCK_WORDS, BAG, FILTER_BITS = 1 << 10, 1 << 20, 256, 1 << 24
 
 
 def _mix(x):
