@@ -7,7 +7,8 @@ each).  Ids are cut in blocks of ``BLOCK_IDS``; ``range_coder`` codes up to
 ``LANES`` blocks side by side, each independently reset and with a CRC-32 of
 its ids.  Pieces are split by ``pretok`` and encoded by the library once per
 worker cache; the library splits a piece no further, so the ids are those of
-the whole text (tested).
+the whole text (tested).  Names of the vocabulary's added tokens are cut out of
+a text first and become their own ids, as the library does by default.
 
 File: ``MAGIC``, the blocks' bytes, an Arrow stream of blocks (offset, n_bytes,
 n_ids, crc), an Arrow stream of documents (id, first, n_tokens), and a tail
@@ -25,9 +26,11 @@ writes and gives nothing; extra columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,7 +44,7 @@ from carrisk.llm.shared_files import filesystem, open_input, open_output
 MAGIC = b"CARIDS1\n"
 TAIL = "<5Q8s"  # blocks table at, bytes; documents table at, bytes; ids; magic
 BLOCK_IDS, LANES = 512, 2048
-FILE_BYTES = 32 << 20
+FILE_BYTES, LARGE_FILE_BYTES, MANY_FILES = 32 << 20, 1 << 30, 4096
 END_ID = 2
 
 MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long"
@@ -57,7 +60,11 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self.added = {token.content: i for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        names = sorted(self.added, key=len, reverse=True)  # the longest of those that begin at a place
+        self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else lambda text: [text]
         self.cache: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int):
@@ -66,7 +73,13 @@ class _Encoder:
 
         from carrisk.llm.pretok import pieces
 
-        distinct, codes, firsts = pieces(texts)
+        owners, segments, closing = [], [], []  # added tokens cut a text into segments; what ends a segment: their id or the end id
+        for i, text in enumerate(texts):
+            cut = self.split(text)
+            owners += [i] * (len(cut) // 2 + 1)
+            segments += cut[::2]
+            closing += [*(self.added[name] for name in cut[1::2]), end_id]
+        distinct, codes, firsts = pieces(segments)
         found = list(map(self.cache.get, distinct))
         new = [k for k, x in enumerate(found) if x is None]
         if len(self.cache) + len(new) > CACHE_PIECES:
@@ -79,16 +92,16 @@ class _Encoder:
         width = np.fromiter(map(len, found), np.int64, len(found)) // 4
         store = np.frombuffer(b"".join(found), np.int32)
         begin = np.cumsum(width) - width
-        owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
         count = width[codes]
-        per_text = np.bincount(owner, count, len(texts)).astype(np.int64) + 1
-        ends = np.cumsum(per_text)
-        out = np.full(ends[-1] if len(ends) else 0, end_id, np.int32)
+        per_segment = np.bincount(np.repeat(np.arange(len(segments)), np.diff(firsts)), count, len(segments)).astype(np.int64) + 1
+        ends = np.cumsum(per_segment)
+        out = np.zeros(ends[-1] if len(ends) else 0, np.int32)
         place = np.ones(len(out), bool)
         place[ends - 1] = False
+        out[ends - 1] = closing
         before = np.cumsum(count) - count
         out[place] = store[np.arange(int(count.sum())) + np.repeat(begin[codes] - before, count)]
-        return out, per_text
+        return out, np.bincount(owners, per_segment, len(texts)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -103,7 +116,7 @@ class _IdFile:
         self.path, self.file = path, open_output(path)
         self.file.write(MAGIC)
         self.at, self.waiting, self.n_waiting, self.n_ids = len(MAGIC), [], 0, 0
-        self.blocks: list[tuple[int, int, int, int]] = []
+        self.blocks = array("q")  # offset, bytes, ids and CRC of each block
 
     def add(self, ids) -> None:
         self.waiting.append(ids)
@@ -129,13 +142,13 @@ class _IdFile:
             grid = grid.reshape(rows, BLOCK_IDS)
             for data, row, size in zip(encode_blocks(grid, lengths), grid, lengths.tolist()):
                 self.file.write(data)
-                self.blocks.append((self.at, len(data), size, zlib.crc32(row[:size].astype("<u4").tobytes())))
+                self.blocks.extend((self.at, len(data), size, zlib.crc32(row[:size].astype("<u4").tobytes())))
                 self.at += len(data)
 
     def close(self, docs: pa.Table) -> int:
         self._code(self.n_waiting)
         kinds = (("offset", pa.int64()), ("n_bytes", pa.int32()), ("n_ids", pa.int32()), ("crc", pa.int64()))
-        columns = list(zip(*self.blocks)) or [()] * 4
+        columns = [self.blocks[k::4] for k in range(4)]
         places = []
         for out in (pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, columns)}), docs):
             sink = pa.BufferOutputStream()
@@ -151,12 +164,17 @@ class _IdFile:
 
 
 def write_id_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                   end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write the ids of ``docs`` in order of ``id_col``; returns the manifest, itself a written table."""
+                   end_id: int = END_ID, file_bytes: int | None = None) -> DataFrame:
+    """Write the ids of ``docs`` in order of ``id_col``; returns the manifest, itself a written table.
+
+    A file takes ``file_bytes`` of text; by default that grows with the input, from 32 MB to 1 GB, so that
+    there are some 4,096 files before there are more (100 TB: 100,000).
+    """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "ids")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    file_bytes = file_bytes or min(max(FILE_BYTES, total // MANY_FILES), LARGE_FILE_BYTES)
     parts = max(int(total // file_bytes) + 1, 1)
     ordered = source.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
 

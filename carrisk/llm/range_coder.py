@@ -4,15 +4,21 @@ Model of a block (all of it starts anew with the block, so blocks decode alone):
 
 * order 2 and order 1: tables keyed by the last two ids and by the last one
   predict one id each, with a confidence from 0 to 3; for every confidence an
-  adaptive counter says how often such a prediction held;
-* order 0: adaptive counts of 32 classes of ids (half octaves of id + 1; ids
+  adaptive counter says how often such a prediction held, and the rest of the
+  order's probability is spread as order 0 has it;
+* order 0: adaptive counts of 47 classes of ids (half octaves of id + 1; ids
   of public vocabularies run from frequent to rare), even within a class.
 
-The mixture gives an id the share of the order-2 prediction, then of the
-order-1 prediction in what is left, then its class in the rest, as one interval
-of ``TOTAL``; the place within a class follows as plain bits.  A 64-bit range
-coder codes it and emits 16-bit digits; carries are added to the digits
-written and resolved when the block ends.
+The three distributions are mixed by weights, one set of them for every
+confidence of order 2.  After each id a weight moves towards its order's share
+in what the mixture gave that id (its posterior), so that the orders that
+predict well in a block come to carry it.  Weights and counters are integers
+with bounds: no id ever gets an empty interval.  The mixture is one interval of
+``TOTAL`` for each predicted id and for each class; the place within a class
+follows as plain bits.  A 64-bit range coder codes it and emits 16-bit digits;
+carries are added to the digits written and resolved when the block ends.
+
+Ids run to ``MAX_ID`` = 2^24 - 2; a larger one is refused.
 
 A numpy row holds one number per block, so a step codes one id of every block;
 nothing is shared between blocks.
@@ -20,25 +26,35 @@ nothing is shared between blocks.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 U = np.uint64
-TOTAL_BITS, CLASS_BITS, CLASSES = 22, 12, 32
+TOTAL_BITS, CLASS_BITS, CLASSES = 22, 12, 47
 TABLE_BITS = (8, 9)  # order 1, order 2
 ID_BITS, EMPTY = 24, 4  # a table entry is id | confidence << 24; confidence EMPTY: no prediction yet
 NONE = (1 << ID_BITS) - 1
-STATES = 10  # confidences, and once more for an order-1 prediction that repeats the order-2 one
+STATES = 5  # confidences
 LEAST, MOST, RATE = 1 << 10, (1 << 16) - (1 << 10), 4  # bounds and step of the counters, of 65536
+FLOOR, WEIGHT_RATE = 1 << 8, 4  # least weight, of 65536, and step of the weights
+RARE_BITS = 6  # order 0 counts as 2^-6 where a prediction held
 REBUILD, CELL_BITS = 64, 4
 LOW = U(1 << 48)
 FLUSH = 4
 
 # Classes of id + 1 start at 1, 2, 3, 4, 6, 8, 12, 16, ...
-CLASS_START = np.array(sorted({1 << k for k in range(17)} | {3 << k for k in range(15)})[:CLASSES], np.int64)
+CLASS_START = np.array(sorted({1 << k for k in range(24)} | {3 << k for k in range(23)}), np.int64)
 CLASS_RAW = np.maximum(np.log2(CLASS_START).astype(np.int64) - 1, 0)  # bits of the place within a class
 MAX_ID = int(CLASS_START[-1] + (1 << int(CLASS_RAW[-1])) - 2)
 
 
+@lru_cache(maxsize=1)
+def _class_of() -> np.ndarray:
+    """Class of every id."""
+    return np.repeat(np.arange(CLASSES, dtype=np.int8), 1 << CLASS_RAW)
+
+
 def _keys(last, before):
     """Table slots of order 1 and order 2."""
     return ((last * 0x9E3779B1 >> 11) & ((1 << TABLE_BITS[0]) - 1), ((last * 0x85EBCA6B + before * 0xC2B2AE35) >> 11) & ((1 << TABLE_BITS[1]) - 1))
@@ -48,8 +64,9 @@ class _Model:
     def __init__(self, n: int):
         self.lane = np.arange(n)
         self.tables = [np.full(n << b, NONE | EMPTY << ID_BITS, np.int32) for b in TABLE_BITS]
-        start = np.array([1 << 13, 1 << 14, 1 << 15, 3 << 14, LEAST] * 2, np.int64)
+        start = np.array([1 << 13, 1 << 14, 1 << 15, 3 << 14, LEAST], np.int64)
         self.held = [np.tile(start, n) for _ in TABLE_BITS]
+        self.weights = [np.full(n * STATES, w, np.int64) for w in (30 << 10, 32 << 10)]
         self.counts = np.full(n * CLASSES, 2, np.int32)
         self.step = 0
         self.narrow(n)
@@ -76,27 +93,33 @@ class _Model:
         entry = [t.take(s) for t, s in zip(self.tables, self.slot)]
         self.guess = [e & NONE for e in entry]
         self.sure = [e >> ID_BITS for e in entry]
-        self.at = [self.state_at + self.sure[0] + (self.guess[0] == self.guess[1]) * 5, self.state_at + self.sure[1]]
+        self.at = [self.state_at + sure for sure in self.sure]
         self.p = [h.take(i) for h, i in zip(self.held, self.at)]
-        self.f2 = self.p[1] << (TOTAL_BITS - 16)
-        rest = (1 << TOTAL_BITS) - self.f2
-        self.f1 = rest * self.p[0] >> 16
-        self.rest = rest - self.f1
+        self.w = [w.take(self.at[1]) for w in self.weights]
+        share1, self.f2 = (w * p >> 32 - TOTAL_BITS for w, p in zip(self.w, self.p))
+        same = self.guess[0] == self.guess[1]
+        self.f2 += share1 * same
+        self.f1 = share1 * ~same
+        self.rest = (1 << TOTAL_BITS) - self.f2 - self.f1
 
     def class_interval(self, cls):
         """(start, end) of a class within ``rest``."""
         at = self.cum_at + cls
         return self.rest * self.cum.take(at) >> CLASS_BITS, self.rest * self.cum.take(at + 1) >> CLASS_BITS
 
-    def update(self, ids, hit2, hit1, cls) -> None:
+    def update(self, ids, cls) -> None:
         self.counts[self.class_at + cls] += 6
-        for k, hit in ((0, hit1), (1, hit2)):
-            p = self.p[k]
-            moved = p + ((hit * (MOST - LEAST) + LEAST - p) >> RATE)
-            if k == 0:  # asked only where order 2 failed
-                moved = np.where(hit2, p, moved)
-            self.held[k][self.at[k]] = moved
-            self.tables[k][self.slot[k]] = ids | ((self.guess[k] == ids) * np.minimum(self.sure[k] + 1, 3)) << ID_BITS
+        total = 65536 - self.w[0] - self.w[1] << 16
+        gave = []  # what each order's part of the mixture gave the id, in units of order 0's probability
+        for k in (0, 1):
+            p, hit = self.p[k], self.guess[k] == ids
+            gave.append(self.w[k] * np.where(hit, p << RARE_BITS, 65536 - p))
+            total += gave[k]
+            self.held[k][self.at[k]] = p + ((hit * (MOST - LEAST) + LEAST - p) >> RATE)
+            self.tables[k][self.slot[k]] = ids | (hit * np.minimum(self.sure[k] + 1, 3)) << ID_BITS
+        for w, now, part in zip(self.weights, self.w, gave):
+            goal = (part / total * (65536 - 3 * FLOOR)).astype(np.int64) + FLOOR
+            w[self.at[1]] = now + (goal - now >> WEIGHT_RATE)
 
 
 def _active(lengths: np.ndarray, t: int) -> int:
@@ -118,7 +141,7 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     past[2:] = ids.T
     all_keys = _keys(past[1:-1], past[:-2])
     columns = past[2:]
-    classes = (np.searchsorted(CLASS_START, np.arange(1, MAX_ID + 2), side="right") - 1)[columns]
+    classes = _class_of()[columns]
     raws, places = CLASS_RAW[classes], columns + 1 - CLASS_START[classes]
 
     def shift(small):
@@ -155,7 +178,7 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
             shift(small)
             size <<= small * U(16)
             small = size < LOW
-        model.update(x, hit2, hit1, cls)
+        model.update(x, cls)
     every = np.ones(n, bool)
     for _ in range(FLUSH if n else 0):
         shift(every)
@@ -189,7 +212,7 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     pos, final = np.arange(n) * width + 4, np.arange(1, n + 1) * width - 1
     digits = digits.reshape(-1)
     out = np.zeros((steps + 2, n), np.int64)  # after two zeros
-    class_of = np.searchsorted(CLASS_START, np.arange(1, MAX_ID + 2), side="right") - 1
+    class_of = _class_of()
     cells = (1 << CLASS_BITS - CELL_BITS) + 1
     for t in range(steps):
         k = _active(lengths, t)
@@ -231,5 +254,5 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
             size <<= by
             small = size < LOW
         out[t + 2, :k] = x
-        model.update(x, hit2, hit1, class_of.take(x, mode="clip"))
+        model.update(x, class_of.take(x, mode="clip"))
     return np.ascontiguousarray(out[2:].T)
