@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrisk.operators import rank
+from carrisk.session import checkpoint
 
 
 def _keyed(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -154,6 +155,45 @@ def bin2d(df: DataFrame, xcol: str | Column, ycol: str | Column, bins: int = 50,
     return src.groupBy(*keys, bx.alias("bx"), by.alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def hex_bin2d(df: DataFrame, xcol: str | Column, ycol: str | Column, bins: int = 50, keys: Sequence[str] = (),
+              log_x: bool = False, log_y: bool = False) -> DataFrame:
+    """D3: hexagonal 2-D bins; one row per occupied hexagon.
+
+    A hexagon is ``range / bins`` wide on each axis (pointed at the top; rows of
+    centres lie sqrt(3) / 2 of a width apart), and the lattice starts at a
+    multiple of the width at or below the least value, less 1e-6.  A point goes to the nearest centre:
+    its axial coordinates are rounded as a cube, and of the three rounded
+    numbers the one that moved most is set so that they sum to 0.  Rows with a NULL
+    or NaN value, or one of 0 or less on a log axis, are left out; an axis of one
+    value counts as 1 wide.  One scan for the ranges, one hash aggregate.
+
+    Columns: keys..., hq, hr (axial coordinates), x_mid, y_mid (the centre, in log10 units on a log axis), n.
+    """
+    src = df.select(*keys, _x(xcol).alias("_hx"), _x(ycol).alias("_hy"))
+    src = src.where(F.col("_hx").isNotNull() & F.col("_hy").isNotNull() & ~F.isnan("_hx") & ~F.isnan("_hy"))
+    for c, log in (("_hx", log_x), ("_hy", log_y)):
+        if log:
+            src = src.where(F.col(c) > 0).withColumn(c, F.log10(c))
+    least_x, most_x, least_y, most_y = src.agg(F.min("_hx"), F.max("_hx"), F.min("_hy"), F.max("_hy")).first()
+    if least_x is None:
+        return src.select(*keys, F.lit(0).cast("long").alias("hq"), F.lit(0).cast("long").alias("hr"), F.col("_hx").alias("x_mid"),
+                          F.col("_hy").alias("y_mid"), F.lit(0).cast("long").alias("n")).limit(0)
+    wx, wy = ((hi - lo) / bins if hi > lo else 1.0 for lo, hi in ((least_x, most_x), (least_y, most_y)))
+    ox, oy = (math.floor(lo / w) * w - 1e-6 for lo, w in ((least_x, wx), (least_y, wy)))
+    up = math.sqrt(3.0) / 2.0
+    row = (F.col("_hy") - F.lit(oy)) / F.lit(wy) / F.lit(up)
+    placed = src.select(*keys, row.alias("_r"), ((F.col("_hx") - F.lit(ox)) / F.lit(wx) - row / 2.0).alias("_q"))
+    near = placed.withColumns({"_rq": F.floor(F.col("_q") + 0.5), "_rr": F.floor(F.col("_r") + 0.5), "_rs": F.floor(0.5 - F.col("_q") - F.col("_r"))})
+    near = near.withColumns({"_dq": F.abs(F.col("_rq") - F.col("_q")), "_dr": F.abs(F.col("_rr") - F.col("_r")),
+                             "_ds": F.abs(F.col("_rs") + F.col("_q") + F.col("_r"))})
+    q_moved = (F.col("_dq") > F.col("_dr")) & (F.col("_dq") > F.col("_ds"))
+    hq = F.when(q_moved, -F.col("_rr") - F.col("_rs")).otherwise(F.col("_rq"))
+    hr = F.when(~q_moved & (F.col("_dr") > F.col("_ds")), -F.col("_rq") - F.col("_rs")).otherwise(F.col("_rr"))
+    counts = near.groupBy(*keys, hq.alias("hq"), hr.alias("hr")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*keys, "hq", "hr", (F.lit(ox) + (F.col("hq") + F.col("hr") / 2.0) * F.lit(wx)).alias("x_mid"),
+                         (F.lit(oy) + F.col("hr") * F.lit(up) * F.lit(wy)).alias("y_mid"), "n")
+
+
 def box_stats(df: DataFrame, value: str | Column, keys: Sequence[str] = (), log10: bool = False,
               keep_between: tuple[float | None, float | None] | None = None, coef: float = 1.5) -> DataFrame:
     """Quartiles (type 7), whiskers at the extreme points within coef*IQR
@@ -190,15 +230,82 @@ def loglog_fit(df: DataFrame, xcol: str, ycol: str, keys: Sequence[str] = ()) ->
 def ellipse_params(df: DataFrame, xcol: str, ycol: str, keys: Sequence[str] = (), level: float = 0.90) -> DataFrame:
     """Normal-theory confidence ellipse per group: centre, covariance and radius.
 
-    radius = sqrt(2 * F(level; 2, n-1)) as the plotting convention; here the
-    chi-square form sqrt(-2 ln(1 - level)) is used (large-n limit).
+    radius = sqrt(2 * F quantile(level; 2, n - 1)), NULL for fewer than 4 rows.
     """
-    r = math.sqrt(-2.0 * math.log(1.0 - level))
     return df.groupBy(*keys).agg(
         F.avg(_x(xcol)).alias("cx"), F.avg(_x(ycol)).alias("cy"),
         F.var_samp(_x(xcol)).alias("var_x"), F.var_samp(_x(ycol)).alias("var_y"),
         F.covar_samp(_x(xcol), _x(ycol)).alias("cov_xy"), F.count(F.lit(1)).alias("n"),
-    ).withColumn("radius", F.lit(r))
+    ).withColumn("radius", _f_radius(level))
+
+
+def _f_radius(level: float) -> Column:
+    """sqrt(2 * F quantile(level; 2, n - 1)) of column ``n``; with 2 degrees in the numerator the quantile has a closed form."""
+    d = F.col("n").cast("double") - 1.0
+    return F.when(F.col("n") >= 4, F.sqrt(d * (F.pow(F.lit(1.0 - level), -2.0 / d) - 1.0)))
+
+
+#: A covariance whose determinant is at most this share of var_x * var_y has no inverse.
+FLAT = 1e-12
+
+
+def _flat(vx: Column, vy: Column, cxy: Column) -> Column:
+    return ~F.coalesce(vx * vy - cxy * cxy > F.lit(FLAT) * vx * vy, F.lit(False))
+
+
+def t_ellipse(df: DataFrame, xcol: str | Column, ycol: str | Column, keys: Sequence[str] = (), level: float = 0.90,
+              nu: float = 5.0, tol: float = 0.01, max_iter: int = 25) -> DataFrame:
+    """Confidence ellipse per group from a multivariate-t centre and scatter (``nu`` degrees of freedom).
+
+    Iteratively reweighted: a row's weight is (nu + 2) / (nu + its squared distance in
+    the group's current covariance), so far rows lose their pull.  A round is one
+    hash aggregate over the rows of the groups still moving; a group ends when
+    no weight moved by ``tol``, or after ``max_iter`` rounds.  Per group only sums and two
+    five-number states exist, kept in a checkpointed frame; a group of a third of all rows is partial sums
+    before the shuffle.  The driver sees whether any group is left.
+
+    Columns: keys..., cx, cy, var_x, var_y, cov_xy, n, rounds, radius.  Rows with a NULL
+    or NaN value are left out; NULL keys are a group.  Groups of fewer than 4 rows or on a line keep their
+    plain mean and covariance (0 rounds), the former with a NULL radius.
+    """
+    rows = df.select(*keys, _x(xcol).alias("_x"), _x(ycol).alias("_y"))
+    rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    gk = list(keys) or ["_all"]
+    rows = checkpoint(rows if keys else rows.withColumn("_all", F.lit(0)))
+    now, before, found = (tuple(f"_{kind}{c}" for c in ("mx", "my", "vx", "vy", "cxy")) for kind in ("now_", "old_", "out_"))
+    ended = (F.col("n") < 4) | _flat(*map(F.col, now[2:]))
+    state = rows.groupBy(*gk).agg(F.avg("_x").alias(now[0]), F.avg("_y").alias(now[1]), F.var_pop("_x").alias(now[2]), F.var_pop("_y").alias(now[3]),
+                                  F.covar_pop("_x", "_y").alias(now[4]), F.var_samp("_x").alias(found[2]), F.var_samp("_y").alias(found[3]),
+                                  F.covar_samp("_x", "_y").alias(found[4]), F.count(F.lit(1)).alias("n"))
+    columns = [*gk, "n", *now, *before, *found, "rounds", "_ended"]
+    state = checkpoint(state.withColumns({**{c: F.lit(None).cast("double") for c in before}, found[0]: F.col(now[0]), found[1]: F.col(now[1]),
+                                          "rounds": F.lit(0), "_ended": ended}).select(*columns))
+
+    def weight(of: tuple[str, ...]) -> Column:
+        mx, my, vx, vy, cxy = map(F.col, of)
+        dx, dy = F.col("_x") - mx, F.col("_y") - my
+        return F.lit(nu + 2.0) / (F.lit(nu) + (vy * dx * dx - 2.0 * cxy * dx * dy + vx * dy * dy) / (vx * vy - cxy * cxy))
+
+    for i in range(1, max_iter + 1):
+        live = state.where(~F.col("_ended"))
+        if live.isEmpty():
+            break
+        seen = _keyed(rows, live.select(*gk, *now, *before), gk).withColumns({
+            "_w": weight(now), "_dx": F.col("_x") - F.col(now[0]), "_dy": F.col("_y") - F.col(now[1])})
+        moved = F.abs(F.col("_w") - (F.lit(1.0) if i == 1 else weight(before)))
+        w, dx, dy = F.col("_w"), F.col("_dx"), F.col("_dy")
+        sums = seen.groupBy(*gk).agg(*[F.max(c).alias(c) for c in now], F.sum(w).alias("_sw"), (F.sum(w * dx) / F.sum(w)).alias("_ax"),
+                                     (F.sum(w * dy) / F.sum(w)).alias("_ay"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy"),
+                                     F.sum(w * dx * dy).alias("_xy"), F.max(moved).alias("_moved"), F.count(F.lit(1)).alias("n"))
+        ax, ay, sw = F.col("_ax"), F.col("_ay"), F.col("_sw")
+        new = dict(zip(now, (F.col(now[0]) + ax, F.col(now[1]) + ay, F.col("_xx") / sw - ax * ax, F.col("_yy") / sw - ay * ay, F.col("_xy") / sw - ax * ay)))
+        out = dict(zip(found, (new[now[0]], new[now[1]], F.col("_xx") / F.col("n"), F.col("_yy") / F.col("n"), F.col("_xy") / F.col("n"))))
+        end = (F.col("_moved") < tol) | _flat(*(new[c] for c in now[2:]))
+        step = sums.select(*gk, "n", *[new[c].alias(c) for c in now], *[F.col(a).alias(b) for a, b in zip(now, before)],
+                           *[out[c].alias(c) for c in found], F.lit(i).alias("rounds"), end.alias("_ended"))
+        state = checkpoint(step.unionByName(state.where("_ended")))
+    result = state.select(*gk, *[F.col(a).alias(b) for a, b in zip(found, ("cx", "cy", "var_x", "var_y", "cov_xy"))], "n", "rounds", _f_radius(level).alias("radius"))
+    return result if keys else result.drop("_all")
 
 
 def capped_hash_sample(df: DataFrame, key: str, cap: int, seed: int = 42) -> DataFrame:

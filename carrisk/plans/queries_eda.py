@@ -473,6 +473,41 @@ def q_bin2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.bin2d(df, "nbr_power_unit", "driver_total", bins=50, log10=True)
 
 
+def _hex_sql(points: str, bins: int) -> str:
+    """Hexagons of ``points`` (columns x, y): the nearest centre by cube rounding."""
+    up = repr(dist.math.sqrt(3.0) / 2.0)
+    return with_master(f"""
+select cast(hq as bigint) as hq, cast(hr as bigint) as hr, {r6('any_value(ox) + (hq + hr / 2.0) * any_value(wx)')} as x_mid,
+  {r6(f'any_value(oy) + hr * {up} * any_value(wy)')} as y_mid, count(*) as n
+from (select ox, oy, wx, wy, case when dq > dr and dq > ds then -rr - rs else rq end as hq,
+        case when not (dq > dr and dq > ds) and dr > ds then -rq - rs else rr end as hr
+      from (select *, abs(rq - q) as dq, abs(rr - r) as dr, abs(rs + q + r) as ds
+            from (select *, floor(q + 0.5) as rq, floor(r + 0.5) as rr, floor(0.5 - q - r) as rs
+                  from (select *, (x - ox) / wx - r / 2.0 as q
+                        from (select *, (y - oy) / wy / {up} as r
+                              from hp, (select *, floor(xl / wx) * wx - 1e-6 as ox, floor(yl / wy) * wy - 1e-6 as oy
+                                        from (select min(x) as xl, min(y) as yl, case when max(x) > min(x) then (max(x) - min(x)) / {bins} else 1.0 end as wx,
+                                                case when max(y) > min(y) then (max(y) - min(y)) / {bins} else 1.0 end as wy from hp)))))))
+group by hq, hr""", [("hp", points)])
+
+
+@query("hex_drivers_units", _hex_sql("""select cast(log10(nbr_power_unit) as double) as x, cast(log10(driver_total) as double) as y
+  from rv where driver_total > 0 and nbr_power_unit > 0""", 50))
+def q_hex_drivers_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drivers vs power units, hexagons of 1/50 of each log10 axis."""
+    df = rv(spark, sf_dir).where((F.col("driver_total") > 0) & (F.col("nbr_power_unit") > 0))
+    return dist.hex_bin2d(df, "nbr_power_unit", "driver_total", bins=50, log_x=True, log_y=True)
+
+
+@query("hex_intensity_crash", _hex_sql("""select cast(log10(violation_intensity_score) as double) as x, cast(crash_to_inspection_ratio as double) as y
+  from rv where has_inspection and violation_intensity_score > 0 and crash_to_inspection_ratio > 0 and crash_to_inspection_ratio < 1""", 40))
+def q_hex_intensity_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2e: intensity (log10 axis) x crashes per inspection, hexagons of 1/40 of each axis."""
+    df = inspected(spark, sf_dir).where((F.col("violation_intensity_score") > 0) & (F.col("crash_to_inspection_ratio") > 0)
+                                        & (F.col("crash_to_inspection_ratio") < 1))
+    return dist.hex_bin2d(df, "violation_intensity_score", "crash_to_inspection_ratio", bins=40, log_x=True)
+
+
 @query("trimmed_sample", with_master(f"""
 select dot_number, {r6('total_injuries')} as total_injuries, {r6('total_fatalities')} as total_fatalities
 from rv, (select quantile_cont(total_injuries, 0.995) as qi, quantile_cont(total_fatalities, 0.999) as qf from rv) q

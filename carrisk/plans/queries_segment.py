@@ -106,13 +106,46 @@ def q_cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ellipse_params", with_master(f"""
 select carrier_operation, {r6('avg(x)')} as cx, {r6('avg(y)')} as cy, {r6('var_samp(x)')} as var_x,
   {r6('var_samp(y)')} as var_y, {r6('covar_samp(x, y)')} as cov_xy, count(*) as n,
-  {r6(repr(dist.math.sqrt(-2.0 * dist.math.log(1.0 - 0.90))))} as radius
+  case when count(*) >= 4 then {r6('sqrt((count(*) - 1.0) * (pow(0.1, -2.0 / (count(*) - 1.0)) - 1.0))')} end as radius
 from (select carrier_operation, fleet_size_log as x, crashes_log as y from cb) group by carrier_operation""", [_CB]))
 def q_ellipse_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7 on a deterministic grouping: 90% normal ellipse of (fleet size, crashes) per operation."""
     return dist.ellipse_params(base(spark, sf_dir), "fleet_size_log", "crashes_log", ["carrier_operation"])
 
 
+def _t_round(i: int) -> tuple[str, str]:
+    """Round ``i`` of the multivariate-t weights in SQL: the groups still moving, and those that ended before."""
+    def weight(s):
+        dx, dy = f"(x - {s}mx)", f"(y - {s}my)"
+        return f"7.0 / (5.0 + ({s}vy * {dx} * {dx} - 2.0 * {s}c * {dx} * {dy} + {s}vx * {dy} * {dy}) / ({s}vx * {s}vy - {s}c * {s}c))"
+    return f"t{i}", f"""select *, moved < 0.01 or not coalesce(vx * vy - c * c > {dist.FLAT!r} * vx * vy, false) as ended from (
+  select k, n, mx + ax as mx, my + ay as my, xx / sw - ax * ax as vx, yy / sw - ay * ay as vy, xy / sw - ax * ay as c, mx as omx, my as omy,
+    vx as ovx, vy as ovy, c as oc, mx + ax as fx, my + ay as fy, xx / n as fvx, yy / n as fvy, xy / n as fc, {i} as rounds, moved from (
+    select k, count(*) as n, any_value(mx) as mx, any_value(my) as my, any_value(vx) as vx, any_value(vy) as vy, any_value(c) as c,
+      sum(w) as sw, sum(w * (x - mx)) / sum(w) as ax, sum(w * (y - my)) / sum(w) as ay, sum(w * (x - mx) * (x - mx)) as xx,
+      sum(w * (y - my) * (y - my)) as yy, sum(w * (x - mx) * (y - my)) as xy, max(abs(w - ow)) as moved
+    from (select *, {weight('')} as w, {'1.0' if i == 1 else weight('o')} as ow from tp join (select * exclude (n) from t{i - 1} where not ended) s using (k))
+    group by k))
+union all by name select * from t{i - 1} where ended"""
+
+
+_T_ROUNDS = 25
+_T = [("tp", "select coalesce(carrier_operation, chr(0)) as k, fleet_size_log as x, crashes_log as y from cb"),
+      ("t0", f"""select *, n < 4 or not coalesce(vx * vy - c * c > {dist.FLAT!r} * vx * vy, false) as ended from (
+  select k, count(*) as n, avg(x) as mx, avg(y) as my, var_pop(x) as vx, var_pop(y) as vy, covar_pop(x, y) as c,
+    {', '.join(f'cast(null as double) as {c}' for c in ('omx', 'omy', 'ovx', 'ovy', 'oc', 'moved'))},
+    avg(x) as fx, avg(y) as fy, var_samp(x) as fvx, var_samp(y) as fvy, covar_samp(x, y) as fc, 0 as rounds
+  from tp group by k)"""), *map(_t_round, range(1, _T_ROUNDS + 1))]
+
+
+@query("ellipse_t_params", with_master(f"""
+select nullif(k, chr(0)) as carrier_operation, {r6('fx')} as cx, {r6('fy')} as cy, {r6('fvx')} as var_x, {r6('fvy')} as var_y, {r6('fc')} as cov_xy,
+  n, rounds, case when n >= 4 then {r6('sqrt((n - 1.0) * (pow(0.1, -2.0 / (n - 1.0)) - 1.0))')} end as radius from t{_T_ROUNDS}""", [_CB, *_T]))
+def q_ellipse_t_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7 on a deterministic grouping: 90% multivariate-t ellipse of (fleet size, crashes) per operation."""
+    return dist.t_ellipse(base(spark, sf_dir), "fleet_size_log", "crashes_log", ["carrier_operation"], max_iter=_T_ROUNDS)
+
+
 # ---------------------------------------------------------------- R: K-means outputs
 @query("elbow_wss")
 def q_elbow_wss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +210,9 @@ def q_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_ellipses")
 def q_cluster_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """90% ellipse parameters of each cluster in the PC1/PC2 plane."""
+    """90% multivariate-t ellipse of each cluster in the PC1/PC2 plane."""
     proj, _ = segment.pca_projection(final(spark, sf_dir).labelled)
-    return dist.ellipse_params(proj, "PC1", "PC2", ["cluster"])
+    return dist.t_ellipse(proj, "PC1", "PC2", ["cluster"])
 
 
 @query("centroid_table")
