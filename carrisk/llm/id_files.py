@@ -236,7 +236,7 @@ def read_id_files(manifest: DataFrame, id_type: str = "long", with_ids: bool = F
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("part", "path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
     files = manifest.count()
-    based = based.repartition(max(files, 1), "part")
+    based = based.repartitionByRange(max(files, 1), "part")  # a file a task; hashes would put several into one
     schema = f"id {id_type}, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def run(batches):
