@@ -399,19 +399,31 @@ def _pca_preview_columns() -> dict:
     }
 
 
+def pca_preview_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven z-scored measures (column ``features``) of all inspected carriers without NULLs."""
+    from carrisk.operators import segment
+    cols = _pca_preview_columns()
+    df = inspected(spark, sf_dir).select("dot_number", "HM_Status", *[e.alias(k) for k, e in cols.items()])
+    return segment.scaled(clean.drop_na_rows(df), tuple(cols))
+
+
 @query("pca_preview")
 def q_pca_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First two principal components of seven z-scored carrier measures, by hazmat status
     (all inspected carriers instead of a 30k sample)."""
     from carrisk.operators import segment
-    cols = _pca_preview_columns()
-    df = inspected(spark, sf_dir).select("dot_number", "HM_Status", *[e.alias(k) for k, e in cols.items()])
-    df = clean.drop_na_rows(df)
-    x = segment.scaled(df, tuple(cols))
-    proj, _ = segment.pca_projection(x)
+    proj, _ = segment.pca_projection(pca_preview_frame(spark, sf_dir))
     return proj.select("dot_number", "HM_Status", "PC1", "PC2")
 
 
+@query("pca_preview_variance")
+def q_pca_preview_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance share of the two components of ``pca_preview``, in percent (its axis labels)."""
+    from carrisk.operators import segment
+    _, shares = segment.pca_projection(pca_preview_frame(spark, sf_dir))
+    return spark.createDataFrame([(f"PC{i + 1}", 100.0 * v) for i, v in enumerate(shares)], "component string, percent double")
+
+
 @query("drop_na_rows", with_master("""
 select dot_number, carrier_operation from rv where carrier_operation is not null and last_inspection is not null"""))
 def q_drop_na_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

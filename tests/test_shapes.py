@@ -91,3 +91,14 @@ def test_t_ellipse_edges(spark):
     assert set(got) == {"line", "same", "few", "one"} and all(r.rounds == 0 for r in got.values())
     assert got["few"].radius is None and got["one"].var_x is None and got["line"].radius > 0 and got["same"].var_x == 0
     assert dist.t_ellipse(frame.where("false"), "a", "b", ["k"]).count() == 0
+
+
+def test_pca_preview_variance(spark):
+    from carrisk.plans import queries_eda
+    from carrisk.plans.registry import QUERIES, load_all
+    from tests.conftest import SF001
+    load_all()
+    x = np.array([r.features.toArray() for r in queries_eda.pca_preview_frame(spark, SF001).select("features").collect()])
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    got = {r.component: r.percent for r in QUERIES["pca_preview_variance"](spark, SF001).collect()}
+    assert np.allclose([got["PC1"], got["PC2"]], 100 * values[:2] / values.sum(), atol=1e-5)
