@@ -245,6 +245,31 @@ def q_cluster_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.stack_labelled(parts, label="outcome")
 
 
+#: Outcome -> (column, log10 axis, axis limits) of the violins' bodies.
+OUTCOME_AXES = {"oos_rate": ("oos_rate_raw", False, (0.0, 1.0)), "total_crashes_log10": ("total_crashes_raw", True, None),
+                "severity_weight_log10": ("severity_weight_raw", True, None)}
+
+
+def outcome_densities(df: DataFrame, key: str) -> DataFrame:
+    """The violins' bodies, a density of each outcome per group, kept inside the group's own range.
+
+    Log axes leave out values of 0 or less; a group without a value has no rows.
+    """
+    parts = {}
+    for name, (column, log, limits) in OUTCOME_AXES.items():
+        x = dist.prepare(df, column, [key], log, limits)
+        ends = x.groupBy(F.col(key).alias("_key")).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+        body = dist.kde(df, column, [key], log10=log, keep_between=limits)
+        parts[name] = body.join(ends, F.col(key).eqNullSafe(F.col("_key"))).where("x >= _lo and x <= _hi").drop("_key", "_lo", "_hi")
+    return A.stack_labelled(parts, label="outcome")
+
+
+@query("cluster_outcome_density")
+def q_cluster_outcome_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of OOS rate (axis 0 to 1), crashes and severity (log10 axes) per cluster."""
+    return outcome_densities(final(spark, sf_dir).labelled, "cluster")
+
+
 @query("cluster_output")
 def q_cluster_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K13 + S6: inspected master rows in the clustering frame, with their label, written and read back."""

@@ -102,3 +102,22 @@ def test_pca_preview_variance(spark):
     values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
     got = {r.component: r.percent for r in QUERIES["pca_preview_variance"](spark, SF001).collect()}
     assert np.allclose([got["PC1"], got["PC2"]], 100 * values[:2] / values.sum(), atol=1e-5)
+
+
+def test_outcome_densities(spark):
+    from carrisk.plans.queries_segment import outcome_densities
+    rnd = random.Random(5)
+    rows = [(k, min(max(rnd.gauss(0.3, 0.1), 0.0), 1.0), rnd.lognormvariate(m, 0.5), rnd.lognormvariate(1, 1)) for k, m in (("C1", 0), ("C2", 2)) for _ in range(300)]
+    rows += [("C3", 0.2, 0.0, None), ("C3", 0.4, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "cluster string, oos_rate_raw double, total_crashes_raw double, severity_weight_raw double")
+    got = {}
+    for r in outcome_densities(frame, "cluster").collect():
+        got.setdefault((r.outcome, r.cluster), []).append((r.x, r.density))
+    assert set(got) == {(o, c) for o in ("oos_rate", "total_crashes_log10", "severity_weight_log10") for c in ("C1", "C2")} | {("oos_rate", "C3")}
+    crashes = np.log10([r[2] for r in rows if r[0] == "C2"])
+    curve = sorted(got["total_crashes_log10", "C2"])
+    assert curve[0][0] >= crashes.min() and curve[-1][0] <= crashes.max()
+    quart = np.percentile(crashes, [25, 75])
+    bw = 0.9 * min(crashes.std(ddof=1), (quart[1] - quart[0]) / 1.34) * len(crashes) ** -0.2
+    for x, density in curve[::20]:
+        assert abs(density - np.exp(-0.5 * ((x - crashes) / bw) ** 2).sum() / (len(crashes) * bw * math.sqrt(2 * math.pi))) < 2e-3
