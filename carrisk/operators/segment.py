@@ -3,13 +3,15 @@ deterministic labels, profiles, tests, PCA projection, centroids, write-back.
 
 Spark ML does the heavy parts (``StandardScaler``, ``KMeans``, ``PCA``,
 ``ClusteringEvaluator``); the scaled feature vectors are persisted once and
-every fit reads them.  Independent fits (k x starts) are submitted from
-driver threads so small jobs overlap.
+every fit reads them.  Spark ML seeds every start (k-means||, submitted from
+driver threads so that small jobs overlap); the iterations of all starts and
+all k then share their passes over the rows (``lloyd``).
 
 Differences from the analysed pipeline, stated once:
 
 * K-means is Lloyd's algorithm with k-means|| seeding (not Hartigan-Wong with
-  random starts); the best of ``starts`` seeds by within-SS is kept.
+  random starts); the best of ``starts`` seeds by within-SS is kept.  A start
+  ends, and its within-SS is taken, as in Spark's ``KMeans``.
 * k = 1 is solved in closed form (Spark rejects k < 2): WSS = total SS.
 * Silhouette uses Spark's exact squared-Euclidean form on all rows (O(n k)
   from cluster aggregates).  The Euclidean form needs every pair of points,
@@ -20,10 +22,16 @@ Differences from the analysed pipeline, stated once:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark.ml.clustering import KMeans, KMeansModel
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
+
+import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -110,47 +118,142 @@ def total_ss(x: DataFrame) -> float:
     return float(sum(v or 0.0 for v in row))
 
 
+TOL = 1e-4  # a start ends when no center moves further, as with Spark's ``KMeans``
+SLICE = 2048  # rows whose distances to all centers are held at a time
+
+
+@dataclass
+class Clustering:
+    """A fitted K-means: its centers, and the within-SS of its last iteration."""
+    centers: np.ndarray
+    cost: float = float("nan")
+    sizes: list[int] = field(default_factory=list)  # set for the model that is kept
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802 - as Spark's models name it
+        return list(self.centers)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` + ``cluster_id``, the nearest center (ties: the first)."""
+        v = F.col("_v")
+        far = [reduce(add, [(v[i] - F.lit(float(c))) * (v[i] - F.lit(float(c))) for i, c in enumerate(center)]) for center in self.centers]
+        near = df.withColumn("_v", vector_to_array("features")).withColumn("_d", F.array(*far))
+        return near.withColumn("cluster_id", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_v", "_d")
+
+
+def _blocks(x: DataFrame) -> RDD:
+    """The feature vectors as packed blocks of doubles, kept for all rounds."""
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["block"])
+    packed = x.select(vector_to_array("features").alias("v")).mapInArrow(pack, "block binary")
+    return packed.rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _assign(stacks: Sequence[np.ndarray]) -> Callable[[Iterable[bytes]], Iterator[np.ndarray]]:
+    """Per partition, for each stack of starts (starts, k, features): sums and counts of each center's rows, and the
+    squared distances of each start, in one vector."""
+    def of(blocks: Iterable[bytes]) -> Iterator[np.ndarray]:
+        width = stacks[0].shape[2]
+        sums = [np.zeros((c.shape[0] * c.shape[1], width)) for c in stacks]
+        counts = [np.zeros(c.shape[0] * c.shape[1]) for c in stacks]
+        costs = [np.zeros(c.shape[0]) for c in stacks]
+        for block in blocks:
+            rows = np.frombuffer(block).reshape(-1, width)
+            for x in (rows[at:at + SLICE] for at in range(0, len(rows), SLICE)):
+                norms, each = (x * x).sum(axis=1), np.arange(len(x))[:, None]
+                for g, c in enumerate(stacks):
+                    starts, k, _ = c.shape
+                    flat = c.reshape(starts * k, width)
+                    far = ((flat * flat).sum(axis=1) - 2.0 * (x @ flat.T)).reshape(len(x), starts, k)
+                    near = far.argmin(axis=2)
+                    costs[g] += np.maximum(np.take_along_axis(far, near[:, :, None], 2)[:, :, 0] + norms[:, None], 0.0).sum(axis=0)
+                    member = np.zeros((len(x), starts * k))
+                    member[each, near + np.arange(starts) * k] = 1.0
+                    sums[g] += member.T @ x
+                    counts[g] += member.sum(axis=0)
+        yield np.concatenate([part.ravel() for g in zip(sums, counts, costs) for part in g])
+    return of
+
+
+def lloyd(x: DataFrame, starts: Sequence[np.ndarray], max_iter: int, tol: float = TOL) -> list[Clustering]:
+    """Lloyd's iterations from each of ``starts``, all of them in one pass over the rows per round.
+
+    The number of jobs is that of the longest start's iterations, not their sum.  The driver holds the centers only.
+    A center without rows stays; a start ends when no center has moved further than ``tol``.
+    """
+    found = [Clustering(np.asarray(c, dtype=float)) for c in starts]
+    active = list(range(len(found)))
+    blocks = _blocks(x)
+    try:
+        for _ in range(max_iter):
+            if not active:
+                break
+            by_k: dict[int, list[int]] = {}
+            for r in active:
+                by_k.setdefault(len(found[r].centers), []).append(r)
+            stacks = [np.stack([found[r].centers for r in members]) for members in by_k.values()]
+            total, at, active = blocks.mapPartitions(_assign(stacks)).treeReduce(np.add), 0, []
+
+            def part(*shape):
+                nonlocal at
+                at += (size := int(np.prod(shape)))
+                return total[at - size:at].reshape(shape)
+
+            for members, old in zip(by_k.values(), stacks):
+                sums, counts, costs = part(*old.shape), part(*old.shape[:2], 1), part(old.shape[0])
+                new = np.where(counts > 0, sums / np.maximum(counts, 1.0), old)
+                moved = ((new - old) ** 2).sum(axis=2).max(axis=1)
+                for r, centers, cost, step in zip(members, new, costs, moved):
+                    found[r].centers, found[r].cost = centers, float(cost)
+                    if step > tol * tol:
+                        active.append(r)
+    finally:
+        blocks.unpersist()
+    return found
+
+
+def seeded(x: DataFrame, tasks: Sequence[tuple[int, int]], parallelism: int) -> list[np.ndarray]:
+    """Spark ML's k-means|| centers for each (k, seed), before any iteration."""
+    def one(task: tuple[int, int]) -> np.ndarray:
+        model = KMeans(k=task[0], seed=task[1], maxIter=0, initMode="k-means||", featuresCol="features", predictionCol="cluster_id").fit(x)
+        return np.array(model.clusterCenters())
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(one, tasks))
+
+
 def fit_kmeans(x: DataFrame, k: int, starts: int, max_iter: int, seed: int = 42,
-               parallelism: int = 8) -> KMeansModel:
+               parallelism: int = 8) -> Clustering:
     """Best of ``starts`` k-means|| fits by within-SS."""
-    def one(s):
-        return KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||",
-                      featuresCol="features", predictionCol="cluster_id").fit(x)
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        models = list(pool.map(one, range(starts)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    fitted = lloyd(x, seeded(x, [(k, seed + s) for s in range(starts)], parallelism), max_iter)
+    best = min(fitted, key=lambda m: m.cost)
+    sizes = {r["cluster_id"]: r["count"] for r in best.transform(x).groupBy("cluster_id").count().collect()}
+    best.sizes = [sizes.get(i, 0) for i in range(len(best.centers))]
+    return best
 
 
 def k_search(x: DataFrame, k_max: int = 10, starts: int = 25, max_iter: int = 300, seed: int = 42,
-             parallelism: int = 8, silhouette: bool = True) -> tuple[DataFrame, dict[int, KMeansModel]]:
+             parallelism: int = 8, silhouette: bool = True) -> tuple[DataFrame, dict[int, Clustering]]:
     """K3 + K4: within-SS for k = 1..k_max (best of starts) and the mean
-    silhouette (squared Euclidean) for k >= 2, all fits submitted concurrently."""
-    tasks = [(k, s) for k in range(2, k_max + 1) for s in range(starts)]
-
-    def one(t):
-        k, s = t
-        return k, KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||",
-                         featuresCol="features", predictionCol="cluster_id").fit(x)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        fitted = list(pool.map(one, tasks))
-    best: dict[int, KMeansModel] = {}
-    for k, m in fitted:
-        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
+    silhouette (squared Euclidean) for k >= 2; all starts of all k iterate together."""
+    tasks = [(k, seed + s) for k in range(2, k_max + 1) for s in range(starts)]
+    fitted = lloyd(x, seeded(x, tasks, parallelism), max_iter)
+    best: dict[int, Clustering] = {}
+    for (k, _), m in zip(tasks, fitted):
+        if k not in best or m.cost < best[k].cost:
             best[k] = m
-    rows = [(1, total_ss(x), None)]
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id", metricName="silhouette",
                              distanceMeasure="squaredEuclidean")
-    for k in sorted(best):
-        sil = ev.evaluate(best[k].transform(x)) if silhouette else None
-        rows.append((k, float(best[k].summary.trainingCost), sil))
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        widths = dict(zip(best, pool.map(lambda k: ev.evaluate(best[k].transform(x)) if silhouette else None, best)))
+    rows = [(1, total_ss(x), None)] + [(k, best[k].cost, widths[k]) for k in sorted(best)]
     out = x.sparkSession.createDataFrame(rows, "k int, wss double, avg_silhouette double")
     return out, best
 
 
-def relabel_map(model: KMeansModel) -> dict[int, str]:
+def relabel_map(model: Clustering) -> dict[int, str]:
     """Deterministic labels: by cluster size (desc), then centroid (asc) -> C1..Ck."""
-    sizes = model.summary.clusterSizes
+    sizes = model.sizes
     centers = [tuple(float(v) for v in c) for c in model.clusterCenters()]
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], centers[i]))
     return {old: f"C{new + 1}" for new, old in enumerate(order)}
@@ -166,7 +269,7 @@ def label_column(mapping: dict[int, str], col: str = "cluster_id"):
 @dataclass
 class Segmentation:
     base: DataFrame          # cluster frame + scaled features, persisted
-    model: KMeansModel
+    model: Clustering
     labels: dict[int, str]
     labelled: DataFrame      # base + cluster label
     wss: float
@@ -184,7 +287,7 @@ def segment(base: DataFrame, k: int = 4, starts: int = 50, max_iter: int = 500,
     model = fit_kmeans(x, k, starts, max_iter, seed, parallelism)
     mapping = relabel_map(model)
     labelled = model.transform(x).withColumn("cluster", label_column(mapping)).drop("cluster_id")
-    return Segmentation(x, model, mapping, labelled, float(model.summary.trainingCost), total_ss(x))
+    return Segmentation(x, model, mapping, labelled, model.cost, total_ss(x))
 
 
 def profile(df: DataFrame, group: str = "cluster") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from carrisk.operators import segment
@@ -44,3 +46,42 @@ def test_zscore_mean0_sd1_and_constant_column(spark):
     st = arr.agg(F.avg(F.col("z")[0]).alias("m"), F.stddev_samp(F.col("z")[0]).alias("s"),
                  F.max(F.abs(F.col("z")[1])).alias("c")).first()
     assert abs(st.m) < 1e-9 and abs(st.s - 1) < 1e-9 and st.c == 0.0
+
+
+def test_shared_rounds_equal_single_fits(spark):
+    """Starts of several k that iterate together end where Spark's own fit of each ends."""
+    x = segment.scaled(_blobs(spark), ("a", "b")).coalesce(2).persist()
+    tasks = [(k, seed) for k in (2, 5, 7) for seed in (1, 2, 3)]
+    got = segment.lloyd(x, segment.seeded(x, tasks, 4), 40)
+    for (k, seed), m in zip(tasks, got):
+        want = KMeans(k=k, seed=seed, maxIter=40, featuresCol="features", predictionCol="cluster_id").fit(x)
+        assert np.allclose(m.clusterCenters(), want.clusterCenters(), atol=1e-9)
+        assert abs(m.cost - want.summary.trainingCost) < 1e-8
+        ours = {r.dot_number: r.cluster_id for r in m.transform(x).collect()}
+        assert ours == {r.dot_number: r.cluster_id for r in want.transform(x).collect()}
+    x.unpersist()
+
+
+def test_starts_share_their_jobs(spark):
+    """More starts cost no more jobs: one per round."""
+    x = segment.scaled(_blobs(spark), ("a", "b")).coalesce(1).persist()
+    starts = [c for k in (3, 4, 6) for c in segment.seeded(x, [(k, s) for s in range(6)], 4)]
+    sc = spark.sparkContext
+    sc.setJobGroup("lloyd-jobs", "rounds of all starts")
+    try:
+        found = segment.lloyd(x, starts, 15)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("lloyd-jobs"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        x.unpersist()
+    assert len(found) == 18 and all(m.cost >= 0 for m in found)
+    assert 0 < jobs <= 15
+
+
+def test_a_center_without_rows_stays(spark):
+    x = segment.scaled(_blobs(spark), ("a", "b")).persist()
+    far = np.array([[0.0, 0.0], [1e6, 1e6]])
+    m = segment.lloyd(x, [far], 10)[0]
+    assert m.clusterCenters()[1].tolist() == [1e6, 1e6]
+    assert abs(m.cost - segment.total_ss(x)) < 1e-6
+    x.unpersist()
