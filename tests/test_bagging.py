@@ -99,6 +99,28 @@ def test_oob_importance(data, case_weights):
     assert abs(sum(r.impurity_importance for r in rows) - 1) < 1e-9
 
 
+def test_moved_values_and_plan_size(forest, data):
+    """One feature moves in each copy, its values stay the same ones; the plan does not grow with the features squared."""
+    buckets = bagging.gathered(data, forest, 100)
+    found = {}
+    for r in bagging.oob_copies(buckets, forest, 3).collect():
+        found.setdefault(r.j, []).append((r.label, tuple(r.x)))
+    assert set(found) == {-1, 0, 1, 2} and len({len(v) for v in found.values()}) == 1
+    left_out = data.where(forest.leaves_out(3, F.col("dot_number"), F.col("weight")))
+    assert sorted(found[-1]) == sorted((r.label, tuple(r[f] for f in FEATURES)) for r in left_out.collect())
+    column = lambda j, k: [x[k] for _, x in found[j]]
+    for j in range(3):
+        for k in range(3):
+            assert sorted(column(j, k)) == sorted(column(-1, k)) and (column(j, k) == column(-1, k)) == (j != k)
+    wide = data.withColumns({f"f{i}": F.col("signal") for i in range(16)})
+    sizes = []
+    for n in (4, 16):
+        many = bagging.BaggedForest([], tuple(f"f{i}" for i in range(n)), "dot_number", 42, forest.mean_weight)
+        plan = bagging.oob_copies(bagging.gathered(wide, many, 100), many, 3)
+        sizes.append(len(plan._jdf.queryExecution().analyzed().toString()))
+    assert sizes[1] < 4 * sizes[0]
+
+
 def test_a_bag_of_one_class_or_no_row(spark):
     few = spark.createDataFrame([("a", 0.0, 1.0, 1.0), ("b", 0.0, 2.0, 1.0)], "dot_number string, label double, weight double, x double")
     forest = bagging.fit(few, ["x"], 1, 1, 8)
