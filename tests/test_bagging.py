@@ -49,6 +49,29 @@ def test_bags_follow_the_weights(spark):
     assert abs(large[0] - 400) < 2 and abs(large[1] - 20) < 1.5
 
 
+def test_bags_of_a_chunk_are_one_expression(spark):
+    """The counts of many trees equal those of ``bag_count``, large rates and missing weights too; the plan does not grow with the trees."""
+    rate = F.col("weight") / F.lit(2.0)
+    rows = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") % 10 == 0, F.lit(500.0)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(
+        F.col("id") % 5).cast("double").alias("weight"))
+    found = bagging.with_bags(rows, range(26, 51), "key", 42, rate)
+    assert found.columns == ["key", "weight", "_bags"]
+    for t in (26, 37, 50):
+        pairs = found.select(F.get("_bags", F.lit(t - 26)).alias("a"), bagging.bag_count(F.col("key"), t, 42, rate).alias("b"), "weight").collect()
+        assert all(r.a == r.b for r in pairs) and all((r.a or 0) <= 0 for r in pairs if r.weight is None)
+        assert {r.a for r in pairs if r.weight == 0} == {0} and min(r.a for r in pairs if r.weight == 500) > 200
+    size = lambda last: len(bagging.with_bags(rows, range(1, last), "key", 42, rate)._jdf.queryExecution().analyzed().toString())
+    assert size(1000) < size(3) + 50
+
+
+def test_fit_draws_in_chunks(data, forest, monkeypatch):
+    """The trees do not depend on how many share a pass over the rows."""
+    monkeypatch.setattr(bagging, "CHUNK", 7)
+    again = bagging.fit(data, FEATURES, 2, 10, TREES, max_depth=6)
+    text = lambda f: [t.toDebugString.split("\n", 1)[1] for t in f.trees]
+    assert len(again.trees) == TREES and text(again) == text(forest)
+
+
 def test_class_shares_in_the_bags(data):
     """A case weight is a row's share of the draw: classes stand in a bag as weight x rows."""
     mean = data.agg(F.avg("weight")).first()[0]
