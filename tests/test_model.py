@@ -42,6 +42,14 @@ def test_reruns_are_equal(frame):
     assert scores[0] == scores[1]
 
 
+def test_a_fit_makes_no_tree_objects(frame):
+    """Python objects of a forest's trees are made when asked for, not in every fit and copy of the model."""
+    forest = model.fit_forest(split(frame)[0], FEATURES, 2, 10, 4, max_depth=4)
+    assert "trees" not in vars(forest) and "trees" not in vars(forest.copy())
+    assert forest.params and "trees" not in vars(forest)
+    assert len(forest.trees) == forest.getNumTrees == 4
+
+
 def test_grid_cv_finds_a_model(frame):
     cv = model.grid_cv(split(frame)[0], FEATURES, trees=5, folds=2, frac=0.8, max_depth=5)
     rows = cv.collect()
