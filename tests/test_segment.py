@@ -62,6 +62,25 @@ def test_shared_rounds_equal_single_fits(spark):
     x.unpersist()
 
 
+def test_seeding_unpacks_the_rows_once(spark, monkeypatch):
+    """Spark's ``KMeans`` keeps the vectors of a frame that is not persisted; the centers are those of the persisted one."""
+    x = segment.scaled(_blobs(spark), ("a", "b")).coalesce(2).persist()
+    given = []
+
+    class Noted(KMeans):
+        def fit(self, dataset, params=None):
+            given.append((dataset.columns, dataset.storageLevel.useMemory))
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(segment, "KMeans", Noted)
+    got = segment.seeded(x, [(3, 1), (4, 2)], 2)
+    assert given == [(["features"], False)] * 2 and x.storageLevel.useMemory
+    for (k, seed), centers in zip([(3, 1), (4, 2)], got):
+        want = KMeans(k=k, seed=seed, maxIter=0, featuresCol="features", predictionCol="cluster_id").fit(x)
+        assert np.array_equal(centers, want.clusterCenters())
+    x.unpersist()
+
+
 def test_starts_share_their_jobs(spark):
     """More starts cost no more jobs: one per round."""
     x = segment.scaled(_blobs(spark), ("a", "b")).coalesce(1).persist()
