@@ -216,7 +216,7 @@ def lloyd(x: DataFrame, starts: Sequence[np.ndarray], max_iter: int, tol: float
 def seeded(x: DataFrame, tasks: Sequence[tuple[int, int]], parallelism: int) -> list[np.ndarray]:
     """Spark ML's k-means|| centers for each (k, seed), before any iteration.
 
-    A seeding passes over the rows some ten times.  Spark's ``KMeans`` keeps the vectors itself unless its frame is
+    A seeding passes over the rows several times.  Spark's ``KMeans`` keeps the vectors itself unless its frame is
     persisted, when every pass unpacks them again from the cached columns; so it gets a frame that is not.
     """
     rows = x.select("features")
