@@ -7,11 +7,13 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrisk.llm.shared_files import filesystem
 from carrisk.session import checkpoint, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,14 +58,40 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm/{kind}-{uuid.uuid4().hex}"
 
 
+_STEP_TABLES: ContextVar[list[str] | None] = ContextVar("step_tables", default=None)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = fresh_path(spark, kind)
+    if (tables := _STEP_TABLES.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def step(make: Callable[[], DataFrame], kind: str) -> DataFrame:
+    """The rows of ``make()``, written; the tables that ``make`` has written on its way are removed then.
+
+    Nothing that reads these may leave ``make`` but its result.  Steps nest.  Tables stay where ``make`` fails,
+    or in a store that only Spark can open.
+    """
+    token = _STEP_TABLES.set(tables := [])
+    try:
+        df = make()
+    finally:
+        _STEP_TABLES.reset(token)
+    out = written(df, kind)
+    for path in tables:
+        try:
+            files, inner = filesystem(path)
+            files.delete_dir(inner)
+        except (OSError, pa.ArrowException):
+            pass
+    return out
+
+
 def not_replaced(keep: Iterable[str], new: Iterable[str]) -> list[str]:
     """The kept input columns, without those that a new column of the same name replaces."""
     taken = {n.lower() for n in new}
@@ -94,4 +122,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, max_chars: int
     pa.default_memory_pool().release_unused()  # the worker goes on with other stages
 
 
-__all__ = ["F", "ORACLE", "QUERIES", "checkpoint", "fresh_path", "not_replaced", "query", "ship", "table", "text_slices", "written"]
+__all__ = ["F", "ORACLE", "QUERIES", "checkpoint", "fresh_path", "not_replaced", "query", "ship", "step", "table", "text_slices", "written"]

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrisk.llm.common import query, ship, table, text_slices, written
+from carrisk.llm.common import query, ship, step, table, text_slices, written
 from carrisk.llm.components import connected_components
 
 K, ENTRIES, TAKEN, SIMILARITY = 5, 64, 2, 0.8
@@ -140,6 +140,13 @@ def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _digests(texts: list[str]):
+    """[n, 2] as int64: 128-bit digests."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+
+
 def banded_distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences, or ``most + 1`` where it is larger.
 
@@ -206,7 +213,7 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         for part in text_slices(batches, "__text"):
             texts = [normalised(t) for t in part.column(1).to_pylist()]
-            digest = np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+            digest = _digests(texts)
             keys, n_words = order_sketches(pa.array(texts, pa.large_string()), entries=entries, taken=taken)
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
@@ -216,23 +223,36 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return source.mapInArrow(run, f"id {kind}, h1 long, h2 long, n_words int, sketch array<long>")
 
 
+def _representative_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, __text, node, h1, h2): texts that may be those of ``wanted`` (id, node, h1, h2); their digests tell."""
+    return _hash_filter(_source(docs, id_col, text_col), wanted, "id").join(wanted, "id").select("id", "__text", "node", "h1", "h2")
+
+
+def _normalised_texts(part: pa.RecordBatch):
+    """(nodes, normalised texts) of those rows of ``_representative_texts`` that have their node's digest."""
+    import numpy as np
+
+    texts = [normalised(t) for t in part.column(1).to_pylist()]
+    same = np.flatnonzero((_digests(texts) == np.stack([part.column(3).to_numpy(), part.column(4).to_numpy()], 1)).all(1))
+    return part.column(2).take(pa.array(same)), [texts[i] for i in same.tolist()]
+
+
 def words_and_bags(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words, bag) of the documents ``wanted`` (id): the hashes of their words in text order, and counted in ``BAG`` places."""
-    source = _source(docs, id_col, text_col)
-    names = ["id", "words", "bag"]
+    """(node, words, bag) of the texts ``wanted`` (id, node, h1, h2): the hashes of their words in text order, and counted in ``BAG`` places."""
+    names = ["node", "words", "bag"]
 
     def run(batches):
         import numpy as np
 
         for part in text_slices(batches, "__text"):
-            word, owner, n_words = word_hashes(pa.array([normalised(t) for t in part.column(1).to_pylist()], pa.large_string()))
+            nodes, texts = _normalised_texts(part)
+            word, owner, n_words = word_hashes(pa.array(texts, pa.large_string()))
             ends = np.cumsum(n_words)
-            words = [w.tobytes() for w in np.split(word, ends[:-1])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary()), pa.array([b.tobytes() for b in word_bags(word, owner, len(words))], pa.binary())], names=names)
+            words = [w.tobytes() for w in np.split(word, ends[:-1])] if texts else []
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(words, pa.binary()), pa.array([b.tobytes() for b in word_bags(word, owner, len(words))], pa.binary())], names=names)
 
-    kind = source.schema["id"].dataType.simpleString()
-    read = _hash_filter(source, wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    return read.mapInArrow(run, f"id {kind}, words binary, bag binary")
+    read = _representative_texts(docs, wanted, id_col, text_col).withColumn("__hash", F.xxhash64("__text")).dropDuplicates(["id", "node", "__hash"]).drop("__hash")
+    return read.mapInArrow(run, "node long, words binary, bag binary")
 
 
 def _hash_filter(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
@@ -245,14 +265,23 @@ def _hash_filter(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
     return hit.where(F.expr(f"shiftright({byte}, cast(bitmap_bit_position(__p) % 8 as int)) % 2 = 1")).select(*docs.columns)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """Links (src, dst, similarity) among candidate pairs (a, b) of ids."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = written(wanted, "candidate-ids")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = written(_hash_filter(texts, wanted, "id").join(wanted, "id", "left_semi"), "candidate-texts")
-    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+def _named(nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, id, h1, h2) of ``nodes`` (node), written."""
+    return written(nodes.distinct().join(reps.select("node", "id", "h1", "h2"), "node"), "candidate-ids")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Links (src, dst, similarity) among candidate pairs (a, b) of nodes."""
+    wanted = _named(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), reps)
+
+    def read(batches):
+        for part in text_slices(batches, "__text"):
+            nodes, texts = _normalised_texts(part)
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(texts, pa.string())], names=["node", "text"])
+
+    texts = written(_representative_texts(docs, wanted, id_col, text_col).mapInArrow(read, "node long, text string"), "candidate-texts")
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
     names = ["src", "dst", "similarity"]
 
     def run(batches):
@@ -262,27 +291,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
             for i in range(batch.num_rows):
                 ta = batch.column(2)[i].as_py()
                 if ta != last:
-                    last, words_a = ta, normalised(ta).split()
-                value = edit_similarity(words_a, normalised(batch.column(3)[i].as_py()).split(), similarity)
+                    last, words_a = ta, ta.split()
+                value = edit_similarity(words_a, batch.column(3)[i].as_py().split(), similarity)
                 if value >= similarity:
                     kept.append(i)
                     values.append(value)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(values, pa.float64())], names=names)
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return written(both.mapInArrow(run, f"src {kind}, dst {kind}, similarity double"), "links")
+    return both.mapInArrow(run, "src long, dst long, similarity double")
 
 
-def apart_blocks(members: DataFrame) -> DataFrame:
-    """``members`` + (low, high, hash, rare, seeks, met): blocks in which every row outside a bucket's largest component
-    (rare) seeks all rows of other components that are met there.  A bucket of one block has each row once."""
+def apart_buckets(members: DataFrame) -> DataFrame:
+    """``members`` (key, node, n_words, component) of buckets of several components + (rare, blocks, rare_blocks): whether a row
+    is outside its bucket's largest component, and in how many blocks the bucket's rows and such rows go."""
     size = (members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
             .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"), F.sum("words").alias("words"))
             .where("n > n_largest"))
     blocks = lambda n: F.ceil(F.greatest(n / BLOCK, F.col("words") * n / F.col("n") / BLOCK_WORDS)).cast("int")
     size = size.select("key", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("n_largest")).alias("rare_blocks"))
-    row = members.join(size, "key").withColumn("hash", F.xxhash64("id")).withColumn("rare", F.col("component") != F.col("largest"))
+    return members.join(size, "key").withColumn("rare", F.col("component") != F.col("largest")).drop("largest")
+
+
+def apart_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with (rare, blocks, rare_blocks) + (hash, low, high, seeks, met): blocks in which every row outside a bucket's largest
+    component (rare) seeks all rows of other components that are met there.  A bucket of one block has each row once."""
+    row = rows.withColumn("hash", F.xxhash64("node"))
     own, rare_own = F.pmod("hash", "blocks").cast("int"), F.pmod("hash", "rare_blocks").cast("int")
     place = lambda low, high, seeks, met: F.struct(low.alias("low"), high.alias("high"), seeks.alias("seeks"), met.alias("met"))
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
@@ -290,7 +324,16 @@ def apart_blocks(members: DataFrame) -> DataFrame:
     seeking = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda high: place(rare_own, high, yes, no))
     many = F.when(F.col("rare"), F.concat(met, seeking)).otherwise(met)
     places = F.when(F.col("blocks") == 1, F.array(place(zero, zero, F.col("rare"), yes))).otherwise(many)
-    return row.select(*members.columns, "hash", "rare", F.inline(places))
+    return row.select(*row.columns, F.inline(places)).drop("blocks", "rare_blocks")
+
+
+def _once_a_node(rows: DataFrame, *sides: DataFrame) -> DataFrame:
+    """``rows`` joined with ``sides`` on node, each node's rows as one: the joins make a row a node, whatever the number of its buckets."""
+    others = [c for c in rows.columns if c != "node"]
+    full = rows.groupBy("node").agg(F.collect_list(F.struct(*others)).alias("rows"))
+    for side in sides:
+        full = full.join(side, "node")
+    return full.select(*(c for c in full.columns if c != "rows"), F.inline("rows"))
 
 
 class Block:
@@ -299,8 +342,7 @@ class Block:
     def __init__(self, group: pa.Table, similarity: float) -> None:
         import numpy as np
 
-        codes: dict[str, int] = {}
-        self.label = np.array([codes.setdefault(repr(c), len(codes)) for c in group["component"].to_pylist()])  # ids of any type
+        self.label = group["component"].to_numpy().copy()
         self.sketch = np.array(group["sketch"].to_pylist(), np.int64)
         self.bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
         self.n_words, self.hashed = group["n_words"].to_numpy().astype(np.int64), group["hash"].to_numpy()
@@ -326,12 +368,11 @@ class Block:
 
 
 def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst, similarity) that join components of ``members`` (key, id, n_words, component) within a key."""
-    rows = apart_blocks(members.join(words.select("id", "bag").join(sketches, "id"), "id"))
-    kind = members.schema["id"].dataType.simpleString()
+    """Links (src, dst, similarity) that join components of ``members`` (key, node, n_words, component) within a key."""
+    rows = apart_blocks(_once_a_node(apart_buckets(members), words.select("node", "bag"), sketches))
     at = ["key", "low", "high"]
-    columns = [("key", "long"), ("low", "int"), ("high", "int"), ("id", kind), ("component", kind), ("n_words", "int"), ("hash", "long"),
-               ("rare", "boolean"), ("seeks", "boolean"), ("met", "boolean"), ("sketch", "array<long>"), ("bag", "binary")]
+    columns = [("key", "long"), ("low", "int"), ("high", "int"), ("node", "long"), ("component", "long"), ("n_words", "int"), ("hash", "long"),
+               ("rare", "boolean"), ("seeks", "boolean"), ("met", "boolean")]
 
     def open_rows(group: pa.Table) -> pa.Table:
         import numpy as np
@@ -349,7 +390,7 @@ def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarit
         import numpy as np
 
         block, out = Block(group, similarity), []
-        ids = group["id"]
+        nodes = group["node"]
         text = [np.frombuffer(w, np.uint64).tolist() for w in group["words"].to_pylist()]
         for i in block.seekers:
             for j in block.partners(i).tolist():
@@ -359,17 +400,15 @@ def settled(members: DataFrame, sketches: DataFrame, words: DataFrame, similarit
                         out.append((i, j, value))
                         block.label[block.label == block.label[j]] = block.label[i]
         i, j, value = (list(x) for x in zip(*out)) if out else ([], [], [])
-        return pa.Table.from_arrays([ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64())), pa.array(value, pa.float64())], names=["src", "dst", "similarity"])
+        return pa.Table.from_arrays([nodes.take(pa.array(i, pa.int64())), nodes.take(pa.array(j, pa.int64())), pa.array(value, pa.float64())], names=["src", "dst", "similarity"])
 
     ddl = ", ".join(f"{c} {t}" for c, t in columns)
     left = written(rows.groupBy(*at).applyInArrow(open_rows, ddl), "open-rows")
-    both = left.join(words.select("id", "words"), "id")
-    return written(both.groupBy(*at).applyInArrow(links, f"src {kind}, dst {kind}, similarity double"), "links")
+    return _once_a_node(left, words, sketches).groupBy(*at).applyInArrow(links, "src long, dst long, similarity double")
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component) when ``links`` are added to ``parts``."""
-    parts = written(parts, "components")
     named = parts.select(F.col("node").alias("id"), "component")
     ends = links.join(named.withColumnsRenamed({"id": "src", "component": "c1"}), "src", "left")
     ends = ends.join(named.withColumnsRenamed({"id": "dst", "component": "c2"}), "dst", "left")
@@ -380,34 +419,60 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: (id_col, copy_of, class_id): its representative among equal texts, and its class's least id."""
-    ship(docs.sparkSession)
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, copy_of, class_id) of every row of ``docs``."""
     sketches = written(sketch_documents(docs, id_col, text_col), "sketches")
     copies = sketches.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
-    reps = written(copies.where("id is not null"), "representatives")
-    buckets = reps.where("n_words > 0").select("id", "h1", "n_words", F.explode("sketch").alias("key"))
-    size = written(buckets.groupBy("key").agg(F.min("h1").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "keys")
-    shared = written(buckets.join(size, "key"), "buckets")
-    hubs = shared.where("h1 = hub").groupBy("key").agg(F.min("id").alias("hub_id"), F.min_by("n_words", "id").alias("hub_words"))
-    fits = F.least("n_words", "hub_words") >= similarity * F.greatest("n_words", "hub_words")
-    met = shared.join(hubs, "key").where(fits & (F.col("id") != F.col("hub_id"))).groupBy("id", "hub_id").agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("id").agg(F.max(F.struct("times", "hub_id")).alias("best"))
-    stars = written(best.select(F.col("best.hub_id").alias("a"), F.col("id").alias("b")), "star-pairs")
-    parts = written(connected_components(_verified(stars, docs, id_col, text_col, similarity)), "components")
-    # what is still apart: buckets with several components
-    inside = shared.join(parts, shared["id"] == parts["node"], "left").withColumn("component", F.coalesce("component", "id"))
-    several = inside.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    left_apart = written(inside.join(several, "key", "left_semi").select("key", "id", "n_words", "component"), "apart")
-    if not left_apart.isEmpty():
-        wanted = written(left_apart.select("id").distinct(), "candidate-ids")
+    reps = written(copies.where("id is not null").withColumn("node", F.monotonically_increasing_id()), "representatives")  # numbers hold, as they are written
+
+    def bucket_rows() -> DataFrame:
+        buckets = reps.where("n_words > 0").select("node", "n_words", F.explode("sketch").alias("key"))
+        size = written(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "keys")
+        return buckets.join(size, "key")
+
+    shared = step(bucket_rows, "buckets")
+
+    def star_links() -> DataFrame:
+        met = shared.where("node <> hub").groupBy("node", "hub").agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("times"))
+        met = met.join(reps.select(F.col("node").alias("hub"), F.col("n_words").alias("hub_words")), "hub")
+        met = met.where(F.least("n_words", "hub_words") >= similarity * F.greatest("n_words", "hub_words"))
+        best = met.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best"))
+        stars = written(best.select(F.col("best.hub").alias("a"), F.col("node").alias("b")), "star-pairs")
+        return _verified(stars, reps, docs, id_col, text_col, similarity)
+
+    def parts_of_stars() -> DataFrame:
+        again = reps.groupBy("id").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        one_id = reps.select("id", F.col("node").alias("src")).join(again, "id").select("src", "dst")  # several texts
+        return connected_components(step(star_links, "links").select("src", "dst").unionByName(one_id))
+
+    parts = step(parts_of_stars, "components")
+
+    def apart_rows() -> DataFrame:  # buckets with several components
+        inside = shared.join(parts, "node", "left").select("key", "node", "n_words", F.coalesce("component", "node").alias("component"))
+        several = inside.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+        return inside.join(several, "key", "left_semi")
+
+    left_apart = step(apart_rows, "apart")
+
+    def joining_links() -> DataFrame:
+        wanted = _named(left_apart.select("node"), reps)
         words = written(words_and_bags(docs, wanted, id_col, text_col), "candidate-words")
-        sketch = reps.select("id", "sketch").join(wanted, "id", "left_semi")
-        parts = written(_joined(parts, settled(left_apart, sketch, words, similarity)), "components")
-    named = reps.select("h1", "h2", "id").join(parts, F.col("id") == F.col("node"), "left")
-    rep = named.select("h1", "h2", F.col("id").alias("rep"), F.coalesce("component", "id").alias("class_id"))
+        return settled(left_apart, reps.select("node", "sketch"), words, similarity)
+
+    if not left_apart.isEmpty():
+        links, old = step(joining_links, "links"), parts
+        parts = step(lambda: _joined(old, links), "components")
+    least = reps.select("node", "id").join(parts, "node").groupBy("component").agg(F.min("id").alias("class_id"))
+    named = reps.select("h1", "h2", "id", "node").join(parts.join(least, "component").select("node", "class_id"), "node", "left")
+    rep = named.select("h1", "h2", F.col("id").alias("rep"), F.coalesce("class_id", "id").alias("class_id"))
     member = sketches.select("id", "h1", "h2").join(rep, ["h1", "h2"], "left")
-    return member.select(F.col("id").alias(id_col), F.col("rep").alias("copy_of"), "class_id")
+    return member.select("id", F.col("rep").alias("copy_of"), "class_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: (id_col, copy_of, class_id): its representative among equal texts, and its class's least id."""
+    ship(docs.sparkSession)
+    return step(lambda: _classes(docs, id_col, text_col, similarity), "classes").toDF(id_col, "copy_of", "class_id")
 
 
 @query("op5_order_minhash")

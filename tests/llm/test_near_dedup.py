@@ -211,3 +211,40 @@ def test_group_of_near_copies_is_settled_in_tasks(spark, monkeypatch):
         if nd.edit_similarity(words[i], words[j], 0.8) >= 0.8 and find(i) != find(j):
             parent[max(find(i), find(j))] = min(find(i), find(j))
     assert got == {i: find(i) for i in range(100)}
+
+
+def test_joins_make_a_row_a_text(spark):
+    """A text of many buckets meets its sketch and words in one row; its buckets come out of it after the joins."""
+    rows = spark.createDataFrame([(k, i, i % 2 == 0) for i in range(5) for k in range(40)], "key long, node long, rare boolean")
+    side, other = (spark.createDataFrame([(i, f"{c}{i}") for i in range(5)], f"node long, {c} string") for c in "xy")
+    full = nd._once_a_node(rows, side, other)
+    assert sorted((r.key, r.node, r.rare, r.x, r.y) for r in full.collect()) == sorted((k, i, i % 2 == 0, f"x{i}", f"y{i}") for i in range(5) for k in range(40))
+    grouped = nd._once_a_node(rows, side.limit(0))
+    assert grouped.count() == 0
+    plan = full._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("collect_list")
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """The near copies of both texts of an id are of its class."""
+    base = [" ".join(f"{c}{k}" for k in range(60)) for c in "xyz"]
+    rows = [(1, base[0]), (5, base[0] + " end"), (5, base[1]), (5, base[1]), (7, base[1] + " end"), (8, base[2])]
+    got = {r.doc_id: (r.copy_of, r.class_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 5: (5, 1), 7: (7, 1), 8: (8, 8)}
+
+
+def test_only_the_result_stays_on_disk(spark):
+    from carrisk.llm.shared_files import filesystem
+    from carrisk.session import ensure_checkpoint_dir
+    from pyarrow import fs
+
+    def tables():
+        files, path = filesystem(f"{ensure_checkpoint_dir(spark)}/llm")
+        return {f.path for f in files.get_file_info(fs.FileSelector(path, allow_not_found=True))}
+
+    before = tables()
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(i, " ".join(shared + [f"g{i // 3}w{k}" for k in range(40)] + [f"e{i}"])) for i in range(12)]
+    classes = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [p.rsplit("/", 1)[1].split("-")[0] for p in tables() - before] == ["classes"]
+    assert {r.doc_id: r.class_id for r in classes.collect()} == {i: i - i % 3 for i in range(12)}
