@@ -30,7 +30,10 @@ becomes pairs, and none meets in one task.
 Copies are grouped by digest with a partial ``min``.  Only the texts of
 candidates are shuffled: a bitmap of their hashed ids, of fixed size
 (``FILTER_BITS``), is broadcast to the scan, and what passes it by chance goes in
-the exact join.  Intermediate tables are written to the shared folder.
+the exact join.  Representatives are numbered when they are written, and all
+steps but the first and the last carry these numbers, not ids.  Intermediate
+tables are written to the shared folder and removed when the step that needs
+them is done.
 
 Defined cases: null and empty texts are copies of each other; a text under
 five words is one k-mer, so only its copies join it; rows with equal ids are
