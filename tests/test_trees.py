@@ -103,6 +103,27 @@ def test_rows_left_in_their_blocks_give_the_same_trees(data, monkeypatch, case_w
     assert text(whole) == text(small) == text(apart) and len(set(text(whole))) == 12
 
 
+def test_fold_scores_are_those_of_forests_of_the_other_folds(data, monkeypatch):
+    """All (configuration, fold) forests score each row once; pieces and blocks do not change a score."""
+    configs = [(2, 20), (5, 100)]
+    scores = lambda **more: sorted(tuple(r) for r in bagging.fold_scores(data, WIDE, configs, 3, 6, max_depth=5, **more).select(
+        "mtry", "min_node_size", "fold", "positive", F.round("prob", 9)).collect())
+    found = scores()
+    assert len(found) == len(configs) * data.count() and scores(piece=4) == found
+    held = bagging.rows_for_trees(data, WIDE, "dot_number", F.col("fold"))
+    for k in range(3):
+        others = held.where(F.col("fold") != k)
+        splits = bagging.thresholds(others, others.count(), len(WIDE), 64, 42)
+        r = bagging.brought(bagging.packed(held, splits, "fold"), splits)
+        fitted, kept = r["fold"] != k, r["fold"] == k
+        bags, rules = trees.Bags(r["h"][fitted], np.ones(fitted.sum()), 42), trees.Rules(5, 2, 20, 64, 5, 42)
+        p = sum(trees.probabilities(t, r["x"][kept]) for t in bagging.grown(range(1, 7), r["x"][fitted], r["y"][fitted], r["w"][fitted], bags, rules, splits, False, True)) / 6
+        assert sorted(np.round(p, 9).tolist()) == [x[4] for x in sorted(found, key=lambda x: x[4]) if x[:3] == (2, 20, k)]
+    monkeypatch.setattr(bagging, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(bagging, "CHUNK", 3)
+    assert scores() == found
+
+
 def test_missing_values_go_with_the_largest(spark):
     """A missing feature value stands above every threshold, in the fit and in all scores."""
     rows = spark.range(200).select(F.col("id").cast("string").alias("dot_number"), F.when(F.col("id") % 4 != 0, (F.col("id") % 4).cast("double")).alias("x"),
