@@ -124,6 +124,21 @@ def test_fold_scores_are_those_of_forests_of_the_other_folds(data, monkeypatch):
     assert scores() == found
 
 
+def test_importance_is_that_of_the_copies(data):
+    """Scores summed in tasks equal those of ``oob_copies``, tree by tree."""
+    forest = bagging.fit(data, WIDE, 2, 15, 5, max_depth=6)
+    got = {r.feature: r.importance for r in bagging.oob_importance(forest, data, 200).collect()}
+    buckets, rise = bagging.gathered(data, forest, 200), {f: [] for f in WIDE}
+    for t in range(1, 6):
+        rows, loss = bagging.oob_copies(buckets, forest, t).collect(), {}
+        p = trees.probabilities(forest.trees[t - 1], trees.binned(np.array([r.x for r in rows]), forest.splits))
+        for r, score in zip(rows, p.tolist()):
+            loss.setdefault(r.j, []).append((score - r.label) ** 2)
+        for j, f in enumerate(WIDE):
+            rise[f].append(np.mean(loss[j]) - np.mean(loss[-1]))
+    assert all(abs(got[f] - np.mean(rise[f])) < 1e-9 for f in WIDE)
+
+
 def test_missing_values_go_with_the_largest(spark):
     """A missing feature value stands above every threshold, in the fit and in all scores."""
     rows = spark.range(200).select(F.col("id").cast("string").alias("dot_number"), F.when(F.col("id") % 4 != 0, (F.col("id") % 4).cast("double")).alias("x"),
