@@ -55,8 +55,8 @@ def spark_shape(model):
 def test_a_tree_is_that_of_spark(data, node_size, max_depth, max_bins):
     """The same rows, weights and features give the same nodes, probabilities and importances."""
     rows = bagging.assembler(WIDE).transform(data)
-    theirs = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=1, bootstrap=False, featureSubsetStrategy="all",
-                                    minInstancesPerNode=node_size, maxDepth=max_depth, maxBins=max_bins, seed=7).fit(rows)
+    theirs = bagging.detached(RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=1, bootstrap=False, featureSubsetStrategy="all",
+                                                     minInstancesPerNode=node_size, maxDepth=max_depth, maxBins=max_bins, seed=7).fit(rows))
     held = bagging.rows_for_trees(data, WIDE, "dot_number")
     splits = bagging.thresholds(held, 1500, len(WIDE), max_bins, 42)
     r = bagging.brought(bagging.packed(held, splits), splits)
